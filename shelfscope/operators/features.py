@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shelfscope.config import CatalogConfig
 from shelfscope.functions import scalars as X
-from shelfscope.operators.skew import lookup_counts
+from shelfscope.operators.skew import add_lookup
+from shelfscope.session import checkpointed
 
 PLATFORMS = ("windows", "mac", "linux")
 
@@ -22,24 +23,24 @@ CATALOG_COLUMNS = (
 )
 
 
-def top_items(df: DataFrame, lists: Mapping[str, Column], sizes: Mapping[str, int]) -> DataFrame:
-    """(kind, item, n, rank): the most frequent items of several list columns in one pass.
+def item_counts(df: DataFrame, lists: Mapping[str, Column]) -> DataFrame:
+    """(kind, item, n) of several list columns in one pass. Repeats within a row count."""
+    def tagged(kind: str, items: Column) -> Column:
+        return F.transform(items, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("item")))
 
-    Repeats within a row count; ties go to the smaller item.
-    """
-    tagged = F.concat(*[
-        F.transform(items, lambda i, k=kind: F.struct(F.lit(k).alias("kind"), i.alias("item")))
-        for kind, items in lists.items()])
-    counts = (
-        df.select(F.explode(tagged).alias("t")).select("t.kind", "t.item")
-        .where(F.col("item").isNotNull()).groupBy("kind", "item").agg(F.count("*").alias("n"))
-    )
+    every = F.concat(*[tagged(kind, items) for kind, items in lists.items()])
+    return df.select(F.inline(every)).where(F.col("item").isNotNull()).groupBy("kind", "item").agg(
+        F.count("*").alias("n"))
+
+
+def top_items(counts: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+    """(kind, item, n, rank): the most frequent items of each kind; ties go to the smaller item."""
     rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), F.asc("item")))
-    size = F.create_map(*[x for kind, n in sizes.items() for x in (F.lit(kind), F.lit(n))])
-    most = max(sizes.values())
+    limits = F.create_map(*[F.lit(x) for kind_size in sizes.items() for x in kind_size])
     return (
-        counts.withColumn("rank", rank).where(F.col("rank") <= most)
-        .where(F.col("rank") <= size[F.col("kind")])
+        counts.where(F.col("kind").isin(*sizes)).withColumn("rank", rank)
+        .where(F.col("rank") <= max(sizes.values()))
+        .where(F.col("rank") <= limits[F.col("kind")])
     )
 
 
@@ -50,9 +51,9 @@ class Vocabulary:
     items: dict[str, tuple[str, ...]]
 
     @classmethod
-    def fit(cls, df: DataFrame, lists: Mapping[str, Column], sizes: Mapping[str, int]) -> "Vocabulary":
-        found = top_items(df, lists, sizes).orderBy("kind", "rank").collect()
-        return cls({k: tuple(r["item"] for r in found if r["kind"] == k) for k in lists})
+    def fit(cls, counts: DataFrame, sizes: Mapping[str, int]) -> "Vocabulary":
+        found = top_items(counts, sizes).orderBy("kind", "rank").collect()
+        return cls({k: tuple(r["item"] for r in found if r["kind"] == k) for k in sizes})
 
     def columns(self, kind: str, items: Column) -> dict[str, Column]:
         """0/1 columns; when two items share a safe name, the less frequent one wins."""
@@ -68,9 +69,9 @@ def safe_column(item: str) -> str:
 def multi_hot(df: DataFrame, source: str, kind: str, n: int) -> DataFrame:
     """Adds the multi-hot columns of one list-literal column."""
     parsed = df.withColumn("_items", X.parse_list(source))
-    vocabulary = Vocabulary.fit(parsed, {kind: F.col("_items")}, {kind: n})
-    return parsed.select("*", *[c.alias(k) for k, c in vocabulary.columns(kind, F.col("_items")).items()]
-                         ).drop("_items")
+    vocabulary = Vocabulary.fit(item_counts(parsed, {kind: F.col("_items")}), {kind: n})
+    made = vocabulary.columns(kind, F.col("_items"))
+    return parsed.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
 def price_and_platform() -> dict[str, Column]:
@@ -83,15 +84,29 @@ def price_and_platform() -> dict[str, Column]:
     }
 
 
-def vendor_features(df: DataFrame, developers: Column, publishers: Column, key: str = "appid") -> DataFrame:
-    """Games per first developer and per first publisher, and whether the two agree."""
-    named = df.withColumns({
-        "_dev": X.first_or(developers, "unknown"),
-        "_pub": X.first_or(publishers, "unknown"),
+VENDORS = {"dev": "developers_game_count", "pub": "publishers_game_count"}
+
+
+def first_vendors(developers: Column, publishers: Column) -> dict[str, Column]:
+    return {"dev": X.first_or(developers, "unknown"), "pub": X.first_or(publishers, "unknown")}
+
+
+def vendor_features(df: DataFrame, developers: Column, publishers: Column, counts: DataFrame | None = None,
+                    key: str = "appid") -> DataFrame:
+    """Games per first developer and per first publisher, and whether the two agree.
+
+    ``counts`` are stored item counts that hold the kinds 'dev' and 'pub', if there are any yet.
+    """
+    vendors = first_vendors(developers, publishers)
+    if counts is None:
+        counts = checkpointed(item_counts(df, {k: F.array(c) for k, c in vendors.items()}))
+    out = df.withColumns({
         "is_self_published": (X.first_or(developers, "?") == X.first_or(publishers, "?")).cast("int"),
+        **{f"_{k}": c for k, c in vendors.items()},
     })
-    counted = lookup_counts(named, "_dev", key, "developers_game_count")
-    return lookup_counts(counted, "_pub", key, "publishers_game_count").drop("_dev", "_pub")
+    for kind, name in VENDORS.items():
+        out = add_lookup(out, counts.where(F.col("kind") == kind), f"_{kind}", key, name)
+    return out.drop(*[f"_{k}" for k in vendors])
 
 
 def _lists(df: DataFrame) -> dict[str, Column]:
@@ -104,13 +119,16 @@ def _lists(df: DataFrame) -> dict[str, Column]:
 def engineer(df: DataFrame, cfg: CatalogConfig, vocabulary_from: DataFrame | None = None) -> DataFrame:
     """The full table: keys, intermediates, features and targets, before the leakage guard.
 
-    Vocabularies are fitted on all rows, or on ``vocabulary_from`` (for example the train rows).
+    One pass counts list items and vendors, and its small result is stored. Vocabularies
+    come from all rows, or from ``vocabulary_from`` (for example the train rows).
     """
     lists = _lists(df)
     sizes = {k: n for k, n in (("genre", cfg.top_genres), ("tag", cfg.top_tags), ("cat", cfg.top_categories))
              if k in lists}
-    fit_on = vocabulary_from if vocabulary_from is not None else df
-    vocabulary = Vocabulary.fit(fit_on, {k: lists[k] for k in sizes}, sizes)
+    hot = {k: lists[k] for k in sizes}
+    vendors = first_vendors(lists["dev"], lists["pub"]) if {"dev", "pub"} <= set(lists) else {}
+    counts = checkpointed(item_counts(df, {**hot, **{k: F.array(c) for k, c in vendors.items()}}))
+    vocabulary = Vocabulary.fit(counts if vocabulary_from is None else item_counts(vocabulary_from, hot), sizes)
 
     parsed = df.select("*", *[c.alias(f"_l_{k}") for k, c in lists.items()])
     added: dict[str, Column] = {**price_and_platform(), **X.calendar("release_date")}
@@ -120,8 +138,8 @@ def engineer(df: DataFrame, cfg: CatalogConfig, vocabulary_from: DataFrame | Non
         added["n_languages"] = F.size("_l_lang")
     kept = [c for c in parsed.columns if c not in added]
     wide = parsed.select(*kept, *[c.alias(n) for n, c in added.items()])
-    if "dev" in lists and "pub" in lists:
-        wide = vendor_features(wide, F.col("_l_dev"), F.col("_l_pub"))
+    if vendors:
+        wide = vendor_features(wide, F.col("_l_dev"), F.col("_l_pub"), counts)
     return wide.drop(*[f"_l_{k}" for k in lists])
 
 

@@ -104,14 +104,14 @@ def with_efficiency(results: DataFrame, score: str = "mean_test_score", seconds:
 def best_by_score_and_efficiency(results: DataFrame, key: str, score: str = "mean_test_score",
                                  seconds: str = "mean_fit_time") -> DataFrame:
     """Two rows: the run with the best score, and the run with the best score per second."""
+    from shelfscope.operators.clean import first_per_key
+
     scored = with_efficiency(results, score, seconds)
-    run = F.struct(key, score, seconds, "efficiency")
-    # negated keys cannot serve for text, so the smaller key is taken by a second ordering
-    def winner(by: str, name: str):
-        top = F.max_by(run, F.struct(F.col(by), -F.col(key)))
-        return F.struct(F.lit(name).alias("criterion"), top.alias("run"))
-    both = scored.agg(F.array(winner(score, "score"), winner("efficiency", "efficiency")).alias("w"))
-    return both.select(F.inline("w")).select("criterion", "run.*")
+    ranked = scored.select("*", F.inline(F.array(
+        F.struct(F.lit("score").alias("criterion"), F.col(score).alias("_v")),
+        F.struct(F.lit("efficiency").alias("criterion"), F.col("efficiency").alias("_v")))))
+    return first_per_key(ranked, "criterion", [F.desc("_v"), F.asc(key)]).select(
+        "criterion", key, score, seconds, "efficiency")
 
 
 def long_f1(comparison: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
+LOOKUP_ROWS = 500_000
 
 
 def within(df: DataFrame, rows: int) -> bool:
@@ -17,25 +18,27 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_counts(df: DataFrame, key: str, row_id: str, out: str) -> DataFrame:
-    """Every row with the number of rows that share its ``key``.
+def add_lookup(df: DataFrame, lookup: DataFrame, key: str, row_id: str, out: str) -> DataFrame:
+    """Every row with the number ``n`` that ``lookup`` (item, n) holds for its ``key``.
 
-    The ``HOT_KEYS`` most frequent keys (a bounded table) are answered by a broadcast.
-    All other rows join by shuffle, where hot rows carry a key of their own, so they
-    spread evenly and match nothing.
+    A lookup of at most ``LOOKUP_ROWS`` rows, as counted here, is broadcast. A larger one
+    joins by shuffle, but its ``HOT_KEYS`` largest entries still go by broadcast, and rows
+    with those keys shuffle under a key of their own, so they spread evenly and match
+    nothing. ``lookup`` is read more than once and should be a stored table.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = (counts.orderBy(F.desc("_n"), F.asc(key)).limit(HOT_KEYS)
-           .select(F.col(key).alias("_hot"), F.col("_n").alias("_hot_n")))
-    marked = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
-    spread = F.when(F.col("_hot_n").isNull(), F.struct(F.lit(0).alias("h"), F.col(key).cast("string").alias("v"))).otherwise(
-        F.struct(F.lit(1).alias("h"), F.col(row_id).cast("string").alias("v")))
-    cold = counts.select(F.struct(F.lit(0).alias("h"), F.col(key).cast("string").alias("v")).alias("_k"), "_n")
-    return (
-        marked.withColumn("_k", spread).join(cold, "_k", "left")
-        .withColumn(out, F.coalesce("_hot_n", "_n"))
-        .drop("_k", "_n", "_hot", "_hot_n")
-    )
+    lookup = lookup.select("item", "n")
+    if within(lookup, LOOKUP_ROWS):
+        named = lookup.select(F.col("item").alias(key), F.col("n").alias(out))
+        return df.join(F.broadcast(named), key, "left").select(*df.columns, out)
+    hot = lookup.orderBy(F.desc("n"), F.asc("item")).limit(HOT_KEYS).select(
+        F.col("item").alias(key), F.col("n").alias("_hot"))
+    own = F.struct(F.lit(1).alias("own"), F.col(row_id).cast("string").alias("v"))
+    shared = F.struct(F.lit(0).alias("own"), F.col(key).cast("string").alias("v"))
+    marked = df.join(F.broadcast(hot), key, "left").withColumn(
+        "_k", F.when(F.col("_hot").isNull(), shared).otherwise(own))
+    cold = lookup.select(
+        F.struct(F.lit(0).alias("own"), F.col("item").cast("string").alias("v")).alias("_k"), F.col("n").alias("_n"))
+    return marked.join(cold, "_k", "left").select(*df.columns, F.coalesce("_hot", "_n").alias(out))
 
 
 def _bucket(value: Column, bounds: Sequence[float]) -> Column:
