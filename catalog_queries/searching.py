@@ -19,8 +19,8 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 def terms_sql(name: str, source: str, key: str, text: str, ngram: int = 2) -> str:
     """DuckDB: (key, term, tf) of words and, if asked, bigrams."""
     return f"""
-{name}_tok AS (SELECT {key}, list_filter(regexp_extract_all(lower(COALESCE({text}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), x -> x NOT IN ({_STOP})) AS w FROM {source}),
-{name}_gram AS (SELECT {key}, unnest(list_concat(w, {"list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])" if ngram > 1 else "[]"})) AS term FROM {name}_tok),
+{name}_tok AS (SELECT {key}, list_filter(regexp_extract_all(lower(COALESCE({text}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM {source}),
+{name}_gram AS (SELECT {key}, unnest(list_concat(w, {"list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])" if ngram > 1 else "[]"})) AS term FROM {name}_tok),
 {name} AS (SELECT {key}, term, count(*) AS tf FROM {name}_gram GROUP BY ALL)"""
 
 
@@ -127,7 +127,7 @@ def vector_search_blocked(spark, sf):
 
 @query("unit_vectors", "F12 S7", """
 SELECT vec_id, round(list_dot_product(v, v), 6) + 0.0 AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS first
-FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> x * (label + 2)) AS u, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (label + 2)) AS u, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
 def unit_vectors(spark, sf):
     """Vectors of any length scaled back to one."""
     raw = table(spark, sf, "embeddings").select(

@@ -102,13 +102,15 @@ def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 100_000)
         high = head["p"][1] if ends[1] < 1 else head["hi"]
         rank = (n - 1) * q
         first, second = math.floor(rank), math.ceil(rank)
-        below = rows.where(F.col("x") < low).count()
-        inside = rows.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("c"))
-        ranked = inside.withColumn("upto", F.sum("c").over(W.orderBy("x")) + F.lit(below))
+        # values under the bracket share one group, which sorts first
+        value_or_below = F.when(F.col("x") >= low, F.col("x"))
+        groups = rows.where(F.col("x") <= high).groupBy(value_or_below.alias("x")).agg(F.count("*").alias("c"))
+        ranked = groups.withColumn("upto", F.sum("c").over(W.orderBy(F.asc_nulls_first("x"))))
         found = ranked.agg(
+            F.max(F.when(F.col("x").isNull(), F.col("c"))).alias("below"),
             F.min(F.when(F.col("upto") > first, F.col("x"))).alias("a"),
             F.min(F.when(F.col("upto") > second, F.col("x"))).alias("b")).first()
-        if below <= first and found["b"] is not None:
+        if (found["below"] or 0) <= first and found["b"] is not None:
             return found["a"] + (found["b"] - found["a"]) * (rank - first)
         slack *= 8
 
