@@ -3,6 +3,6 @@
 
 def registry():
     """All queries by name, in the order of their modules."""
-    from catalog_queries import base, searching, shaping, tabulating  # noqa: F401
+    from catalog_queries import base, modelling, searching, shaping, tabulating  # noqa: F401
 
     return base.REGISTRY

@@ -18,6 +18,21 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+SPLIT_BYTES = 128 << 20
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread an input too small to give every core a scan split, before heavy work per row.
+
+    Parquet cannot be read in parts smaller than a row group, so a small file is one task.
+    Above one split per core the input is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # the optimizer's size estimate has no public reader in Python
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def add_lookup(df: DataFrame, lookup: DataFrame, key: str, row_id: str, out: str) -> DataFrame:
     """Every row with the number ``n`` that ``lookup`` (item, n) holds for its ``key``.
 

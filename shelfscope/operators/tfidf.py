@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope.functions.text import STOP_WORDS, term_counts
+from shelfscope.operators.skew import fill_cores
+from shelfscope.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,7 @@ class TextIndex:
 
 def count_terms(df: DataFrame, key: str, text: str, ngram_max: int, stop_words: Sequence[str]) -> DataFrame:
     """(key, term, tf), counted inside each row."""
-    return df.select(key, F.inline(term_counts(text, ngram_max, stop_words)))
+    return fill_cores(df.select(key, text)).select(key, F.inline(term_counts(text, ngram_max, stop_words)))
 
 
 def fit_vocabulary(counts: DataFrame, documents: int, max_terms: int) -> DataFrame:
@@ -53,9 +55,12 @@ def weigh(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
 
 def fit_text_index(docs: DataFrame, key: str, text: str, max_terms: int, ngram_max: int = 2,
                    stop_words: Sequence[str] = STOP_WORDS, fit_on: DataFrame | None = None) -> TextIndex:
-    """Index ``docs``; the vocabulary comes from ``fit_on`` (for example train rows) if given."""
+    """Index ``docs``; the vocabulary comes from ``fit_on`` (for example train rows) if given.
+
+    The vocabulary is fitted and stored here, so that postings and queries only read it.
+    """
     source = docs if fit_on is None else fit_on
-    vocabulary = fit_vocabulary(
-        count_terms(source, key, text, ngram_max, stop_words), source.count(), max_terms)
+    vocabulary = checkpointed(fit_vocabulary(
+        count_terms(source, key, text, ngram_max, stop_words), source.count(), max_terms))
     counts = count_terms(docs, key, text, ngram_max, stop_words).withColumnRenamed(key, "doc_id")
     return TextIndex(vocabulary, weigh(counts, "doc_id", vocabulary), ngram_max, tuple(stop_words))
