@@ -9,6 +9,7 @@ from catalog_queries.base import CFG, LABELLED, cleaned, engineered, labelled, q
 from catalog_queries.shaping import r6
 from shelfscope.operators import anomaly, gate, labels, metrics, models, neighbours, quality, reports, smote, split
 from shelfscope.operators.features import feature_columns, leakage_guard
+from shelfscope.session import checkpointed
 
 # --- metrics ---------------------------------------------------------------
 
@@ -150,11 +151,14 @@ KEYS = ("appid", "short_description", "split", "name")
 
 
 def _task(spark, sf, label):
-    """Scaled train and test rows of a task, with the feature names and the scaler."""
+    """Scaled train and test rows of a task, with the feature names and the scaler.
+
+    The split is stored first, since fits read it many times.
+    """
     guarded, _ = leakage_guard(engineered(spark, sf), CFG)
     rows = guarded.drop("short_description")
     columns = feature_columns(rows, KEYS)
-    parts = split.stratified_split(rows, label, "appid", CFG.test_size, CFG.seed)
+    parts = checkpointed(split.stratified_split(rows, label, "appid", CFG.test_size, CFG.seed))
     scaler = split.Scaler.fit(parts.where("split = 'train'"), columns)
     scaled = scaler.transform(parts)
     return scaled.where("split = 'train'"), scaled.where("split = 'test'"), columns, scaler
@@ -226,10 +230,11 @@ def feature_importances(spark, sf):
 
 @query("scored_catalog", "M15 J4")
 def scored_catalog(spark, sf):
-    model, columns, scaler = _forest(spark, sf)
-    everything = engineered(spark, sf)
-    scored = models.scores(model, scaler.transform(everything.select("appid", *columns)), columns, "gem_score")
-    return labelled(spark, sf).select("appid", "name", "price", "target_hidden_gem", "total_reviews_calc").join(
+    train, test, columns, _ = _task(spark, sf, "target_hidden_gem")
+    experiment = next(e for e in models.EXPERIMENTS if e.name == "forest_balanced")
+    model = models.fit(experiment, train, "target_hidden_gem", columns, EFFORT, CFG.seed)
+    scored = models.scores(model, train.unionByName(test), columns, "gem_score")
+    return labelled(spark, sf).select("appid", "name", "price", "genres", "target_hidden_gem", "total_reviews_calc").join(
         scored.select("appid", "gem_score"), "appid")
 
 

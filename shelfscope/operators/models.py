@@ -69,7 +69,7 @@ def assembled(df: DataFrame, columns: Sequence[str], label: str | None = None) -
 # --- estimators ------------------------------------------------------------
 
 def logistic(seed: int, effort: Effort, width: int):
-    return LogisticRegression(maxIter=1000, weightCol="weight", standardization=False)
+    return LogisticRegression(maxIter=1000, tol=1e-4, weightCol="weight", standardization=False)
 
 
 def forest(seed: int, effort: Effort, width: int):
@@ -190,6 +190,7 @@ def perceptron_by_validation(train: DataFrame, valid: DataFrame, label: str, col
     """A perceptron trained in short runs, each going on from the last weights; the model
     with the least validation loss is kept."""
     ready = assembled(train, columns, label).select("features", "label").persist()
+    valid = valid.select(label, *columns).persist()
     best, losses, weights = None, [], None
     try:
         for _ in range(epochs):
@@ -203,6 +204,7 @@ def perceptron_by_validation(train: DataFrame, valid: DataFrame, label: str, col
                 best = model
     finally:
         ready.unpersist()
+        valid.unpersist()
     return best, losses
 
 
