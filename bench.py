@@ -16,7 +16,7 @@ HEADLINE = (
     "confirmed_gems", "cleaning_funnel", "cleaned_rows", "labels", "multi_hot_long", "feature_table", "vendor_counts",
     "split_hidden_gem", "scaled_features", "screened_catalog", "anomaly_signals", "exact_quantiles", "genre_supply_demand",
     "platform_correlations", "tfidf_vocabulary", "keyword_search", "reranked_search", "vector_search", "evaluation_run",
-    "binary_metrics", "oversampled", "nearest_neighbours_by_cells", "csv_scan",
+    "binary_metrics", "oversampled", "nearest_neighbours", "csv_scan",
 )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.config import CatalogConfig
 from shelfscope.operators import clean, features, labels
+from shelfscope.session import checkpointed
 
 CFG = CatalogConfig(
     as_of=dt.date(2001, 6, 30), min_total_reviews=20, hit_owners_min=1000.0, gem_wilson_min=0.60,
@@ -116,8 +117,13 @@ def labelled(spark: SparkSession, sf: str, cfg: CatalogConfig = CFG) -> DataFram
     return labels.make_labels(cleaned(spark, sf, cfg), cfg)
 
 
+def stored_labels(spark: SparkSession, sf: str, cfg: CatalogConfig = CFG) -> DataFrame:
+    """The labelled table, stored for operators that read it several times."""
+    return checkpointed(labelled(spark, sf, cfg))
+
+
 def engineered(spark: SparkSession, sf: str, cfg: CatalogConfig = CFG) -> DataFrame:
-    return features.engineer(labelled(spark, sf, cfg), cfg)
+    return features.engineer(stored_labels(spark, sf, cfg), cfg)
 
 
 # --- SQL twins -------------------------------------------------------------

@@ -156,7 +156,7 @@ def _task(spark, sf, label):
     The split is stored first, since fits read it many times.
     """
     guarded, _ = leakage_guard(engineered(spark, sf), CFG)
-    rows = guarded.drop("short_description")
+    rows = checkpointed(guarded.drop("short_description"))
     columns = feature_columns(rows, KEYS)
     parts = checkpointed(split.stratified_split(rows, label, "appid", CFG.test_size, CFG.seed))
     scaler = split.Scaler.fit(parts.where("split = 'train'"), columns)
@@ -263,18 +263,18 @@ SCREEN = CFG.with_(anomaly_enabled=True, exclude_from_gem=True)
 
 @query("screened_catalog", "F3 F2")
 def screened_catalog(spark, sf):
-    made = anomaly.screen(cleaned(spark, sf), SCREEN)
+    made = anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN)
     return made.select("appid", "is_suspicious", "anomaly_score")
 
 
 @query("labels_without_suspicious", "F1 F3")
 def labels_without_suspicious(spark, sf):
-    return labels.label_summary(labels.make_labels(anomaly.screen(cleaned(spark, sf), SCREEN), SCREEN), SCREEN)
+    return labels.label_summary(labels.make_labels(anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN), SCREEN), SCREEN)
 
 
 @query("suspicious_rows", "T3 F3")
 def suspicious_rows(spark, sf):
-    made = labels.make_labels(anomaly.screen(cleaned(spark, sf), SCREEN), SCREEN)
+    made = labels.make_labels(anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN), SCREEN)
     return reports.suspicious(made, 20).select("appid", "name", "total_reviews_calc", "positive_ratio", "anomaly_score", "price")
 
 
@@ -304,4 +304,4 @@ def nearest_neighbours_by_cells(spark, sf):
 @query("oversampled", "F17 J8")
 def oversampled(spark, sf):
     rows = labelled(spark, sf).select("appid", "target_hidden_gem", "price", "required_age", F.log1p("price").alias("log_price"))
-    return smote.smote(rows, "target_hidden_gem", "appid", ["price", "required_age", "log_price"])
+    return smote.smote(checkpointed(rows), "target_hidden_gem", "appid", ["price", "required_age", "log_price"])

@@ -10,7 +10,7 @@ from catalog_queries.shaping import _folder, r6
 from shelfscope.functions.text import STOP_WORDS
 from shelfscope.functions.vectors import unit
 from shelfscope.operators import retrieval_eval, search, tfidf
-from shelfscope.sources.tables import read_text_index, write_text_index
+from shelfscope.sources.tables import read_text_index, write_table, write_text_index
 
 K = 20
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -197,7 +197,7 @@ _FACETS = {"min_reviews": 22, "max_price": 90, "platforms": ["windows"], "popula
 
 
 def _searched(spark, sf, pool_factor, **facets):
-    catalog = _catalog(spark, sf)
+    catalog = write_table(_catalog(spark, sf), _folder(spark, sf, "search_catalog"))
     index = tfidf.fit_text_index(catalog, "appid", "short_description", CFG.search_terms, CFG.ngram_max)
     found = search.search_catalog(
         _queries(spark, sf), catalog.withColumnRenamed("appid", "doc_id"), "ml", 10, pool_factor, index, **facets)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_queries.base import (
-    CFG, CLEAN, FEATURES, GAMES, LABELLED, RAW, cleaned, engineered, games, items, labelled, query, raw_games, table)
+    CFG, CLEAN, FEATURES, GAMES, LABELLED, RAW, cleaned, engineered, games, items, labelled, query, raw_games, stored_labels, table)
 from catalog_queries.shaping import r6
 from shelfscope.functions import scalars as X
 from shelfscope.operators import anomaly, features, labels, quality, reports, skew, split
 from shelfscope.operators.metrics import best_run
+from shelfscope.session import checkpointed
 
 PLATFORM_COLUMNS = ["windows", "mac", "linux", "n_platforms", "target_hit"]
 
@@ -38,7 +39,7 @@ def vendor_counts(spark, sf):
 @query("class_draw_ranks", "W3", "WITH " + LABELLED + """
 SELECT appid, target_hit, CAST(row_number() OVER (PARTITION BY target_hit ORDER BY md5(concat(appid, '|42'))) AS BIGINT) AS class_rank FROM labelled""")
 def class_draw_ranks(spark, sf):
-    rows = labelled(spark, sf).select("appid", "target_hit")
+    rows = stored_labels(spark, sf).select("appid", "target_hit")
     return split.class_draw_rank(rows, "target_hit", "appid", CFG.seed)
 
 
@@ -61,7 +62,7 @@ def key_figures_by_age(spark, sf):
 
 
 def _genre_table(spark, sf):
-    df = features.multi_hot(labelled(spark, sf), "genres", "genre", CFG.top_genres)
+    df = features.multi_hot(stored_labels(spark, sf), "genres", "genre", CFG.top_genres)
     df = df.withColumn("release_year", F.year("release_date"))
     return df, features.columns_like(df, prefix="genre_")
 
@@ -228,8 +229,8 @@ SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(l_extendedprice, {q}), 6) +
   round(quantile_cont(l_quantity, {q}), 6) + 0.0 AS quantity FROM lineitem""" for q in QUANTILES))
 def exact_quantiles(spark, sf):
     rows = table(spark, sf, "lineitem")
-    made = [(q, skew.exact_quantile(rows, "l_extendedprice", q), skew.exact_quantile(rows, "l_quantity", q))
-            for q in QUANTILES]
+    made = list(zip(QUANTILES, skew.exact_quantiles(rows, "l_extendedprice", QUANTILES),
+                    skew.exact_quantiles(rows, "l_quantity", QUANTILES)))
     return spark.createDataFrame(made, "q double, price double, quantity double").withColumns(
         {"price": r6("price"), "quantity": r6("quantity")})
 
@@ -281,7 +282,7 @@ SELECT l.appid, concat(v.kind, '_', replace(replace(replace(lower(v.item), ' ',
   CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.appid = l.appid AND g.kind = v.kind AND g.item = v.item) THEN 1 ELSE 0 END AS value
 FROM labelled l, voc v""")
 def multi_hot_long(spark, sf):
-    df = features.multi_hot(labelled(spark, sf), "genres", "genre", CFG.top_genres)
+    df = features.multi_hot(stored_labels(spark, sf), "genres", "genre", CFG.top_genres)
     df = features.multi_hot(df, "tags", "tag", CFG.top_tags)
     hot = features.columns_like(df, prefix="genre_") + features.columns_like(df, prefix="tag_")
     return df.unpivot("appid", hot, "feature", "value")
@@ -325,7 +326,7 @@ for _task in ("hit", "hidden_gem"):
     @query(f"split_{_task}", "F6 W3", "WITH " + LABELLED + _split_sql(_task) + f"""
 SELECT appid, target_{_task}, split FROM parts""")
     def _split(spark, sf, task=_task):
-        rows = labelled(spark, sf).select("appid", f"target_{task}")
+        rows = stored_labels(spark, sf).select("appid", f"target_{task}")
         return split.stratified_split(rows, f"target_{task}", "appid", CFG.test_size, CFG.seed)
 
 
@@ -337,7 +338,7 @@ SELECT appid, split, """ + ", ".join(
     f"round(({c} - (SELECT avg({c}) FROM parts WHERE split = 'train')) / (SELECT stddev_pop({c}) FROM parts WHERE split = 'train'), 5) + 0.0 AS {c}"
     for c in _SCALED) + " FROM parts")
 def scaled_features(spark, sf):
-    rows = engineered(spark, sf).select("appid", "target_hidden_gem", *_SCALED)
+    rows = checkpointed(engineered(spark, sf).select("appid", "target_hidden_gem", *_SCALED))
     parts = split.stratified_split(rows, "target_hidden_gem", "appid", CFG.test_size, CFG.seed)
     scaler = split.Scaler.fit(parts.where("split = 'train'"), _SCALED)
     return scaler.transform(parts).select("appid", "split", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in _SCALED])
@@ -350,12 +351,12 @@ balanced AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_hit
 
 @query("downsampled", "F16", "WITH " + LABELLED + _BALANCED + " SELECT appid, target_hit FROM balanced")
 def downsampled(spark, sf):
-    return split.downsample(labelled(spark, sf).select("appid", "target_hit"), "target_hit", "appid", CFG.seed)
+    return split.downsample(stored_labels(spark, sf).select("appid", "target_hit"), "target_hit", "appid", CFG.seed)
 
 
 @query("class_union", "U1 F16", "WITH " + LABELLED + _BALANCED + " SELECT appid, target_hit, price FROM balanced")
 def class_union(spark, sf):
-    rows = labelled(spark, sf).select("appid", "target_hit", "price")
+    rows = stored_labels(spark, sf).select("appid", "target_hit", "price")
     kept = split.downsample(rows, "target_hit", "appid", CFG.seed)
     return kept.where("target_hit = 0").unionByName(rows.where("target_hit = 1"))
 
@@ -364,7 +365,7 @@ def class_union(spark, sf):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY target_hit ORDER BY md5(concat(appid, '|7'))) AS r2, count(*) OVER (PARTITION BY target_hit) AS n FROM balanced)
 SELECT appid, target_hit, CASE WHEN r2 <= round(n * 0.2) THEN 'valid' ELSE 'train' END AS split FROM ranked""")
 def validation_split(spark, sf):
-    kept = split.downsample(labelled(spark, sf).select("appid", "target_hit"), "target_hit", "appid", CFG.seed)
+    kept = split.downsample(stored_labels(spark, sf).select("appid", "target_hit"), "target_hit", "appid", CFG.seed)
     return split.stratified_split(kept, "target_hit", "appid", 0.2, 7, ("train", "valid"))
 
 

@@ -29,7 +29,7 @@ def fill_cores(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     # the optimizer's size estimate has no public reader in Python
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
@@ -97,39 +97,48 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
         *df.columns, *[f"all_{c}" for c in sums], *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, accuracy: int = 100_000) -> float | None:
-    """Exact quantile, interpolated between neighbours.
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], accuracy: int = 100_000) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, for several shares at once.
 
-    A sketch gives a narrow bracket around the wanted rank. Rows below it are counted,
-    and only the distinct values inside it are ranked.
+    A sketch gives a narrow bracket around each wanted rank. One more pass counts the rows
+    outside the brackets by gap, and keeps values apart only inside them.
     """
     x = F.col(value).cast("double")
     rows = df.select(x.alias("x")).where(F.col("x").isNotNull())
     slack = 4.0 / accuracy
     while True:
-        ends = [max(0.0, q - slack), min(1.0, q + slack)]
-        head = rows.agg(F.count("*").alias("n"), F.percentile_approx("x", ends, accuracy).alias("p"),
-                        F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        n = head["n"]
-        if n == 0:
-            return None
-        low = head["p"][0] if ends[0] > 0 else head["lo"]
-        high = head["p"][1] if ends[1] < 1 else head["hi"]
-        rank = (n - 1) * q
-        first, second = math.floor(rank), math.ceil(rank)
-        # values under the bracket share one group, which sorts first
-        value_or_below = F.when(F.col("x") >= low, F.col("x"))
-        groups = rows.where(F.col("x") <= high).groupBy(value_or_below.alias("x")).agg(F.count("*").alias("c"))
-        ranked = groups.withColumn("upto", F.sum("c").over(W.orderBy(F.asc_nulls_first("x"))))
-        found = ranked.agg(
-            F.max(F.when(F.col("x").isNull(), F.col("c"))).alias("below"),
-            F.min(F.when(F.col("upto") > first, F.col("x"))).alias("a"),
-            F.min(F.when(F.col("upto") > second, F.col("x"))).alias("b")).first()
-        if (found["below"] or 0) <= first and found["b"] is not None:
-            return found["a"] + (found["b"] - found["a"]) * (rank - first)
+        ends = [(max(0.0, q - slack), min(1.0, q + slack)) for q in shares]
+        head = rows.agg(
+            F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+            F.percentile_approx("x", [e for pair in ends for e in pair], accuracy).alias("p")).first()
+        if head["n"] == 0:
+            return [None] * len(shares)
+        brackets = [(head["lo"] if a <= 0 else head["p"][2 * i], head["hi"] if b >= 1 else head["p"][2 * i + 1])
+                    for i, (a, b) in enumerate(ends)]
+        apart, gap = F.lit(False), F.lit(0)
+        for low, high in brackets:
+            apart = apart | F.col("x").between(low, high)
+            gap = gap + (F.col("x") > high).cast("int")
+        groups = rows.groupBy(F.when(apart, F.col("x")).alias("v"), F.when(~apart, gap).alias("gap")).agg(
+            F.count("*").alias("c"), F.min("x").alias("x"))
+        ranked = groups.withColumn("upto", F.sum("c").over(W.orderBy("x")))
+        ranks = [(head["n"] - 1) * q for q in shares]
+        picks = []
+        for i, r in enumerate(ranks):
+            for j, want in enumerate((math.floor(r), math.ceil(r))):
+                first = F.min_by(F.struct("v"), F.when(F.col("upto") > want, F.col("upto")))
+                picks.append(first.alias(f"q{i}_{j}"))
+        found = ranked.agg(*picks).first()
+        pairs = [(found[f"q{i}_0"]["v"], found[f"q{i}_1"]["v"]) for i in range(len(shares))]
+        if all(v is not None for pair in pairs for v in pair):
+            return [a + (b - a) * (r - math.floor(r)) for (a, b), r in zip(pairs, ranks)]
         slack *= 8
 
 
+def exact_quantile(df: DataFrame, value: str, share: float, accuracy: int = 100_000) -> float | None:
+    return exact_quantiles(df, value, [share], accuracy)[0]
+
+
 def draw_order(row_id: str, seed: int | str) -> Column:
     """A seeded pseudo-random order: the hex md5 of the id and the seed."""
     return F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed))))
