@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.operators.metrics import binary_metrics
+from shelfscope.operators.skew import class_sizes
 from shelfscope.operators.smote import smote
 from shelfscope.operators.split import Scaler, class_draw_rank
 
@@ -38,7 +39,7 @@ QUICK = Effort(trees=100, rounds=100, mlp_iterations=100)
 # --- inputs ----------------------------------------------------------------
 
 def class_counts(df: DataFrame, label: str) -> dict[float, int]:
-    return {float(r[label]): r["count"] for r in df.groupBy(label).count().collect()}
+    return {float(c): n for c, n in class_sizes(df, label).items()}
 
 
 def weighted(df: DataFrame, label: str, weights: Mapping[float, float]) -> DataFrame:

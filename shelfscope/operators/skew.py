@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -144,30 +144,46 @@ def draw_order(row_id: str, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed))))
 
 
-def draw_cutoffs(df: DataFrame, wanted: DataFrame, label: str, draw: str, digits: int = 4) -> DataFrame:
-    """Per label, the draw value of the ``want``-th row in draw order.
+MAX_CLASSES = 1000
 
-    ``wanted`` holds (label, want). A histogram over the first hex digits finds the
-    bucket where the count is reached, and only that bucket is ranked, so no class is
-    ever sorted as a whole.
+
+def class_sizes(df: DataFrame, label: str) -> dict:
+    """Rows per class. A label with more than ``MAX_CLASSES`` values is an error."""
+    rows = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
+    return {r["c"]: r["n"] for r in rows}
+
+
+def draw_cutoffs(df: DataFrame, want: Mapping, label: str, draw: Column, digits: int = 4) -> dict:
+    """Per class, the draw value of its ``want``-th row in draw order; one value per class.
+
+    A histogram over the first hex digits finds the bucket where the count is reached, and
+    only that bucket is ranked, so no class is ever sorted as a whole.
     """
-    prefix = F.substring(draw, 1, digits)
-    histogram = df.groupBy(label, prefix.alias("_p")).agg(F.count("*").alias("_c"))
-    upto = W.partitionBy(label).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    wanted = {c: n for c, n in want.items() if n > 0}
+    if not wanted:
+        return {}
+    rows = df.select(F.col(label).alias("c"), draw.alias("d")).withColumn("p", F.substring("d", 1, digits))
+
+    def of_class(values: Mapping, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for c, v in values.items():
+            out = F.when(F.col("c") == c, F.lit(v)).otherwise(out)
+        return out
+
+    upto = F.sum("n").over(W.partitionBy("c").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
     reached = (
-        histogram.withColumn("_upto", F.sum("_c").over(upto))
-        .join(F.broadcast(wanted), label)
-        .where((F.col("_upto") >= F.col("want")) & (F.col("_upto") - F.col("_c") < F.col("want")))
-        .select(label, "_p", (F.col("want") - F.col("_upto") + F.col("_c")).alias("_nth"))
-    )
-    candidates = df.select(label, F.col(draw).alias("cutoff"), prefix.alias("_p"))
-    rank = W.partitionBy(label).orderBy("cutoff")
-    return (
-        candidates.join(F.broadcast(reached), [label, "_p"])
-        .withColumn("_r", F.row_number().over(rank))
-        .where(F.col("_r") == F.col("_nth"))
-        .select(label, "cutoff")
+        rows.groupBy("c", "p").agg(F.count("*").alias("n"))
+        .withColumns({"upto": upto, "want": of_class(wanted, "long")})
+        .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
+        .select("c", "p", (F.col("want") - F.col("upto") + F.col("n")).alias("nth")).collect()
     )
+    bucket, nth = {r["c"]: r["p"] for r in reached}, {r["c"]: r["nth"] for r in reached}
+    rank = F.row_number().over(W.partitionBy("c").orderBy("d"))
+    found = rows.where(F.col("p") == of_class(bucket, "string")).withColumn("r", rank).where(
+        F.col("r") == of_class(nth, "long")).collect()
+    return {r["c"]: r["d"] for r in found}
 
 
 def draw_rank(df: DataFrame, label: str, draw: str, out: str, digits: int = 4) -> DataFrame:

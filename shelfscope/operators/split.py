@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.operators.skew import draw_cutoffs, draw_order, draw_rank
+from shelfscope.operators.skew import class_sizes, draw_cutoffs, draw_order, draw_rank
 
 
 def class_draw_rank(df: DataFrame, label: str, key: str, seed: int, out: str = "class_rank") -> DataFrame:
@@ -18,32 +18,30 @@ def class_draw_rank(df: DataFrame, label: str, key: str, seed: int, out: str = "
     return draw_rank(drawn, label, "_draw", out).drop("_draw")
 
 
-def _taken(df: DataFrame, wanted: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """Adds ``_taken``: the row is among the first ``want`` of its class. Classes are few."""
-    drawn = df.withColumn("_draw", draw_order(key, seed))
-    cutoffs = draw_cutoffs(drawn.select(label, "_draw"), wanted, label, "_draw")
-    return (
-        drawn.join(F.broadcast(cutoffs), label, "left")
-        .withColumn("_taken", F.coalesce(F.col("_draw") <= F.col("cutoff"), F.lit(False)))
-        .drop("_draw", "cutoff")
-    )
+def _taken(df: DataFrame, want: Mapping, label: str, key: str, seed: int) -> Column:
+    """True for the first ``want`` rows of each class in draw order: a comparison with one
+    stored value per class, so that the rows themselves are neither joined nor shuffled."""
+    draw = draw_order(key, seed)
+    taken = F.lit(False)
+    for c, cutoff in draw_cutoffs(df, want, label, draw).items():
+        taken = F.when(F.col(label) == c, draw <= F.lit(cutoff)).otherwise(taken)
+    return taken
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42,
                      names: tuple[str, str] = ("train", "test")) -> DataFrame:
-    """Adds ``split``; each class gives round(test_size * n) rows to the second name."""
-    wanted = df.groupBy(label).agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("want"))
-    taken = _taken(df, wanted, label, key, seed)
-    return (taken.withColumn("split", F.when(F.col("_taken"), names[1]).otherwise(names[0]))
-            .drop("_taken").select(*df.columns, "split"))
+    """Adds ``split``; each class gives round(test_size * n) rows to the second name.
+
+    ``df`` is read three times to fit the cut-offs and should be a stored table.
+    """
+    want = {c: math.floor(n * test_size + 0.5) for c, n in class_sizes(df, label).items()}
+    return df.withColumn("split", F.when(_taken(df, want, label, key, seed), names[1]).otherwise(names[0]))
 
 
 def downsample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, without replacement, in one filter."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    # one row per class, so one window over all of them is small
-    wanted = counts.select(label, F.min("n").over(W.partitionBy(F.lit(0))).alias("want"))
-    return _taken(df, wanted, label, key, seed).where("_taken").select(*df.columns)
+    sizes = class_sizes(df, label)
+    return df.where(_taken(df, dict.fromkeys(sizes, min(sizes.values(), default=0)), label, key, seed))
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ _TYPES: dict[str, T.DataType] = {
          "user_score", "metacritic_score", "discount"), T.DoubleType()),
 }
 
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def csv_schema(header: Sequence[str]) -> T.StructType:
@@ -39,15 +39,20 @@ def csv_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in header])
 
 
-def read_raw_csv(spark: SparkSession, path: str, drop: Sequence[str] = HEAVY_COLUMNS) -> DataFrame:
-    """Only the header line is read for names; the wanted columns alone are parsed."""
+def read_raw_csv(spark: SparkSession, path: str, drop: Sequence[str] = HEAVY_COLUMNS, multi_line: bool = True) -> DataFrame:
+    """Only the header line is read for names; the wanted columns alone are parsed.
+
+    Texts may hold line breaks, so a file is one task by default. Where they do not,
+    ``multi_line=False`` lets Spark split large files.
+    """
     header = spark.read.options(**_CSV_OPTIONS).csv(path).columns
     wanted = [c for c in header if c not in set(drop)]
-    return spark.read.schema(csv_schema(header)).options(**_CSV_OPTIONS).csv(path).select(*wanted)
+    reader = spark.read.schema(csv_schema(header)).options(**_CSV_OPTIONS, multiLine=str(multi_line).lower())
+    return reader.csv(path).select(*wanted)
 
 
-def read_search_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw_csv(spark, path).select(*SEARCH_COLUMNS)
+def read_search_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_raw_csv(spark, path, multi_line=multi_line).select(*SEARCH_COLUMNS)
 
 
 def write_raw_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
