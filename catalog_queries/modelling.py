@@ -301,7 +301,24 @@ def nearest_neighbours_by_cells(spark, sf):
     return neighbours.k_nearest(_vector_points(spark, sf), 5, block=60, pivots=16).withColumn("distance", r6("distance"))
 
 
-@query("oversampled", "F17 J8")
+_DRAW = "CAST(CAST(('0x' || substr(md5(concat(appid, '|', copy, '|42{s}')), 1, 12)) AS BIGINT) AS DOUBLE) / pow(16.0, 12)"
+
+
+@query("oversampled", "F17 J8", "WITH " + LABELLED + f""",
+r AS (SELECT appid, target_hidden_gem AS y, price, required_age, ln(1 + price) AS log_price FROM labelled),
+m AS (SELECT *, row_number() OVER (ORDER BY md5(concat(appid, '|42'))) AS rk FROM r WHERE y = 1),
+size AS (SELECT count(*) FILTER (y = 1) AS have, count(*) FILTER (y = 0) - count(*) FILTER (y = 1) AS need FROM r),
+nn AS (SELECT * FROM (SELECT a.appid, b.appid AS neighbour, b.price AS p2, b.required_age AS a2, b.log_price AS l2,
+    row_number() OVER (PARTITION BY a.appid ORDER BY round(sqrt(pow(a.price - b.price, 2) + pow(a.required_age - b.required_age, 2) + pow(a.log_price - b.log_price, 2)), 9), b.appid) AS k
+  FROM m a JOIN m b ON a.appid <> b.appid) WHERE k <= 5),
+seeds AS (SELECT m.*, unnest(range(1, CAST(need // have + CASE WHEN rk <= need % have THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM m, size),
+drawn AS (SELECT *, CAST(floor({_DRAW.format(s='n')} * 5) AS BIGINT) + 1 AS k, {_DRAW.format(s='g')} AS gap FROM seeds)
+SELECT appid, y AS target_hidden_gem, round(price, 6) + 0.0 AS price, round(required_age, 6) + 0.0 AS required_age,
+  round(log_price, 6) + 0.0 AS log_price, CAST(NULL AS BIGINT) AS neighbour, CAST(NULL AS DOUBLE) AS gap FROM r
+UNION ALL SELECT d.appid, 1, round(price + gap * (p2 - price), 6) + 0.0, round(required_age + gap * (a2 - required_age), 6) + 0.0,
+  round(log_price + gap * (l2 - log_price), 6) + 0.0, neighbour, round(gap, 6) + 0.0 FROM drawn d JOIN nn ON nn.appid = d.appid AND nn.k = d.k""")
 def oversampled(spark, sf):
     rows = labelled(spark, sf).select("appid", "target_hidden_gem", "price", "required_age", F.log1p("price").alias("log_price"))
-    return smote.smote(checkpointed(rows), "target_hidden_gem", "appid", ["price", "required_age", "log_price"])
+    columns = ["price", "required_age", "log_price"]
+    made = smote.smote(checkpointed(rows), "target_hidden_gem", "appid", columns)
+    return made.withColumns({c: r6(c) for c in (*columns, "gap")})

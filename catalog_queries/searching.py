@@ -139,13 +139,20 @@ def unit_vectors(spark, sf):
 
 def letter_encoder(texts: list[str]) -> np.ndarray:
     """A small stand-in encoder: letter frequencies."""
-    return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in map(str.lower, texts)], dtype=float)
+    return np.array([[t.count(c) for c in _LETTERS] for t in map(str.lower, texts)], dtype=float)
 
 
-@query("encoded_texts", "F12")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("encoded_texts", "F12", f"""
+WITH t AS (SELECT doc_id, lower(text) AS t FROM documents),
+c AS (SELECT doc_id, list_transform(string_split('{",".join(_LETTERS)}', ','), lambda x: CAST(length(t) - length(replace(t, x, '')) AS DOUBLE)) AS v FROM t)
+SELECT doc_id, CAST(len(v) AS INT) AS dimensions, round(CAST(CAST(CASE WHEN list_sum(v) = 0 THEN 0 ELSE v[5] / sqrt(list_dot_product(v, v)) END AS FLOAT) AS DOUBLE), 5) + 0.0 AS share_of_e FROM c""")
 def encoded_texts(spark, sf):
     made = search.encode(table(spark, sf, "documents"), "doc_id", "text", letter_encoder)
-    return made.select("doc_id", F.size("vector").alias("dimensions"))
+    share = F.round(F.get("vector", F.lit(4)).cast("double"), 5) + F.lit(0.0)
+    return made.select("doc_id", F.size("vector").alias("dimensions"), share.alias("share_of_e"))
 
 
 # --- routing, facets, re-ranking -------------------------------------------
