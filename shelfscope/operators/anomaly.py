@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.config import CatalogConfig
 from shelfscope.functions import scalars as X
-from shelfscope.operators.skew import draw_order, exact_quantile
+from shelfscope.operators.skew import draw_sample, exact_quantile
 from shelfscope.session import checkpointed
 
 SIGNALS = ("log_reviews", "rev_per_owner", "positive_ratio", "rec_per_review", "log_price")
@@ -90,10 +90,7 @@ class IsolationForest:
         """The subsample is bounded by trees x sample; each tree is grown in its own task."""
         spark = signals.sparkSession
         pool_size = cfg.anomaly_trees * cfg.anomaly_sample
-        pool = (
-            signals.withColumn("_d", draw_order(key, cfg.seed)).orderBy("_d").limit(pool_size)
-            .select(*SIGNALS).toPandas().to_numpy(float)
-        )
+        pool = draw_sample(signals, key, cfg.seed, pool_size).select(*SIGNALS).toPandas().to_numpy(float)
         size = min(cfg.anomaly_sample, len(pool))
         limit = max(1, math.ceil(math.log2(max(size, 2))))
         shared, seed = spark.sparkContext.broadcast(pool), cfg.seed

@@ -200,19 +200,27 @@ def hit_facets(min_reviews: int = 0, max_price: float | None = None, platforms:
 
 
 def rerank(hits: DataFrame, catalog: DataFrame, k: int, min_reviews: int = 0, max_price: float | None = None,
-           platforms: Sequence[str] = (), popularity_weight: float = 0.0) -> DataFrame:
-    """Hits joined to catalog rows, filtered, blended with popularity, and cut to k per query."""
+           platforms: Sequence[str] = (), popularity_weight: float = 0.0, bounded: bool = True) -> DataFrame:
+    """Hits joined to catalog rows, filtered, blended with popularity, and cut to k per query.
+
+    ``bounded`` says that each query has a limited pool of hits, whose maxima may come from
+    a window. Otherwise they are aggregated first and joined back.
+    """
     pool = hits.drop("rank").join(catalog, "doc_id").where(hit_facets(min_reviews, max_price, platforms))
-    if popularity_weight > 0:
-        pool = pool.withColumn("_log", F.log1p(F.col("total_reviews").cast("double")))
-        best = pool.groupBy("query_id").agg(F.max("relevance").alias("_top"), F.max("_log").alias("_most"))
-        relevance = F.col("relevance") / (F.col("_top") + F.lit(1e-9))
-        popularity = F.coalesce(F.try_divide("_log", "_most"), F.lit(0.0)) * F.col("positive_ratio")
-        blended = F.lit(1 - popularity_weight) * relevance + F.lit(popularity_weight) * popularity
-        pool = pool.join(best, "query_id").withColumn("score", F.round(blended, 9)).drop("_log", "_top", "_most")
+    if popularity_weight <= 0:
+        return top_per_query(pool.withColumn("score", F.col("relevance")), k, "score")
+    pool = pool.withColumn("_log", F.log1p(F.col("total_reviews").cast("double")))
+    top, most = F.max("relevance"), F.max("_log")
+    if bounded:
+        query = W.partitionBy("query_id")
+        pool = pool.withColumns({"_top": top.over(query), "_most": most.over(query)})
     else:
-        pool = pool.withColumn("score", F.col("relevance"))
-    return top_per_query(pool, k, "score")
+        pool = pool.join(pool.groupBy("query_id").agg(top.alias("_top"), most.alias("_most")), "query_id")
+    relevance = F.col("relevance") / (F.col("_top") + F.lit(1e-9))
+    popularity = F.coalesce(F.try_divide("_log", "_most"), F.lit(0.0)) * F.col("positive_ratio")
+    blended = F.lit(1 - popularity_weight) * relevance + F.lit(popularity_weight) * popularity
+    scored = pool.withColumn("score", F.round(blended, 9)).drop("_log", "_top", "_most")
+    return top_per_query(scored, k, "score")
 
 
 def search_catalog(queries: DataFrame, catalog: DataFrame, method: str, k: int = 10, pool_factor: int | None = 15,
@@ -227,7 +235,7 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, method: str, k: int =
     if pool_factor is None:
         if method != "ml":
             raise ValueError("pool_factor=None needs method 'ml'")
-        return rerank(keyword_scores(index, queries), catalog, k, **facets)
+        return rerank(keyword_scores(index, queries), catalog, k, bounded=False, **facets)
     hits = (search_routed(queries, k * pool_factor, index, doc_vectors, query_vectors) if method == "auto"
             else search(queries, method, k * pool_factor, index, doc_vectors, query_vectors))
     return rerank(hits, catalog, k, **facets)

@@ -144,6 +144,21 @@ def draw_order(row_id: str, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed))))
 
 
+def draw_sample(df: DataFrame, key: str, seed: int | str, rows: int) -> DataFrame:
+    """The ``rows`` rows that come first in draw order, for a small bounded number of rows.
+
+    Draws are uniform, so a threshold leaves about twice the wanted rows; only those are
+    ordered. Were they too few, all rows would be ordered instead.
+    """
+    drawn = df.withColumn("_d", draw_order(key, seed))
+    n = df.count()
+    if n > 8 * rows:
+        near = drawn.where(F.col("_d") < format(int(2 * rows / n * 16 ** 12), "012x"))
+        if not within(near, rows - 1):
+            drawn = near
+    return drawn.orderBy("_d").limit(rows).drop("_d")
+
+
 MAX_CLASSES = 1000
 
 

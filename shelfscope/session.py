@@ -48,5 +48,6 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

@@ -33,7 +33,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def write_text_index(index, path: str) -> None:
-    """``index`` is a TextIndex; postings are clustered by term for later lookups."""
+    """``index`` is a TextIndex; each file of postings holds whole documents."""
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
 

@@ -319,3 +319,10 @@ def test_grid_search(spark, separable):
     train, _, columns = separable
     got = models.grid_search(train, "target_hit", "appid", columns, [2], [3, 5], folds=2).collect()
     assert len(got) == 2 and all(0 <= r["mean_test_score"] <= 1 and r["mean_fit_time"] > 0 for r in got)
+
+
+def test_draw_sample_is_the_head_of_the_draw_order(spark):
+    df = spark.range(20_000)
+    whole = [r["id"] for r in df.orderBy(skew.draw_order("id", 7)).limit(50).collect()]
+    assert [r["id"] for r in skew.draw_sample(df, "id", 7, 50).collect()] == whole
+    assert skew.draw_sample(spark.range(5), "id", 7, 50).count() == 5
