@@ -40,7 +40,7 @@ def score_curve(spark, sf):
 cut AS (SELECT lang, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5) AS pp, count(*) FILTER (y = 1) AS p FROM scored GROUP BY lang),
 best AS (SELECT lang, s, f1 FROM f1 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1.f1 DESC, s) = 1)
 SELECT f1.lang, any_value(all_n) AS rows, any_value(all_pos) AS positives, round(sum(COALESCE(f1.pos / all_pos, 0.0) * f1.p), 6) + 0.0 AS pr_auc,
-  round(sum((n - pos) * (cum_pos - pos / 2.0)) / (any_value(all_pos) * (any_value(all_n) - any_value(all_pos))), 6) + 0.0 AS roc_auc,
+  round(sum((n - pos) * (cum_pos - pos / 2.0)) / NULLIF(any_value(all_pos) * (any_value(all_n) - any_value(all_pos)), 0), 6) + 0.0 AS roc_auc,
   round(any_value(COALESCE(cut.tp / cut.pp, 0.0)), 6) + 0.0 AS precision, round(any_value(COALESCE(cut.tp / cut.p, 0.0)), 6) + 0.0 AS recall,
   round(any_value(COALESCE(2.0 * cut.tp / (cut.pp + cut.p), 0.0)), 6) + 0.0 AS f1,
   any_value(best.s) AS best_threshold, round(any_value(best.f1), 6) + 0.0 AS f1_at_best

@@ -21,7 +21,7 @@ def binary_metrics(scored: DataFrame, label: str, score: str, by: Sequence[str]
     """Average precision, ROC area, precision, recall and F1 at ``cut``, and the best-F1 threshold.
 
     Average precision is the step sum; equal scores count as one threshold; the lowest of
-    equally good thresholds wins.
+    equally good thresholds wins. The ROC area of a group with one class is null.
     """
     tp, upto, pos, n = F.col("cum_pos"), F.col("cum_n"), F.col("pos"), F.col("n")
     all_pos, all_n = F.col("all_pos"), F.col("all_n")
