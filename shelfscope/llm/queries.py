@@ -104,3 +104,39 @@ def op1_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     from shelfscope.llm.near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf, "documents"))
+
+
+CONTAINED = r"""
+WITH split AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+worded AS (
+  SELECT side, id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM split),
+shingled AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(ws) >= 5
+    THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS shingle FROM worded),
+sizes AS (SELECT id, count(*) AS item_shingles FROM shingled WHERE side = 1 GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM shingled d JOIN shingled i
+  ON d.shingle = i.shingle AND d.side = 0 AND i.side = 1 GROUP BY d.id, i.id)
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+FROM shared JOIN sizes ON id = item_id WHERE 100 * shared >= 75 * item_shingles
+"""
+
+
+@_query(CONTAINED)
+def op5_benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.decontaminate import contained_items
+
+    return contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).drop("text_key")
+
+
+@_query()
+def op4_language_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.common import held_out
+    from shelfscope.llm.language import fit_and_identify
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    found = fit_and_identify(docs, ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
