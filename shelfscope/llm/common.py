@@ -31,6 +31,34 @@ def stored(df: DataFrame, kind: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Scratch:
+    """Stored tables of one operator call, removed together once the result is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.folder, self.n = fresh_folder(spark, kind), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(folder := f"{self.folder}/{self.n}")
+        return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *raised) -> None:
+        from pyarrow import fs
+
+        if self.n:
+            system, path = fs.FileSystem.from_uri(self.folder)
+            system.delete_dir(path)
+
+
+def slices(batch, rows: int = 256):
+    """Parts of an Arrow batch, so that only some texts are Python objects at a time."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def words(text: Column) -> Column:
     """Words of the text with A-Z in lower case; null gives no word."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

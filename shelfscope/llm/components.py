@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import stored
+from shelfscope.llm.common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """id, component (the smallest id reachable) of every id that has an edge to another id.
 
     `edges` has two integer columns. Each round hands every node's larger, then all its
@@ -23,16 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     linked = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    star = stored(edges.where(linked).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    star = keep.stored(edges.where(linked).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(star)
     while state[0]:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "smallest")
-        large = stored(
-            both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        smallest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
+        smallest = keep.stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = keep.stored(
+            both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        smallest = keep.stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = stored(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        star = keep.stored(small.union(smallest.select("u", F.col("m").alias("v"))).distinct())
         if (now := _state(star)) == state:
             break
         state = now

@@ -13,7 +13,7 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes that are hashed together; a longer text or word makes its own larger buffer.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import stored
+from shelfscope.llm.common import slices, stored
 
 #: First and last code point of the blocks of common scripts.
 SCRIPTS = {
@@ -45,6 +45,8 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
+#: Characters that are looked at together.
+GROUP = 1 << 17
 #: Script code of a letter outside these ranges.
 OTHER = len(SCRIPTS) + 1
 
@@ -86,61 +88,52 @@ def lowered(text: str) -> str:
 
 
 class Letters:
-    """Words and trigram buckets of texts that are looked at together."""
+    """Words and trigram buckets of texts that are looked at together; `buckets` is a power of two."""
 
     def __init__(self, texts: list[str], buckets: int):
         joined = "\n".join(texts) + "\n"
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        script = _scripts()[np.minimum(code, 0x10FFFF)]
-        before = np.empty_like(script)
-        before[:1], before[1:] = 0, script[:-1]
-        self.starts = np.flatnonzero((script > 0) & (script != before))
-        last = np.flatnonzero((before > 0) & (script != before))
-        self.ends = last
-        self.script = script[self.starts]
-        # Three letters with marks (0) at the word's ends; the last trigram of a word stands one place behind it.
-        inside = script > 0
-        n = np.where(inside, code, 0).astype(np.uint64)
-        fresh = np.zeros(len(code), bool)
-        fresh[self.starts] = True
-        one, two = np.empty_like(n), np.empty_like(n)
-        one[:1], one[1:] = 0, n[:-1]
-        one[fresh] = 0
-        two[:1], two[1:] = 0, one[:-1]
-        two[fresh] = 0
-        two[one == 0] = 0
-        mixed = (n * np.uint64(0x9E3779B97F4A7C15)) ^ (one * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (two * np.uint64(0x165667B19E3779F9))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        bucket = (mixed >> np.uint64(32)) % np.uint64(buckets)
-        # The letters of all words in order, each word followed by the trigram that ends it.
-        lengths = self.ends - self.starts
-        tail = np.empty(len(self.ends), np.uint64)
-        if len(tail):
-            a, b = n[self.ends - 1], np.where(lengths > 1, n[np.maximum(self.ends - 2, 0)], 0).astype(np.uint64)
-            t = (a * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (b * np.uint64(0x165667B19E3779F9))
-            t ^= t >> np.uint64(29)
-            t *= np.uint64(0xBF58476D1CE4E5B9)
-            tail = (t >> np.uint64(32)) % np.uint64(buckets)
-        self.bucket, self.tail, self.inside, self.lengths = bucket, tail, inside, lengths
+        script = _scripts()[code]
+        change = np.flatnonzero(script[1:] != script[:-1]) + 1
+        if script[0]:
+            change = np.concatenate([[0], change])
+        # Every change of script begins a word, ends one, or both.
+        begins = change[script[change] > 0]
+        ends = change[(change > 0) & (script[np.maximum(change, 1) - 1] > 0)]
+        self.starts, self.ends, self.script = begins, ends, script[begins]
+        self.lengths = ends - begins
+        letters = code[script > 0]
+        self.first = np.cumsum(self.lengths) - self.lengths
+        # Trigrams end at each letter, and one behind the word's last; 0 marks the word's ends.
+        one, two = np.zeros_like(letters), np.zeros_like(letters)
+        one[1:], two[2:] = letters[:-1], letters[:-2]
+        one[self.first] = two[self.first] = 0
+        second = self.first[self.lengths > 1] + 1
+        two[second] = 0
+        last = self.first + self.lengths - 1
+        self.bucket = _bucket(letters, one, two, buckets)
+        self.tail = _bucket(np.zeros_like(letters[last]), letters[last], one[last], buckets)
         # Words of text k are at cuts[k]:cuts[k + 1]; offsets[k] is where the text starts.
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.cuts = np.searchsorted(self.starts, self.offsets)
 
     def counts(self, buckets: int) -> np.ndarray:
         """Occurrences of each bucket, then letters of each script."""
-        found = np.bincount(self.bucket[self.inside].astype(np.int64), minlength=buckets)
-        found = found + np.bincount(self.tail.astype(np.int64), minlength=buckets)
+        found = np.bincount(self.bucket, minlength=buckets) + np.bincount(self.tail, minlength=buckets)
         return np.concatenate([found, np.bincount(self.script, weights=self.lengths, minlength=256).astype(np.int64)])
 
     def scores(self, model: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language."""
         if not len(self.starts):
             return np.zeros((0, model.shape[1]), np.float32)
-        letters = model[self.bucket[self.inside]]
-        at = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        return np.add.reduceat(letters, at, axis=0, dtype=np.float64).astype(np.float32) + model[self.tail]
+        return np.add.reduceat(model[self.bucket], self.first, axis=0) + model[self.tail]
+
+
+def _bucket(c: np.ndarray, b: np.ndarray, a: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = c * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77) ^ a * np.uint32(0xC2B2AE3D)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
+    return ((mixed >> np.uint32(12)) & np.uint32(buckets - 1)).astype(np.int32)
 
 
 def fit(spark: SparkSession, rows: DataFrame, p: LanguageParameters = LanguageParameters()) -> dict:
@@ -148,12 +141,12 @@ def fit(spark: SparkSession, rows: DataFrame, p: LanguageParameters = LanguagePa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             by: dict[str, list[str]] = {}
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 by.setdefault(lang, []).append(lowered(text))
             for lang, texts in by.items():
-                for some in _together(texts, 1 << 20):
+                for some in _together(texts, GROUP):
                     n = Letters(some, p.buckets).counts(p.buckets)
                     total[lang] = total[lang] + n if lang in total else n
         for lang, n in total.items():
@@ -200,19 +193,19 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     rise = gain[0].max() if n == 1 else max(gain[0].max(), (gain[1:] - floor[:-1]).max())
     if rise <= penalty / 2:
         return np.full(n, best)
-    came = np.empty((n, languages), np.int32)
-    own = np.arange(languages)
-    value = scores[0].copy()
-    for t in range(1, n):
-        top = int(value.argmax())
-        change = value[top] - penalty
-        stay = value >= change
-        came[t] = np.where(stay, own, top)
-        value = np.where(stay, value, change) + scores[t]
+    # Values before each word's step; lists are faster than arrays for a few languages.
+    value, values = [0.0] * languages, []
+    for row in scores.tolist():
+        values.append(value)
+        change = max(value) - penalty
+        value = [(v if v >= change else change) + x for v, x in zip(value, row, strict=True)]
     path = np.empty(n, np.int64)
-    path[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
+    at = value.index(max(value))
+    for t in range(n - 1, -1, -1):
+        path[t] = at
+        top = max(values[t])
+        if values[t][at] < top - penalty:
+            at = values[t].index(top)
     return path
 
 
@@ -226,37 +219,49 @@ def label(text_scores: np.ndarray, script: np.ndarray, lengths: np.ndarray, mode
     return path, top, float(letters[top] / letters.sum())
 
 
+def _labelled(texts: list[str], model: dict, names: list[str], p: LanguageParameters) -> list[dict]:
+    found = Letters(texts, p.buckets)
+    scores = found.scores(model["model"]) if names else None
+    out = []
+    for k in range(len(texts)):
+        a, b = found.cuts[k], found.cuts[k + 1]
+        if a == b or not names:
+            out.append({"lang_pred": "und", "score": 0.0, "spans": []})
+            continue
+        path, top, share = label(scores[a:b], found.script[a:b], found.lengths[a:b], model, p.switch_penalty)
+        edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
+        at = found.offsets[k]
+        spans = [
+            {"start": int(found.starts[a + x] - at), "end": int(found.ends[a + y - 1] - at), "lang": names[path[x]]}
+            for x, y in zip(edges[:-1], edges[1:], strict=True)
+        ]
+        out.append({"lang_pred": names[top], "score": share, "spans": spans})
+    return out
+
+
 def identify(docs: DataFrame, model: dict, p: LanguageParameters = LanguageParameters(), text: str = "text") -> DataFrame:
     """The rows with lang_pred, score and spans (first and last character + 1, language) added."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     languages = len(model["languages"])
 
-    @F.pandas_udf("lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    shape = pa.struct([
+        ("lang_pred", pa.string()), ("score", pa.float64()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))),
+    ])
+
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         names = model["languages"]
-        for series in batches:
+        for whole in batches:
             out = []
-            texts = [lowered(t) if t else "" for t in series]
-            for some in _together(texts, max(1 << 16, (1 << 22) // max(4, languages))):
-                found = Letters(some, p.buckets)
-                scores = found.scores(model["model"]) if names else None
-                for k in range(len(some)):
-                    a, b = found.cuts[k], found.cuts[k + 1]
-                    if a == b or not names:
-                        out.append(("und", 0.0, []))
-                        continue
-                    path, top, share = label(scores[a:b], found.script[a:b], found.lengths[a:b], model, p.switch_penalty)
-                    edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [b - a]])
-                    at, to = found.starts[a:b] - found.offsets[k], found.ends[a:b] - found.offsets[k]
-                    spans = [
-                        {"start": int(at[x]), "end": int(to[y - 1]), "lang": names[path[x]]}
-                        for x, y in zip(edges[:-1], edges[1:], strict=True)
-                    ]
-                    out.append((names[top], share, spans))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+            for k in range(0, len(whole), 256):
+                texts = [lowered(t) if t else "" for t in whole.slice(k, 256).to_pylist()]
+                for some in _together(texts, max(1 << 12, GROUP * 4 // max(4, languages))):
+                    out += _labelled(some, model, names, p)
+            yield pa.array(out, shape)
 
+    predict = F.arrow_udf(predict, "lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
     return docs.withColumn("_found", predict(F.col(text))).select(*docs.columns, "_found.*")
 
 

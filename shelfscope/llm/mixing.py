@@ -66,12 +66,14 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17,
             carry: tuple[str, ...] = ()) -> DataFrame:
     """The id, the columns in `carry`, source, size, source_size, target, copies, taken of each document."""
-    sized = docs.select(
-        F.col(id_column).alias("_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"),
-        *([F.struct(*carry).alias("_row")] if carry else []),
-    )
-    sized = stored(sized, "sized")
-    targets = source_targets(sized, weights, share, most)
+    size = word_count(F.col(text_column))
+    sized = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("source"), size.alias("size"))
+    if carry:  # the rows are dealt out once, with their texts; the sizes are summed from a pass of its own
+        targets = source_targets(sized, weights, share, most)
+        sized = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("source"), size.alias("size"), F.struct(*carry).alias("_row"))
+    else:
+        sized = stored(sized, "sized")
+        targets = source_targets(sized, weights, share, most)
     out = systematic_copies(sized, targets, "_id", seed).withColumn("taken", F.col("size") * F.col("copies"))
     own = [F.col("_id").alias(id_column)] if not carry else [F.col("_row")]
     return out.select(*own, "source", "size", "source_size", "target", "copies", F.col("taken").cast("long").alias("taken"))

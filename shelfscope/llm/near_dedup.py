@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import stored
+from shelfscope.llm.common import Scratch, slices, stored
 from shelfscope.llm.components import connected_components
 from shelfscope.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -43,6 +43,8 @@ class NearDedup:
     bits: int = 4
     slack: float = 0.2
     seed: int = 11
+    #: Size of the bitmap of ids whose texts are read again; a power of two.
+    filter_bits: int = 1 << 24
 
     @property
     def hashes(self) -> int:
@@ -83,7 +85,7 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
     """Set size, fingerprint, bit planes and band keys of each text; null where the set is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t.encode() for t in batch["text"].to_pylist()]
             cols: list[list] = [[], [], [], [], []]
             for words in word_hashes(texts):
@@ -109,7 +111,7 @@ def shingle_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
     """doc_id and the sorted shingle hashes of the text as bytes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_hashes(w, p.words).tobytes() for w in word_hashes([t.encode() for t in batch["text"].to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -151,63 +153,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(decide, "a long, b long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
-    """Stored pairs a, b that the full sets confirm. Only texts that stand in a pair are read into sets again."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(shingle_sets(docs.join(ids, "doc_id", "left_semi"), p), "sets")
-    return stored(_verified(pairs, sets, p).distinct(), "links")
+#: The bit of an id in its 64-bit word: the low bits of its hash.
+_BIT = "shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))"
+
+
+def _word(bits: int) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), 6).alias("_word")
+
+
+def _marked(ids: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of the hashed ids, one row per 64 bits that are not all zero: at most bits / 64 rows."""
+    return ids.select(_word(bits), F.expr(f"{_BIT} as _bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def only_marked(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """Rows of docs whose doc_id is in ids. A bitmap of bounded size, sent to every task, holds back most
+    other rows, with their texts, before the join decides."""
+    near = docs.select("*", _word(bits)).join(F.broadcast(_marked(ids, bits)), "_word").where(f"(_bits & {_BIT}) <> 0")
+    return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
+    """Pairs a, b that the full sets confirm. Only texts that stand in a pair are read into sets again."""
+    pairs = keep.stored(pairs)
+    ids = keep.stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = keep.stored(shingle_sets(only_marked(docs, ids, p.filter_bits), p))
+    return keep.stored(_verified(pairs, sets, p).distinct())
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = stored(signatures(docs, p), "signatures")
+    with Scratch(docs.sparkSession, "near-dedup") as keep:
+        return stored(_near_duplicates(docs, p, keep), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
+    signed = keep.stored(signatures(docs, p))
     usable = signed.where("doc_id is not null and f1 is not null")
-    # One representative of each set: its smallest id.
-    classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored(
-        usable.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi")
-        .select("doc_id", "planes", "bands", "f1", "f2").dropDuplicates(["doc_id", "f1", "f2"]), "representatives")
+    # One representative of each set: its smallest id. Equal sets have equal planes and bands.
+    reps = keep.stored(usable.groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("doc_id"), F.first("planes").alias("planes"), F.first("bands").alias("bands")))
     planes = reps.select("doc_id", "planes")
 
     banded = reps.select(F.explode("bands").alias("bucket"), "doc_id")
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last")).where("centre <> _last")
-    members = stored(banded.join(shared.select("bucket", "centre"), "bucket"), "members")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        x = planes.select(F.col("doc_id").alias("a"), F.col("planes").alias("px"))
-        y = planes.select(F.col("doc_id").alias("b"), F.col("planes").alias("py"))
-        near = similar_bits(F.col("px"), F.col("py"), p) >= p.percent / 100 - p.slack
-        return pairs.join(x, "a").join(y, "b").where(near).select("a", "b").distinct()
+    members = keep.stored(banded.join(shared.select("bucket", "centre"), "bucket"))
 
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(alike(stars), docs, p)
+    x = planes.select(F.col("doc_id").alias("a"), F.col("planes").alias("px"))
+    y = planes.select(F.col("doc_id").alias("b"), F.col("planes").alias("py"))
+    near = similar_bits(F.col("px"), F.col("py"), p) >= p.percent / 100 - p.slack
+    links = _links(stars.join(x, "a").join(y, "b").where(near).select("a", "b").distinct(), docs, p, keep)
     # A doc_id with several sets belongs to several classes; it ties their representatives.
     several = usable.groupBy("doc_id").agg(F.min("f1").alias("_x"), F.max("f1").alias("_y")).where("_x <> _y").select("doc_id")
-    tied = usable.join(several, "doc_id").join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = stored(connected_components(links.union(tied)), "components")
-
-    labelled = members.select("bucket", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    labelled = stored(labelled, "labelled")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y")
-    left = stored(labelled.join(open_buckets.select("bucket"), "bucket").join(planes, "doc_id"), "open")
+    classes = reps.select("f1", "f2", F.col("doc_id").alias("rep"))
+    tied = usable.select("doc_id", "f1", "f2").join(several, "doc_id").join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = keep.stored(connected_components(links.union(tied), keep))
+
+    named = members.select("bucket", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = keep.stored(named.withColumn("component", F.coalesce("component", "doc_id")))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y")
+    left = keep.stored(labelled.join(several.select("bucket"), "bucket").join(planes, "doc_id"))
     x = left.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("cx"), F.col("planes").alias("px"))
-    y = left.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cy"), F.col("planes").alias("py"))
-    near = similar_bits(F.col("px"), F.col("py"), p) >= p.percent / 100 - p.slack
-    across = (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & near
-    more = _links(x.join(y, across).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), docs, p)
+    y = left.select(F.col("bucket").alias("_b"), F.col("doc_id").alias("b"), F.col("component").alias("cy"), F.col("planes").alias("py"))
+    across = (F.col("bucket") == F.col("_b")) & (F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & near
+    more = _links(x.join(y, across).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), docs, p, keep)
     if more.limit(1).count():
-        label = found.select("id", "component")
         ends = (
-            more.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+            more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
             .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         )
-        joined = stored(connected_components(ends), "components").toDF("component", "whole")
+        joined = keep.stored(connected_components(ends, keep)).toDF("component", "whole")
         old = found.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
-        new = joined.join(found, joined["component"] == found["id"], "left_anti").toDF("id", "component")
-        found = stored(old.union(new), "components")
+        new = joined.toDF("id", "whole").join(found, "id", "left_anti").toDF("id", "component")
+        found = keep.stored(old.union(new))
 
     named = classes.join(found.toDF("rep", "component"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
