@@ -7,8 +7,9 @@
 3. In a bucket every member is paired with the smallest id (a star, not all pairs). The
    share of equal low bits, counted on the planes and corrected for chance equality, must
    reach the threshold less `slack`; then the full sets decide. The links give components.
-4. Where a bucket still holds several components, members of different components are
-   paired under the same estimate, and the full sets decide again. Members of one component
+4. Where a bucket still holds several components, its members get a second signature of
+   `fine_hashes` minima, whose estimate is as much sharper. Members of different components
+   are paired under that estimate, and the full sets decide again. Members of one component
    are never paired, so a bucket of copies costs as many pairs as members.
 
 The chance that a pair at the threshold shares no band is (1 - 0.75 ** rows) ** bands, 5e-6
@@ -42,6 +43,12 @@ class NearDedup:
     rows: int = 4
     bits: int = 4
     slack: float = 0.2
+    #: Minima and low bits of the second signature; five deviations of its estimate are 0.085.
+    fine_hashes: int = 1024
+    fine_bits: int = 2
+    fine_slack: float = 0.085
+    #: Members of a bucket that one task compares with as many others.
+    block: int = 1024
     seed: int = 11
     #: Size of the bitmap of ids whose texts are read again; a power of two.
     filter_bits: int = 1 << 24
@@ -54,23 +61,23 @@ class NearDedup:
 SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, planes array<long>, bands array<long>"
 
 
-def _minima(shingles: np.ndarray, p: NearDedup) -> np.ndarray:
+def _minima(shingles: np.ndarray, hashes: int, seed: int) -> np.ndarray:
     """The smallest of the high 32 bits of a * x + b, for each hash function."""
-    salt = mix(np.arange(1, 2 * p.hashes + 1, dtype=np.uint64) + np.uint64(p.seed) * np.uint64(1 << 32))
-    a, b = salt[: p.hashes] | np.uint64(1), salt[p.hashes :]
-    least = np.full(p.hashes, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 2048):
-        some = shingles[k : k + 2048, None] * a
+    salt = mix(np.arange(1, 2 * hashes + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))
+    a, b = salt[:hashes] | np.uint64(1), salt[hashes:]
+    least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        some = shingles[k : k + 1024, None] * a
         some += b
         np.minimum(least, some.min(axis=0), out=least)
     return least >> np.uint64(32)
 
 
-def _planes(minima: np.ndarray, p: NearDedup) -> np.ndarray:
+def _planes(minima: np.ndarray, bits: int) -> np.ndarray:
     """Bit plane k holds bit k of every minimum, 64 minima to an integer."""
-    low = np.zeros((p.bits, -(-p.hashes // 64) * 64), np.uint8)
-    for k in range(p.bits):
-        low[k, : p.hashes] = (minima >> np.uint64(k)) & np.uint64(1)
+    low = np.zeros((bits, -(-len(minima) // 64) * 64), np.uint8)
+    for k in range(bits):
+        low[k, : len(minima)] = (minima >> np.uint64(k)) & np.uint64(1)
     return np.packbits(low, axis=1, bitorder="little").view(np.int64).ravel()
 
 
@@ -92,8 +99,8 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
                 s = shingle_hashes(words, p.words)
                 cols[0].append(len(s))
                 if len(s):
-                    minima = _minima(s, p)
-                    row = (int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s)).view(np.int64)), _planes(minima, p), _band_keys(minima, p))
+                    minima = _minima(s, p.hashes, p.seed)
+                    row = (int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s)).view(np.int64)), _planes(minima, p.bits), _band_keys(minima, p))
                 else:
                     row = (None, None, None, None)
                 for c, v in zip(cols[1:], row, strict=True):
@@ -119,18 +126,32 @@ def shingle_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
     return rows.mapInArrow(gather, "doc_id long, shingles binary")
 
 
-def similar_bits(x: Column, y: Column, p: NearDedup) -> Column:
+def fine_planes(docs: DataFrame, p: NearDedup) -> DataFrame:
+    """doc_id and the bit planes of the second signature."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            planes = []
+            for words in word_hashes([t.encode() for t in batch["text"].to_pylist()]):
+                planes.append(_planes(_minima(shingle_hashes(words, p.words), p.fine_hashes, p.seed + 1), p.fine_bits))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(planes, pa.list_(pa.int64()))], ["doc_id", "fine"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, fine array<long>")
+
+
+def similar_bits(x: Column, y: Column, hashes: int, bits: int) -> Column:
     """Estimated similarity from two arrays of bit planes: equal low bits, less those equal by chance."""
-    lanes = -(-p.hashes // 64)
+    lanes = -(-hashes // 64)
     differing = F.lit(0)
     for lane in range(lanes):
         differs = F.lit(0).cast("long")
-        for k in range(p.bits):
+        for k in range(bits):
             at = k * lanes + lane
             differs = differs.bitwiseOR(x[at].bitwiseXOR(y[at]))
         differing = differing + F.bit_count(differs)
-    chance = 2.0 ** -p.bits
-    return ((1.0 - differing / F.lit(float(p.hashes))) - F.lit(chance)) / F.lit(1.0 - chance)
+    chance = 2.0**-bits
+    return ((1.0 - differing / F.lit(float(hashes))) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
@@ -173,6 +194,38 @@ def only_marked(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
 
 
+def _across(members: DataFrame, p: NearDedup) -> DataFrame:
+    """Pairs a < b of one bucket and different components that look alike by their fine planes.
+
+    A bucket is cut into blocks of about `block` members, and each task compares two blocks.
+    """
+    lanes = -(-p.fine_hashes // 64)
+    chance = 2.0**-p.fine_bits
+    most = p.fine_hashes * (1 - (p.percent / 100 - p.fine_slack)) * (1 - chance)
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, parts, blocks = (table[c].to_numpy() for c in ("doc_id", "component", "_block"))
+        planes = table["fine"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), p.fine_bits, lanes)
+        first, second = table["_i"][0].as_py(), table["_j"][0].as_py()
+        rows, cols = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+        found = [np.empty((0, 2), np.int64)]
+        for k in range(0, len(rows), 64):
+            r = rows[k : k + 64]
+            differs = np.bitwise_or.reduce(planes[r, None] ^ planes[None, cols], axis=2)
+            alike = np.bitwise_count(differs).sum(axis=2, dtype=np.int64) <= most
+            x, y = np.nonzero(alike & (parts[r, None] != parts[None, cols]))
+            found.append(np.stack([ids[r[x]], ids[cols[y]]], axis=1))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / p.block).cast("int").alias("_blocks"))
+    cut = members.select("bucket", "doc_id", "component", "fine").join(sizes, "bucket").withColumn(
+        "_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    paired = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    paired = paired.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_blocks", "_other")
+    return paired.groupBy("bucket", "_i", "_j").applyInArrow(compare, "a long, b long")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
     """Pairs a, b that the full sets confirm. Only texts that stand in a pair are read into sets again."""
     pairs = keep.stored(pairs)
@@ -203,7 +256,7 @@ def _near_duplicates(docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     x = planes.select(F.col("doc_id").alias("a"), F.col("planes").alias("px"))
     y = planes.select(F.col("doc_id").alias("b"), F.col("planes").alias("py"))
-    near = similar_bits(F.col("px"), F.col("py"), p) >= p.percent / 100 - p.slack
+    near = similar_bits(F.col("px"), F.col("py"), p.hashes, p.bits) >= p.percent / 100 - p.slack
     links = _links(stars.join(x, "a").join(y, "b").where(near).select("a", "b").distinct(), docs, p, keep)
     # A doc_id with several sets belongs to several classes; it ties their representatives.
     several = usable.groupBy("doc_id").agg(F.min("f1").alias("_x"), F.max("f1").alias("_y")).where("_x <> _y").select("doc_id")
@@ -214,11 +267,10 @@ def _near_duplicates(docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
     named = members.select("bucket", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     labelled = keep.stored(named.withColumn("component", F.coalesce("component", "doc_id")))
     several = labelled.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y")
-    left = keep.stored(labelled.join(several.select("bucket"), "bucket").join(planes, "doc_id"))
-    x = left.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("cx"), F.col("planes").alias("px"))
-    y = left.select(F.col("bucket").alias("_b"), F.col("doc_id").alias("b"), F.col("component").alias("cy"), F.col("planes").alias("py"))
-    across = (F.col("bucket") == F.col("_b")) & (F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & near
-    more = _links(x.join(y, across).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), docs, p, keep)
+    left = keep.stored(labelled.join(several.select("bucket"), "bucket"))
+    ids = keep.stored(left.select("doc_id").distinct())
+    left = left.join(keep.stored(fine_planes(only_marked(docs, ids, p.filter_bits), p)), "doc_id")
+    more = _links(_across(left, p).distinct().join(stars, ["a", "b"], "left_anti"), docs, p, keep)
     if more.limit(1).count():
         ends = (
             more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
