@@ -140,3 +140,12 @@ def op4_language_spans(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     found = fit_and_identify(docs, ~F.col("held_out"))
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@_query()
+def op9_context_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.common import held_out
+    from shelfscope.llm.context_tree import scored
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return scored(docs, ~held_out(F.col("doc_id"), 10, 0))
