@@ -149,3 +149,13 @@ def op9_context_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return scored(docs, ~held_out(F.col("doc_id"), 10, 0))
+
+
+@_query()
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.common import held_out
+    from shelfscope.llm.quality_rules import scored
+
+    docs, out = _table(spark, sf, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 3, 1)
+    found = scored(docs, _table(spark, sf, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
