@@ -159,3 +159,24 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs, out = _table(spark, sf, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 3, 1)
     found = scored(docs, _table(spark, sf, "labels"), ~out)
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op10_toxicity_machine(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.common import held_out
+    from shelfscope.llm.toxicity_fm import scored
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    return scored(docs, _table(spark, sf, "labels"), ~F.col("held_out"))
+
+
+#: Key of the registered query's pseudonyms; a run of one's own passes a secret one.
+PSEUDONYM_KEY = b"registered query"
+
+
+@_query()
+def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.pii import pseudonyms
+
+    found = pseudonyms(_table(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("replaced").alias("n_replaced"), "replaced")
