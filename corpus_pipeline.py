@@ -22,9 +22,9 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts without a main language, go."""
-    marked = docs.withColumn("_learn", ~held_out(F.col("doc_id"), 4, 2))
-    found = fit_and_identify(marked, F.col("_learn"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = fit_and_identify(docs, ~held_out(F.col("doc_id"), 4, 2), into="_language_found")
+    kept = (F.col("_language_found.lang_pred") != "und") & (F.col("_language_found.score") >= LEAST_SHARE)
+    return found.where(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,8 +239,8 @@ def _labelled(texts: list[str], model: dict, names: list[str], p: LanguageParame
     return out
 
 
-def identify(docs: DataFrame, model: dict, p: LanguageParameters = LanguageParameters(), text: str = "text") -> DataFrame:
-    """The rows with lang_pred, score and spans (first and last character + 1, language) added."""
+def identify(docs: DataFrame, model: dict, p: LanguageParameters = LanguageParameters(), text: str = "text", into: str = "language") -> DataFrame:
+    """The rows with a struct `into` added: lang_pred, score and spans (first and last character + 1, language)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     languages = len(model["languages"])
@@ -262,10 +262,11 @@ def identify(docs: DataFrame, model: dict, p: LanguageParameters = LanguageParam
             yield pa.array(out, shape)
 
     predict = F.arrow_udf(predict, "lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
-    return docs.withColumn("_found", predict(F.col(text))).select(*docs.columns, "_found.*")
+    return docs.withColumn(into, predict(F.col(text)))
 
 
-def fit_and_identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", p: LanguageParameters = LanguageParameters()) -> DataFrame:
+def fit_and_identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", p: LanguageParameters = LanguageParameters(),
+                     into: str = "language") -> DataFrame:
     """Learns from the rows where `learn` holds and labels all of them."""
     model = fit(docs.sparkSession, docs.where(learn).select(F.col(text).alias("text"), F.col(lang).alias("lang")), p)
-    return identify(docs, model, p, text)
+    return identify(docs, model, p, text, into)

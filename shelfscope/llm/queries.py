@@ -139,7 +139,7 @@ def op4_language_spans(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     found = fit_and_identify(docs, ~F.col("held_out"))
-    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score", F.size("language.spans").alias("n_spans"))
 
 
 @_query()
@@ -180,3 +180,23 @@ def op7_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 
     found = pseudonyms(_table(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", F.size("replaced").alias("n_replaced"), "replaced")
+
+
+TOP_K = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@_query(TOP_K)
+def op6_voronoi_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.knn import voronoi_knn
+
+    return voronoi_knn(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)

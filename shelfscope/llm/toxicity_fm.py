@@ -140,7 +140,7 @@ def fit(rows: DataFrame, p: FactorParameters, keep: Scratch) -> dict:
 
 def scored(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text",
            label_column: str = "toxic", p: FactorParameters = FactorParameters()) -> DataFrame:
-    """The id and other columns but the text, with score and predicted; labels of rows where `train` holds are learned from."""
+    """The columns but the text, with score and predicted in place of any of that name; labels of rows where `train` holds are learned from."""
     known = labels.groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label_column).alias("label")).where("label is not null")
     with Scratch(docs.sparkSession, "toxicity") as keep:
         rows = docs.where(train).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(known, "doc_id")
@@ -154,6 +154,6 @@ def scored(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "
                 out += [machine_score(sent.value, term_buckets(t or "", p.buckets)) for t in whole.slice(k, 256).to_pylist()]
             yield pa.array(out, pa.float64())
 
-    others = [c for c in docs.columns if c != text_column]
+    others = [c for c in docs.columns if c not in (text_column, "score", "predicted")]
     found = docs.select(*others, F.arrow_udf(predict, "double")(F.col(text_column)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
