@@ -232,6 +232,19 @@ class Lookup:
         return out
 
 
+def most_used(table: DataFrame, most: int, columns: list[str]) -> dict[str, np.ndarray]:
+    """The entries above a number of uses, chosen from a histogram so that there are at most `most`."""
+    step = F.floor(F.log2("uses") * 16)
+    steps = table.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.col("step").desc()).collect()
+    least, rows = None, 0
+    for s in steps:  # a few hundred steps, however many entries
+        if rows + s["rows"] > most:
+            break
+        least, rows = s["step"], rows + s["rows"]
+    found = table.where(step >= least if least is not None else F.lit(False)).select(*columns).toArrow()
+    return {c: found[c].to_numpy() for c in columns}
+
+
 def scored(docs: DataFrame, train: Column, p: ContextTree = ContextTree(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bytes, bits_per_byte of every row; `train` rows are learned from."""
     docs = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), train.alias("train"))
@@ -248,12 +261,10 @@ def _scored(docs: DataFrame, p: ContextTree, keep: Scratch) -> DataFrame:
     gram_counts = counts.where("kind = 0")
     gram_table = keep.stored(gram_scores(gram_counts, p, keep).join(gram_counts.select("key", "uses"), "key"))
     word_table = keep.stored(words.select("key", "uses", "n", base.alias("score")))
-    hot_words = word_table.orderBy(F.col("uses").desc(), "key").limit(p.hot).select("key", "score", "n").toPandas()
-    hot_grams = gram_table.orderBy(F.col("uses").desc(), "key").limit(p.hot).select("key", "score").toPandas()
+    hot_words = most_used(word_table, p.hot, ["key", "score", "n"])
+    hot_grams = most_used(gram_table, p.hot, ["key", "score"])
     sent = spark.sparkContext.broadcast({
-        "words": hot_words["key"].to_numpy(np.int64), "base": hot_words["score"].to_numpy(np.float64), "known": hot_words["n"].to_numpy() > 0,
-        "grams": hot_grams["key"].to_numpy(np.int64), "score": hot_grams["score"].to_numpy(np.float64),
-    })
+        "words": hot_words["key"], "base": hot_words["score"], "known": hot_words["n"] > 0, "grams": hot_grams["key"], "score": hot_grams["score"]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text a row of what the hot tables give, and a row for each of its other keys."""
