@@ -205,6 +205,8 @@ def _across(members: DataFrame, p: NearDedup) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         ids, parts, blocks = (table[c].to_numpy() for c in ("doc_id", "component", "_block"))
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), p.bands)
+        bucket = table["bucket"][0].as_py()
         planes = table["fine"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), p.fine_bits, lanes)
         first, second = table["_i"][0].as_py(), table["_j"][0].as_py()
         rows, cols = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
@@ -214,12 +216,16 @@ def _across(members: DataFrame, p: NearDedup) -> DataFrame:
             differs = np.bitwise_or.reduce(planes[r, None] ^ planes[None, cols], axis=2)
             alike = np.bitwise_count(differs).sum(axis=2, dtype=np.int64) <= most
             x, y = np.nonzero(alike & (parts[r, None] != parts[None, cols]))
-            found.append(np.stack([ids[r[x]], ids[cols[y]]], axis=1))
+            x, y = r[x], cols[y]
+            # A pair may share several buckets; the one of their first common band hands it on.
+            common = (bands[x] == bands[y]).argmax(axis=1)
+            mine = bands[x, common] == bucket
+            found.append(np.stack([ids[x[mine]], ids[y[mine]]], axis=1))
         pairs = np.sort(np.concatenate(found), axis=1)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / p.block).cast("int").alias("_blocks"))
-    cut = members.select("bucket", "doc_id", "component", "fine").join(sizes, "bucket").withColumn(
+    cut = members.select("bucket", "doc_id", "component", "fine", "bands").join(sizes, "bucket").withColumn(
         "_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     paired = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     paired = paired.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_blocks", "_other")
@@ -269,7 +275,8 @@ def _near_duplicates(docs: DataFrame, p: NearDedup, keep: Scratch) -> DataFrame:
     several = labelled.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y")
     left = keep.stored(labelled.join(several.select("bucket"), "bucket"))
     ids = keep.stored(left.select("doc_id").distinct())
-    left = left.join(keep.stored(fine_planes(only_marked(docs, ids, p.filter_bits), p)), "doc_id")
+    bands = reps.select("doc_id", "bands").join(ids, "doc_id", "left_semi")
+    left = left.join(keep.stored(fine_planes(only_marked(docs, ids, p.filter_bits), p).join(bands, "doc_id")), "doc_id")
     more = _links(_across(left, p).distinct().join(stars, ["a", "b"], "left_anti"), docs, p, keep)
     if more.limit(1).count():
         ends = (
