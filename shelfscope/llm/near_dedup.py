@@ -219,7 +219,7 @@ def _across(members: DataFrame, p: NearDedup) -> DataFrame:
             x, y = r[x], cols[y]
             # A pair may share several buckets; the one of their first common band hands it on.
             common = (bands[x] == bands[y]).argmax(axis=1)
-            mine = bands[x, common] == bucket
+            mine = (bands[x, common] == bucket) & ((first != second) | (x < y))
             found.append(np.stack([ids[x[mine]], ids[y[mine]]], axis=1))
         pairs = np.sort(np.concatenate(found), axis=1)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
