@@ -15,7 +15,7 @@ from shelfscope.session import checkpointed
 CFG = CatalogConfig(
     as_of=dt.date(2001, 6, 30), min_total_reviews=20, hit_owners_min=1000.0, gem_wilson_min=0.60,
     gem_owners_below=1000.0, gem_min_reviews=25, anomaly_enabled=False, exclude_from_gem=False,
-    owners_mid_floor=400.0, anomaly_trees=100,
+    owners_mid_floor=400.0,
 )
 
 # One text for both engines; table names are filled in by each of them.

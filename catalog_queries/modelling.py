@@ -151,7 +151,8 @@ def quality_checks(spark, sf):
 
 # --- models ----------------------------------------------------------------
 
-EFFORT = models.Effort(trees=20, rounds=5, mlp_iterations=20, forest_depth=8, boost_depth=4)
+EFFORT = models.FULL
+BALANCED_EFFORT = models.Effort(rounds=500, boost_depth=8, boost_rate=0.05)
 KEYS = ("appid", "short_description", "split", "name")
 
 
@@ -181,9 +182,19 @@ def sweep_linear_and_forest(spark, sf):
     return _sweep(spark, sf, ("logistic_balanced", "forest_balanced"))
 
 
-@query("sweep_boosted", "M3 M4 M9 F17")
-def sweep_boosted(spark, sf):
-    return _sweep(spark, sf, ("boosted_weighted", "boosted_smote", "boosted_balanced"))
+@query("sweep_boosted_weighted", "M3 M9")
+def sweep_boosted_weighted(spark, sf):
+    return _sweep(spark, sf, ("boosted_weighted",))
+
+
+@query("sweep_boosted_smote", "M3 M9 F17")
+def sweep_boosted_smote(spark, sf):
+    return _sweep(spark, sf, ("boosted_smote",))
+
+
+@query("sweep_boosted_balanced", "M4 M9")
+def sweep_boosted_balanced(spark, sf):
+    return _sweep(spark, sf, ("boosted_balanced",))
 
 
 @query("sweep_perceptrons", "M5 M9 F17")
@@ -201,7 +212,7 @@ def validated_perceptron(spark, sf):
     kept, test, columns = _balanced(spark, sf)
     parts = split.stratified_split(kept.drop("split"), "target_hit", "appid", 0.2, 7, ("train", "valid"))
     model, _ = models.perceptron_by_validation(
-        parts.where("split = 'train'"), parts.where("split = 'valid'"), "target_hit", columns, epochs=3, step=5)
+        parts.where("split = 'train'"), parts.where("split = 'valid'"), "target_hit", columns)
     called = models.scores(model, test, columns).withColumn("called", (F.col("score") >= 0.5).cast("int"))
     return metrics.classification_report(called, "target_hit", "called")
 
@@ -209,7 +220,7 @@ def validated_perceptron(spark, sf):
 @query("boosted_on_balanced", "M4 M14 F16")
 def boosted_on_balanced(spark, sf):
     kept, test, columns = _balanced(spark, sf)
-    model = models.fit(models.Experiment("boosted_plain", "ML", models.boosted), kept, "target_hit", columns, EFFORT, CFG.seed)
+    model = models.fit(models.Experiment("boosted_plain", "ML", models.boosted), kept, "target_hit", columns, BALANCED_EFFORT, CFG.seed)
     called = models.scores(model, test, columns).withColumn("called", (F.col("score") >= 0.5).cast("int"))
     return metrics.classification_report(called, "target_hit", "called")
 
@@ -256,7 +267,7 @@ def scored_products(spark, sf):
     specs = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(
         F.round(F.avg("p_retailprice") - 900, 2).alias("price")).select(
         "p_type", "p_brand", "price", F.lit(6).alias("release_month"), F.lit(2000).alias("release_year"),
-        F.array(F.lit("windows")).alias("platforms"), F.array(F.lower("p_type")).alias("genres"),
+        F.array(F.lit("windows")).alias("platforms"), F.array("p_type").alias("genres"),
         F.lit(1).alias("is_self_published"))
     return models.score_products(specs, columns, scaler, model).select("p_type", "p_brand", "probability")
 

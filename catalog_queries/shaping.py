@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog_queries.base import (
@@ -18,7 +20,8 @@ def r6(c):
 
 
 def _folder(spark, sf, name):
-    return f"{shared_dir(spark)}/queries/{sf.rstrip('/').rsplit('/', 1)[-1]}/{name}"
+    """A fresh folder: results are lazy, so no later call may write over what an open one reads."""
+    return f"{shared_dir(spark)}/queries/{sf.rstrip('/').rsplit('/', 1)[-1]}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -----------------------------------------------------

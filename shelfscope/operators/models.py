@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators.metrics import binary_metrics
 from shelfscope.operators.skew import class_sizes
+from shelfscope.functions import scalars as X
 from shelfscope.operators.smote import smote
 from shelfscope.operators.split import Scaler, class_draw_rank
 
@@ -30,6 +31,7 @@ class Effort:
     mlp_iterations: int = 400
     forest_depth: int = 12
     boost_depth: int = 6
+    boost_rate: float = 0.1
 
 
 FULL = Effort()
@@ -78,7 +80,7 @@ def forest(seed: int, effort: Effort, width: int):
 
 
 def boosted(seed: int, effort: Effort, width: int):
-    return GBTClassifier(maxIter=effort.rounds, maxDepth=effort.boost_depth, stepSize=0.1, seed=seed, weightCol="weight")
+    return GBTClassifier(maxIter=effort.rounds, maxDepth=effort.boost_depth, stepSize=effort.boost_rate, seed=seed, weightCol="weight")
 
 
 def perceptron(seed: int, effort: Effort, width: int):
@@ -137,7 +139,7 @@ def sweep(train: DataFrame, test: DataFrame, label: str, key: str, columns: Sequ
             started = time.monotonic()
             models[e.name] = fit(e, larger if e.smote else train, label, columns, effort, seed)
             seconds = round(time.monotonic() - started, 1)
-            run_id = hashlib.md5(f"{e.name}|{effort}|{seed}|{label}".encode()).hexdigest()[:12]
+            run_id = uuid.uuid4().hex[:12]  # a model trained again is another run
             facts.append((e.name, e.family, run_id, e.smote, seconds))
             rows = scores(models[e.name], test, columns).select(F.lit(e.name).alias("name"), label, "score")
             judged = rows if judged is None else judged.unionByName(rows)
@@ -238,7 +240,7 @@ def product_features(specs: DataFrame, columns: Sequence[str]) -> DataFrame:
         if c in derived:
             return derived[c]
         if c.startswith("genre_"):
-            return F.array_contains("genres", c.removeprefix("genre_")).cast("int")
+            return F.array_contains(F.transform("genres", X.safe_name), c.removeprefix("genre_")).cast("int")
         return F.lit(0)
     kept = [c for c in specs.columns if c not in columns and c not in ("platforms", "genres")]
     return specs.select(*kept, *[F.coalesce(value(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfscope.session import checkpointed
+
 HOT_KEYS = 1000
 LOOKUP_ROWS = 500_000
 
@@ -18,21 +20,6 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-SPLIT_BYTES = 128 << 20
-
-
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread an input too small to give every core a scan split, before heavy work per row.
-
-    Parquet cannot be read in parts smaller than a row group, so a small file is one task.
-    Above one split per core the input is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # the optimizer's size estimate has no public reader in Python
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def add_lookup(df: DataFrame, lookup: DataFrame, key: str, row_id: str, out: str) -> DataFrame:
     """Every row with the number ``n`` that ``lookup`` (item, n) holds for its ``key``.
 
@@ -72,6 +59,16 @@ def cut_points(df: DataFrame, value: str, parts: int) -> list[float]:
     return sorted(set(row["p"] or []))
 
 
+def _null_safe(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys where null meets null; the columns of ``rows`` and the other columns of ``offsets``."""
+    others = [c for c in offsets.columns if c not in keys]
+    right = offsets.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *others)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(right, same).select(*rows.columns, *others)
+
+
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
                    parts: int | None = None) -> DataFrame:
     """Inclusive running sums from the highest ``order`` value down, as ``cum_<name>``,
@@ -93,7 +90,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
                 *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in sums])
     )
     inside = W.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(offsets, [*by, "_b"]).select(
+    return _null_safe(rows, offsets, [*by, "_b"]).select(
         *df.columns, *[f"all_{c}" for c in sums], *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
 
 
@@ -119,9 +116,10 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], accuracy
         for low, high in brackets:
             apart = apart | F.col("x").between(low, high)
             gap = gap + (F.col("x") > high).cast("int")
-        groups = rows.groupBy(F.when(apart, F.col("x")).alias("v"), F.when(~apart, gap).alias("gap")).agg(
-            F.count("*").alias("c"), F.min("x").alias("x"))
-        ranked = groups.withColumn("upto", F.sum("c").over(W.orderBy("x")))
+        # values inside a bracket may be many, so they are accumulated by ranges, not in one window
+        groups = checkpointed(rows.groupBy(F.when(apart, F.col("x")).alias("v"), F.when(~apart, gap).alias("gap")).agg(
+            F.count("*").alias("c"), F.min("x").alias("x")))
+        ranked = running_totals(groups, "x", ["c"]).withColumn("upto", F.col("all_c") - F.col("cum_c") + F.col("c"))
         ranks = [(head["n"] - 1) * q for q in shares]
         picks = []
         for i, r in enumerate(ranks):
@@ -162,14 +160,19 @@ def draw_sample(df: DataFrame, key: str, seed: int | str, rows: int) -> DataFram
 MAX_CLASSES = 1000
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class. A label with more than ``MAX_CLASSES`` values is an error."""
-    rows = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
+def class_sizes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
+    """Rows per class, null being one. A label with more than ``max_classes`` values is an error."""
+    rows = df.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} values and is no class label")
     return {r["c"]: r["n"] for r in rows}
 
 
+def of_value(column: Column, value) -> Column:
+    """True where the column holds the value; null is a value like others."""
+    return column.isNull() if value is None else column.eqNullSafe(F.lit(value))
+
+
 def draw_cutoffs(df: DataFrame, want: Mapping, label: str, draw: Column, digits: int = 4) -> dict:
     """Per class, the draw value of its ``want``-th row in draw order; one value per class.
 
@@ -184,7 +187,7 @@ def draw_cutoffs(df: DataFrame, want: Mapping, label: str, draw: Column, digits:
     def of_class(values: Mapping, kind: str) -> Column:
         out = F.lit(None).cast(kind)
         for c, v in values.items():
-            out = F.when(F.col("c") == c, F.lit(v)).otherwise(out)
+            out = F.when(of_value(F.col("c"), c), F.lit(v)).otherwise(out)
         return out
 
     upto = F.sum("n").over(W.partitionBy("c").orderBy("p").rowsBetween(W.unboundedPreceding, 0))
@@ -215,7 +218,7 @@ def draw_rank(df: DataFrame, label: str, draw: str, out: str, digits: int = 4) -
     )
     inside = W.partitionBy(label, "_p").orderBy(draw)
     return (
-        rows.join(offsets, [label, "_p"])
+        _null_safe(rows, offsets, [label, "_p"])
         .withColumn(out, F.row_number().over(inside) + F.col("_o"))
         .drop("_p", "_o")
     )

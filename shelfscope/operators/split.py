@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.operators.skew import class_sizes, draw_cutoffs, draw_order, draw_rank
+from shelfscope.operators.skew import MAX_CLASSES, class_sizes, draw_cutoffs, draw_order, draw_rank, of_value
 
 
 def class_draw_rank(df: DataFrame, label: str, key: str, seed: int, out: str = "class_rank") -> DataFrame:
@@ -24,23 +24,29 @@ def _taken(df: DataFrame, want: Mapping, label: str, key: str, seed: int) -> Col
     draw = draw_order(key, seed)
     taken = F.lit(False)
     for c, cutoff in draw_cutoffs(df, want, label, draw).items():
-        taken = F.when(F.col(label) == c, draw <= F.lit(cutoff)).otherwise(taken)
+        taken = F.when(of_value(F.col(label), c), draw <= F.lit(cutoff)).otherwise(taken)
     return taken
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42,
-                     names: tuple[str, str] = ("train", "test")) -> DataFrame:
+                     names: tuple[str, str] = ("train", "test"), max_classes: int = MAX_CLASSES) -> DataFrame:
     """Adds ``split``; each class gives round(test_size * n) rows to the second name.
 
+    Rows without a label are a class of their own. ``key`` must be unique, since equal
+    keys have equal draws.
+
     ``df`` is read three times to fit the cut-offs and should be a stored table.
     """
-    want = {c: math.floor(n * test_size + 0.5) for c, n in class_sizes(df, label).items()}
+    want = {c: math.floor(n * test_size + 0.5) for c, n in class_sizes(df, label, max_classes).items()}
     return df.withColumn("split", F.when(_taken(df, want, label, key, seed), names[1]).otherwise(names[0]))
 
 
-def downsample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Every class cut to the size of the smallest, without replacement, in one filter."""
-    sizes = class_sizes(df, label)
+def downsample(df: DataFrame, label: str, key: str, seed: int = 42, max_classes: int = MAX_CLASSES) -> DataFrame:
+    """Every class cut to the size of the smallest, without replacement, in one filter.
+
+    Rows without a label are a class of their own; ``key`` must be unique.
+    """
+    sizes = class_sizes(df, label, max_classes)
     return df.where(_taken(df, dict.fromkeys(sizes, min(sizes.values(), default=0)), label, key, seed))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope.functions.text import STOP_WORDS, term_counts
-from shelfscope.operators.skew import fill_cores
 from shelfscope.session import checkpointed
 
 
@@ -31,7 +30,7 @@ class TextIndex:
 
 def count_terms(df: DataFrame, key: str, text: str, ngram_max: int, stop_words: Sequence[str]) -> DataFrame:
     """(key, term, tf), counted inside each row."""
-    return fill_cores(df.select(key, text)).select(key, F.inline(term_counts(text, ngram_max, stop_words)))
+    return df.select(key, text).select(key, F.inline(term_counts(text, ngram_max, stop_words)))
 
 
 def fit_vocabulary(counts: DataFrame, documents: int, max_terms: int) -> DataFrame:

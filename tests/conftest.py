@@ -29,3 +29,13 @@ def duck(sf):
     from catalog_queries.check import duck as connect
 
     return connect(sf)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def small_models():
+    """The registered queries fit full sizes; tests of them fit small models."""
+    from catalog_queries import modelling
+    from shelfscope.operators import models
+
+    modelling.EFFORT = models.Effort(trees=20, rounds=5, mlp_iterations=20, forest_depth=8, boost_depth=4)
+    modelling.BALANCED_EFFORT = models.Effort(rounds=5, boost_depth=4, boost_rate=0.05)

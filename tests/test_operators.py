@@ -326,3 +326,37 @@ def test_draw_sample_is_the_head_of_the_draw_order(spark):
     whole = [r["id"] for r in df.orderBy(skew.draw_order("id", 7)).limit(50).collect()]
     assert [r["id"] for r in skew.draw_sample(df, "id", 7, 50).collect()] == whole
     assert skew.draw_sample(spark.range(5), "id", 7, 50).count() == 5
+
+
+def test_null_label_is_a_class_and_null_group_keeps_its_rows(spark):
+    from shelfscope.operators.skew import draw_rank, exact_quantiles, running_totals
+    from shelfscope.operators.split import downsample, stratified_split
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, float(i)) for i in range(90)], "id long, label int, x double")
+    parts = {(r["label"], r["split"]): r["count"] for r in stratified_split(rows, "label", "id").groupBy("label", "split").count().collect()}
+    assert parts[None, "test"] == 6 and parts[None, "train"] == 24 and parts[1, "test"] == 6
+    assert downsample(rows.where("id < 80 or label is null"), "label", "id").groupBy("label").count().select("count").distinct().count() == 1
+    ranked = draw_rank(rows.withColumn("d", F.md5(F.col("id").cast("string"))), "label", "d", "r")
+    assert sorted(r["r"] for r in ranked.where("label is null").collect()) == list(range(1, 31))
+    totals = running_totals(rows.withColumn("n", F.lit(1)), "x", ["n"], ["label"])
+    assert totals.count() == 90 and totals.where("label is null").agg(F.max("cum_n")).first()[0] == 30
+    values = spark.range(20_000).select((F.col("id") * 1.5).alias("v"))
+    assert exact_quantiles(values, "v", [0.25, 0.999], accuracy=50) == [19_999 * 0.25 * 1.5, 19_999 * 0.999 * 1.5]
+
+
+def test_open_results_do_not_write_over_each_other(spark, sf):
+    from catalog_queries import registry
+
+    known = registry()
+    first = known["csv_scan"].run(spark, sf)
+    known["csv_search_scan"].run(spark, sf)
+    assert first.count() > 0
+
+
+def test_products_match_genres_as_written(spark):
+    from shelfscope.operators.models import product_features
+
+    specs = spark.sql("SELECT 1 AS id, 5.0 AS price, 1 AS release_month, array('windows') AS platforms, array('Massively Multiplayer', 'Action') AS genres")
+    row = product_features(specs, ["genre_massively_multiplayer", "genre_action", "genre_rpg"]).first()
+    assert tuple(row)[-3:] == (1.0, 1.0, 0.0)
