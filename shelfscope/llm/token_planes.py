@@ -43,7 +43,7 @@ BLOCK = 1 << 16
 #: Texts with more characters are encoded in parts.
 TOGETHER = 1 << 20
 #: Pieces whose ids a worker remembers, twice: those in use and those used before.
-REMEMBERED = 360_000
+REMEMBERED = 640_000
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
