@@ -111,11 +111,8 @@ def machine_score(model: dict, terms: np.ndarray) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, score))))
 
 
-def fit(rows: DataFrame, p: FactorParameters, keep: Scratch) -> dict:
-    """The model, from rows of doc_id, text and label."""
-    rows = keep.stored(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"))
-    n = rows.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1_000_000)) < min(1_000_000, math.ceil(1e6 * p.fit_rows / max(n, 1)))
+def fit(rows: DataFrame, p: FactorParameters) -> dict:
+    """The model, from a bounded number of rows of doc_id, text and label."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in slices(whole)):
@@ -129,7 +126,7 @@ def fit(rows: DataFrame, p: FactorParameters, keep: Scratch) -> dict:
         yield pa.RecordBatch.from_pydict({
             "bias": [model["bias"]], "weight": [model["weight"].tobytes()], "vector": [model["vector"].tobytes()]})
 
-    bounded = rows.where(part).select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(
+    bounded = rows.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int")).mapInArrow(
         terms, "doc_id long, terms array<long>, label int")
     row = bounded.repartition(1).mapInArrow(learn, "bias double, weight binary, vector binary").first()
     if row is None:
@@ -143,8 +140,12 @@ def scored(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "
     """The columns but the text, with score and predicted in place of any of that name; labels of rows where `train` holds are learned from."""
     known = labels.groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label_column).alias("label")).where("label is not null")
     with Scratch(docs.sparkSession, "toxicity") as keep:
-        rows = docs.where(train).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(known, "doc_id")
-        model = fit(rows, p, keep)
+        known = keep.stored(known)
+        # The bound is kept among the labels, so the few that are left go to every task and no text is shuffled.
+        share = min(1_000_000, math.ceil(1e6 * p.fit_rows / max(known.count(), 1)))
+        chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1_000_000)) < share)
+        rows = docs.where(train).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+        model = fit(rows.join(F.broadcast(chosen), "doc_id"), p)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
