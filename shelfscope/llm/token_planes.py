@@ -27,6 +27,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -119,6 +120,12 @@ class PieceEncoder:
                 yield b"".join(map(self.code, some))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> PieceEncoder:
+    """The encoder of this worker; the tasks that a worker runs one after the other share its pieces."""
+    return PieceEncoder(vocabulary)
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """Byte plane k holds byte k of each id; bit plane k holds bit k of each id."""
     cells = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -239,7 +246,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         for batch in batches:
             for doc_id, text in zip(batch["_id"].to_pylist(), batch["_text"], strict=True):
                 if writer is None:
-                    encoder = PieceEncoder(vocabulary)
+                    encoder = encoder_of(vocabulary)
                     uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.planes"
                     writer = ShardWriter(uri, kind, level, block)
                 writer.add(doc_id, (p for source in (encoder.parts(text.as_py()), [end]) for p in source))
