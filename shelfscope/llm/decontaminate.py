@@ -12,8 +12,9 @@ documents would miss it. The sketch is therefore on the item's side and sized by
    in the index of sketches; the sure bound on hits leaves the candidates.
 3. Candidates are verified on the shingles themselves, as strings.
 
-The index is broadcast when it has at most `broadcast_rows` rows; a larger one is joined
-by shuffle with the same result. Null, empty or blank texts and items have no shingles and
+The index, the items and their shingles are broadcast when rows of the index and rows of the
+items stay under `broadcast_rows` and the shingles under `broadcast_bytes`; otherwise all are
+joined by shuffle with the same result. Null, empty or blank texts and items have no shingles and
 give no pairs; with fewer than five words the whole sequence is the one shingle, on both
 sides. Repeated rows give repeated pairs. A null doc_id is carried. Empty tables: no rows.
 """
@@ -28,6 +29,7 @@ from shelfscope.llm.common import stored, words
 WORDS = 5
 PERCENT = 75
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 100_000_000
 
 
 def _once(value: Column, use) -> Column:
@@ -69,7 +71,8 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
-                    item_text: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                    item_text: str = "text", percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS,
+                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text_key, item_id, shared, item_shingles, containment of each document and item it holds."""
     texts = docs.select(
         F.col(doc_id).alias("_doc"), F.col(doc_text).alias("text"), F.xxhash64(F.coalesce(F.col(doc_text), F.lit(""))).alias("_key"))
@@ -82,7 +85,9 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     named = held.select(F.md5(F.concat_ws("\n", F.array_sort("strings"))).alias("_class"), "_item")
     index = classes.select("_class", F.explode("sketch").alias("h"))
     rows, bound = index.agg(F.count("*"), F.max("h")).first()
-    small = F.broadcast if rows <= broadcast_rows else (lambda df: df)
+    n_bytes = classes.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "strings")) + 16 * F.size("strings")), F.lit(0))).first()[0]
+    fits = max(rows, held.count()) <= broadcast_rows and n_bytes <= broadcast_bytes
+    small = F.broadcast if fits else (lambda df: df)
 
     probes = texts.select("_doc", "_key", F.explode(_hashes(F.col("text"))).alias("h")).where(F.col("h") <= F.lit(bound))
     hits = probes.join(small(index), "h").groupBy("_doc", "_key", "_class").agg(F.countDistinct("h").alias("hits"))
