@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from catalog_queries.base import CFG, GAMES, games, items, query, table
+from catalog_queries.base import CFG, GAMES, RAW, games, items, query, raw_games, table
 from catalog_queries.shaping import _folder, r6
 from shelfscope.functions.text import STOP_WORDS
 from shelfscope.functions.vectors import unit
 from shelfscope.operators import retrieval_eval, search, tfidf
-from shelfscope.sources.tables import read_text_index, write_table, write_text_index
+from shelfscope.session import stored
+from shelfscope.sources.tables import read_text_index, write_text_index
 
 K = 20
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -85,7 +86,23 @@ def tfidf_train_fitted(spark, sf):
        + "\nSELECT query_id, doc_id, round(relevance, 6) + 0.0 AS relevance, rank FROM ml")
 def keyword_search(spark, sf):
     hits = search.search(_queries(spark, sf), "ml", 10, index=_index(spark, sf))
-    return hits.withColumn("relevance", r6("relevance"))
+    return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
+
+
+@query("keyword_search_copies", "F9 J6 F13", "WITH " + RAW + """,
+copies AS (SELECT appid, short_description, row_number() OVER () AS row_id FROM raw WHERE length(short_description) >= 20)""" + ","
+       + terms_sql("dc", "copies", "row_id", "short_description") + "," + vocabulary_sql("voc", "dc", "copies", CFG.search_terms)
+       + "," + weights_sql("post", "dc", "row_id", "voc") + "," + _BENCH + """,
+scores AS (SELECT item_id AS query_id, row_id, round(sum(post.weight * qw.weight), 9) AS relevance FROM post JOIN qw USING (term) GROUP BY ALL),
+ranked AS (SELECT query_id, appid, relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, appid, row_id) AS INT) AS rank
+  FROM scores JOIN copies USING (row_id))
+SELECT query_id, appid, round(relevance, 6) + 0.0 AS relevance, rank FROM ranked WHERE rank <= 10""")
+def keyword_search_copies(spark, sf):
+    """The raw catalog, whose keys repeat: each copy is a document and a hit of its own."""
+    raw = raw_games(spark, sf).select("appid", "short_description").where(F.length("short_description") >= 20)
+    index = tfidf.fit_text_index(tfidf.with_row_id(raw, "copies"), "appid", "short_description", CFG.search_terms, CFG.ngram_max)
+    hits = search.search(_queries(spark, sf), "ml", 10, index=index)
+    return hits.select("query_id", F.col("doc_id").alias("appid"), r6("relevance").alias("relevance"), "rank")
 
 
 # --- vectors ---------------------------------------------------------------
@@ -114,7 +131,8 @@ dl AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 @query("vector_search", "F9 J7 T4 W4", "WITH " + _LABEL_QUERIES + "," + _DL_TOP.format(k=10)
        + "\nSELECT query_id, doc_id, round(relevance, 6) + 0.0 AS relevance, rank FROM dl")
 def vector_search(spark, sf):
-    return search.vector_top(_doc_vectors(spark, sf), _label_queries(spark, sf), 10).withColumn("relevance", r6("relevance"))
+    return search.vector_top(_doc_vectors(spark, sf), _label_queries(spark, sf), 10).select(
+        "query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
 
 
 @query("vector_search_blocked", "J7 W4", "WITH " + _LABEL_QUERIES + "," + _DL_TOP.format(k=10)
@@ -122,7 +140,7 @@ def vector_search(spark, sf):
 def vector_search_blocked(spark, sf):
     """The same search by the route for query batches too large to broadcast."""
     hits = search.vector_top(_doc_vectors(spark, sf), _label_queries(spark, sf), 10, block=4, point_block=150)
-    return hits.withColumn("relevance", r6("relevance"))
+    return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
 
 
 @query("unit_vectors", "F12 S7", """
@@ -204,7 +222,7 @@ _FACETS = {"min_reviews": 22, "max_price": 90, "platforms": ["windows"], "popula
 
 
 def _searched(spark, sf, pool_factor, **facets):
-    catalog = write_table(_catalog(spark, sf), _folder(spark, sf, "search_catalog"))
+    catalog = tfidf.with_row_id(_catalog(spark, sf), "search_catalog")
     index = tfidf.fit_text_index(catalog, "appid", "short_description", CFG.search_terms, CFG.ngram_max)
     found = search.search_catalog(
         _queries(spark, sf), catalog.withColumnRenamed("appid", "doc_id"), "ml", 10, pool_factor, index, **facets)
@@ -298,7 +316,7 @@ def evaluation_run(spark, sf):
 SELECT method, 'all' AS qtype, round(avg(precision), 6) + 0.0 AS mean_precision FROM run GROUP BY 1
 UNION ALL SELECT method, qtype, round(avg(precision), 6) + 0.0 FROM run GROUP BY 1, 2""")
 def mean_precision(spark, sf):
-    run = _run(spark, sf)
+    run = stored(_run(spark, sf), "evaluation")
     whole = retrieval_eval.mean_precision(run, "method").withColumn("qtype", F.lit("all"))
     return whole.unionByName(retrieval_eval.mean_precision(run, "method", "qtype")).withColumn("mean_precision", r6("mean_precision"))
 

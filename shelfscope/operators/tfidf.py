@@ -1,65 +1,107 @@
-"""TF-IDF as long tables: a vocabulary and unit-length postings."""
+"""TF-IDF: a bounded vocabulary, and one row of unit length per document."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfscope.functions.text import STOP_WORDS, term_counts
-from shelfscope.session import checkpointed
+from shelfscope.functions.scalars import let
+from shelfscope.functions.text import STOP_WORDS, counted, ngrams, tokens
+from shelfscope.session import stored
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``vocabulary`` is (term, df, cf, idf), at most ``max_terms`` rows and so broadcast;
-    ``postings`` is (doc_id, term, weight) with unit length per document."""
+    """``vocabulary`` is (at, term, df, cf, idf), at most ``max_terms`` rows; ``documents`` is
+    (doc_id, row_id, indices, weights), one row per indexed row: the places of its terms in
+    the vocabulary, and weights of unit length. Rows that share a doc_id differ by row_id."""
 
     vocabulary: DataFrame
-    postings: DataFrame
+    documents: DataFrame
     ngram_max: int = 2
     stop_words: Sequence[str] = STOP_WORDS
 
-    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """Postings of other texts in this vocabulary, for example of queries."""
-        return weigh(count_terms(df, key, text, self.ngram_max, self.stop_words), key, self.vocabulary)
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, term, weight), one row per term of each document."""
+        long = self.documents.select("doc_id", F.explode(F.arrays_zip("indices", "weights")).alias("p"))
+        named = F.broadcast(self.vocabulary.select("at", "term"))
+        return long.select("doc_id", F.col("p.indices").alias("at"), F.col("p.weights").alias("weight")).join(
+            named, "at").select("doc_id", "term", "weight")
 
+    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, indices, weights) of other texts in this vocabulary, for example of queries."""
+        words = tokens(text, self.stop_words)
+        return weigh(df.select(key, words.alias("_words")), self.vocabulary, self.ngram_max)
 
-def count_terms(df: DataFrame, key: str, text: str, ngram_max: int, stop_words: Sequence[str]) -> DataFrame:
-    """(key, term, tf), counted inside each row."""
-    return df.select(key, text).select(key, F.inline(term_counts(text, ngram_max, stop_words)))
 
+def fit_vocabulary(words: DataFrame, ngram_max: int, max_terms: int) -> DataFrame:
+    """The most used terms over the corpus, smaller term first on ties, with smoothed idf.
 
-def fit_vocabulary(counts: DataFrame, documents: int, max_terms: int) -> DataFrame:
-    """The most used terms over the corpus, smaller term first on ties, with smoothed idf."""
+    ``words`` holds each text's ``_words``. Terms are counted inside the row, so one row per
+    (text, term) reaches the partial count.
+    """
+    documents = words.count()
     idf = F.log(F.lit(1.0 + documents) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return (
-        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms)
-        .withColumn("idf", idf)
+    top = (
+        words.select(F.inline(let(ngrams(F.col("_words"), ngram_max), counted)))
+        .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms).withColumn("idf", idf).collect()  # at most max_terms rows
     )
+    return words.sparkSession.createDataFrame(
+        [(at, *r) for at, r in enumerate(top)], "at int, term string, df long, cf long, idf double")
+
+
+def weigh(words: DataFrame, vocabulary: DataFrame, ngram_max: int) -> DataFrame:
+    """``_words`` replaced by ``indices`` and ``weights``: tf x idf scaled to unit length, terms
+    outside the vocabulary left out.
+
+    All of it happens inside the row, without a shuffle: the vocabulary stands in the plan
+    as an array of slots, and a term looks into the slot of its hash.
+    """
+    size = vocabulary.count()
+    slots = 1 << size.bit_length()
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+    table: list[list] = [[] for _ in range(slots)]
+    for r in vocabulary.select("at", "term", "idf", slot(F.col("term")).alias("slot")).collect():  # at most max_terms rows
+        table[r["slot"]].append({"term": r["term"], "at": r["at"], "idf": r["idf"]})
+    known = F.from_json(F.lit(json.dumps(table)), "array<array<struct<term:string,at:int,idf:double>>>")
+
+    def weight(c):
+        entry = F.get(F.filter(F.get(known, slot(c["term"])), lambda e: e["term"] == c["term"]), F.lit(0))
+        return F.struct(entry["at"].alias("at"), (c["tf"] * entry["idf"]).alias("w"))
 
+    def scaled(h):
+        length = F.sqrt(F.aggregate(h, F.lit(0.0), lambda n, s: n + s["w"] * s["w"]))
+        return let(length, lambda n: F.struct(
+            F.transform(h, lambda s: s["at"]).alias("indices"), F.transform(h, lambda s: s["w"] / n).alias("weights")))
 
-def weigh(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """tf x idf scaled to unit length per key; terms outside the vocabulary are dropped
-    before the one shuffle."""
-    raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("_w"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("_w") / length).alias("weight"))
+    terms = let(ngrams(F.col("_words"), ngram_max), counted)
+    found = F.array_sort(F.filter(F.transform(terms, weight), lambda s: s["at"].isNotNull()))
+    return words.select(*[c for c in words.columns if c != "_words"], F.inline(F.transform(F.array(found), scaled)))
 
 
 def fit_text_index(docs: DataFrame, key: str, text: str, max_terms: int, ngram_max: int = 2,
                    stop_words: Sequence[str] = STOP_WORDS, fit_on: DataFrame | None = None) -> TextIndex:
     """Index ``docs``; the vocabulary comes from ``fit_on`` (for example train rows) if given.
 
-    The vocabulary is fitted and stored here, so that postings and queries only read it.
+    A table whose keys repeat should have a unique ``row_id`` column (see ``with_row_id``);
+    without one, ``key`` names the row. The words of the texts are stored once, for the count
+    and for the weights; postings and queries only read the fitted vocabulary.
     """
-    source = docs if fit_on is None else fit_on
-    vocabulary = checkpointed(fit_vocabulary(
-        count_terms(source, key, text, ngram_max, stop_words), source.count(), max_terms))
-    counts = count_terms(docs, key, text, ngram_max, stop_words).withColumnRenamed(key, "doc_id")
-    return TextIndex(vocabulary, weigh(counts, "doc_id", vocabulary), ngram_max, tuple(stop_words))
+    row = F.col("row_id") if "row_id" in docs.columns else F.col(key)
+    words = docs.select(F.col(key).alias("doc_id"), row.alias("row_id"), tokens(text, stop_words).alias("_words"))
+    if fit_on is None:
+        words = stored(words, "words")
+    source = words if fit_on is None else fit_on.select(tokens(text, stop_words).alias("_words"))
+    vocabulary = fit_vocabulary(source.select("_words"), ngram_max, max_terms)
+    return TextIndex(vocabulary, weigh(words, vocabulary, ngram_max), ngram_max, tuple(stop_words))
+
+
+def with_row_id(df: DataFrame, kind: str = "rows") -> DataFrame:
+    """The table stored with a ``row_id`` that tells copies of a key apart; numbered in place, without a shuffle."""
+    return stored(df.withColumn("row_id", F.monotonically_increasing_id()), kind)

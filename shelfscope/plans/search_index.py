@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfscope.config import CatalogConfig
 from shelfscope.operators import search, tfidf
@@ -12,11 +13,13 @@ from shelfscope.sources.tables import read_table, read_text_index, write_table,
 
 
 def build_search_index(raw: DataFrame, cfg: CatalogConfig, out: str, encoder: Callable | None = None) -> None:
-    catalog = write_table(search.build_search_catalog(raw, cfg), f"{out}/catalog")
-    texts = catalog.select("appid", "short_description")
+    # copies of a product are rows of their own, told apart by their place in the stored catalog
+    numbered = search.build_search_catalog(raw, cfg).withColumn("row_id", F.monotonically_increasing_id())
+    catalog = write_table(numbered, f"{out}/catalog")
+    texts = catalog.select("appid", "row_id", "short_description")
     write_text_index(tfidf.fit_text_index(texts, "appid", "short_description", cfg.search_terms, cfg.ngram_max), f"{out}/text")
     if encoder is not None:
-        vectors = search.encode(texts, "appid", "short_description", encoder).withColumnRenamed("appid", "doc_id")
+        vectors = search.encode(texts, ["appid", "row_id"], "short_description", encoder).withColumnRenamed("appid", "doc_id")
         write_table(vectors, f"{out}/vectors")
 
 

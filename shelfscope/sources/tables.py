@@ -33,9 +33,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def write_text_index(index, path: str) -> None:
-    """``index`` is a TextIndex; each file of postings holds whole documents."""
+    """``index`` is a TextIndex; its vocabulary and one row per document."""
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
 
 
 def read_text_index(spark: SparkSession, path: str, **settings):
@@ -43,7 +43,7 @@ def read_text_index(spark: SparkSession, path: str, **settings):
 
     return TextIndex(
         vocabulary=spark.read.parquet(f"{path}/vocabulary"),
-        postings=spark.read.parquet(f"{path}/postings"),
+        documents=spark.read.parquet(f"{path}/documents"),
         **settings,
     )
 
@@ -51,14 +51,12 @@ def read_text_index(spark: SparkSession, path: str, **settings):
 def load_split(spark: SparkSession, path: str, task: str, with_text: str | None = None) -> DataFrame:
     """Rows of one task's split table, written with its ``task`` and ``split`` columns.
 
-    ``with_text`` names a postings table, whose terms are joined on as a map.
+    ``with_text`` names a stored text index, whose weights are joined on as a map from the
+    term's place in the vocabulary.
     """
     rows = spark.read.parquet(path).where(F.col("task") == task)
     if with_text is None:
         return rows
-    weights = (
-        spark.read.parquet(with_text).groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("text_weights"))
-        .withColumnRenamed("doc_id", "appid")
-    )
+    weights = spark.read.parquet(f"{with_text}/documents").select(
+        F.col("doc_id").alias("appid"), F.map_from_arrays("indices", "weights").alias("text_weights"))
     return rows.join(weights, "appid", "left")

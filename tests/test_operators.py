@@ -204,10 +204,52 @@ def test_search_breaks_ties_by_id_and_rejects_unknown_methods(spark):
 
 def test_keyword_routes_agree(spark, monkeypatch):
     _, index = _index(spark)
-    queries = spark.createDataFrame([(1, "horror puzzle"), (2, "calm night")], "query_id long, query string")
-    first = {tuple(r) for r in search.keyword_scores(index, queries).collect()}
-    monkeypatch.setattr(search, "QUERY_TERM_ROWS", 1)
-    assert {tuple(r) for r in search.keyword_scores(index, queries).collect()} == first
+    queries = spark.createDataFrame([(1, "horror puzzle"), (2, "calm night"), (3, "box")], "query_id long, query string")
+    first = sorted(tuple(r) for r in search.keyword_top(index, queries, 3).collect())
+    assert first == sorted(tuple(r) for r in search.keyword_top(index, queries, 3, block=1, point_block=2).collect())
+    monkeypatch.setattr(search, "PAIRS", 1)
+    assert first == sorted(tuple(r) for r in search.keyword_top(index, queries, 3).collect())
+
+
+def test_copies_of_a_key_are_hits_of_their_own(spark):
+    rows = [(7, "scary horror night", 10), (7, "scary horror night", 90), (3, "calm puzzle garden", 5), (7, "horror", 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, total_reviews long").coalesce(1)
+    catalog = tfidf.with_row_id(docs.withColumns({"price": F.lit(1.0), "positive_ratio": F.lit(0.5)}))
+    index = tfidf.fit_text_index(catalog, "doc_id", "text", 50)
+    queries = spark.createDataFrame([(1, "scary horror night")], "query_id long, query string")
+    hits = search.search(queries, "ml", 5, index=index).orderBy("rank").collect()
+    assert [(r["doc_id"], round(r["relevance"], 6)) for r in hits[:2]] == [(7, 1.0), (7, 1.0)] and len(hits) == 3
+    for pool in (15, None):
+        found = search.search_catalog(queries, catalog, "ml", 5, pool, index, popularity_weight=0.3).orderBy("rank").collect()
+        assert [r["total_reviews"] for r in found] == [90, 10, 50] and {r["doc_id"] for r in found} == {7}
+    strict = search.search_catalog(queries, catalog, "ml", 5, None, index, min_reviews=60).collect()
+    assert [(r["total_reviews"], r["rank"]) for r in strict] == [(90, 1)]
+
+
+def test_facets_first_by_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [0.6, 0.8], 50), (3, [0.0, 1.0], 500)], "doc_id long, vector array<double>, total_reviews long")
+    catalog = docs.drop("vector").withColumn("positive_ratio", F.lit(1.0))
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    found = search.search_catalog(queries, catalog, "dl", 2, None, doc_vectors=docs.drop("total_reviews"), query_vectors=queries.drop("query"),
+                                  min_reviews=20, popularity_weight=0.5).orderBy("rank").collect()
+    # 0.5 * 0.6 / 0.6 + 0.5 * ln 51 / ln 501 and 0.5 * 0 + 0.5
+    assert [r["doc_id"] for r in found] == [2, 3]
+    assert found[0]["score"] == pytest.approx(0.5 + 0.5 * np.log(51) / np.log(501), abs=1e-6) and found[1]["score"] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_an_empty_vocabulary_gives_no_hits(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    index = tfidf.fit_text_index(docs, "doc_id", "text", 50)
+    queries = spark.createDataFrame([(1, "horror")], "query_id long, query string")
+    assert index.postings.count() == 0 and search.search(queries, "ml", 5, index=index).count() == 0
+
+
+def test_relevance_blocks_agree(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "b", None]), (3, None)], "doc_id long, tag_list array<string>")
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, ["z"])], "query_id long, gold array<string>")
+    want = [(1, 2), (2, 2)]
+    assert sorted(map(tuple, retrieval_eval.relevant_counts(docs, queries).collect())) == want
+    assert sorted(map(tuple, retrieval_eval.relevant_counts(docs, queries, block=1).collect())) == want
 
 
 def test_routed_search_and_reranking(spark):

@@ -9,6 +9,7 @@ from catalog_queries.base import CFG, games, labelled, raw_games, table
 from shelfscope.operators import clean, features, models, search, tfidf
 from shelfscope.plans import preprocess, search_index, training
 from shelfscope.sources import raw_csv
+from shelfscope.sources.tables import load_split
 
 
 def plan(df) -> str:
@@ -40,10 +41,18 @@ def test_hits_are_limited_before_their_shuffle(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     text = plan(search.search(queries, "ml", 5, index=index))
     assert "WindowGroupLimit" in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # the only exchange carries each task's best hits; documents are weighed and met in place
+    assert text.count("Exchange") == 1 and text.index("Exchange") < text.index("MapInArrow") and "Join" not in text
 
 
-# the vector searches and the encoder, where Python workers are meant to run
+def test_relevance_shuffles_counts_only(spark, sf):
+    text = plan(registry()["relevance_counts"].run(spark, sf))
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_count" in text and "doc_id" not in text
+
+
+# the searches and the encoder, where Python workers are meant to run
 PYTHON_QUERIES = {
+    "keyword_search", "keyword_search_copies", "reranked_search", "facets_first_search", "plain_catalog_search", "precision_recall",
     "vector_search", "vector_search_blocked", "nearest_neighbours", "nearest_neighbours_by_cells", "oversampled",
     "encoded_texts", "evaluation_run", "mean_precision", "precision_table"}
 
@@ -51,7 +60,7 @@ PYTHON_QUERIES = {
 @pytest.mark.parametrize("name", [n for n, q in registry().items() if q.sql is not None and n not in PYTHON_QUERIES])
 def test_sql_queries_stay_in_the_jvm(spark, sf, name):
     text = plan(registry()[name].run(spark, sf))
-    assert not any(w in text for w in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"))
+    assert not any(w in text for w in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas"))
 
 
 def test_vendor_counts_do_not_shuffle_the_wide_table(spark, sf):
@@ -74,6 +83,11 @@ def test_whole_run_from_csv(spark, sf, tmp_path):
     train = done.splits.where("task = 'hidden_gem' AND split = 'train'").agg(F.avg("log_price"), F.stddev_pop("log_price")).first()
     assert train[0] == pytest.approx(0, abs=1e-6) and train[1] == pytest.approx(1, abs=1e-6)
 
+    texts = load_split(spark, f"{tmp_path}/out/splits", "hit", f"{tmp_path}/out/text_hit")
+    assert texts.where("task = 'hit'").count() == done.features.count() and texts.where("cardinality(text_weights) > 0").count() > 0
+    length = texts.where("cardinality(text_weights) > 0").select(F.aggregate(F.map_values("text_weights"), F.lit(0.0), lambda a, x: a + x * x).alias("n"))
+    assert length.where("abs(n - 1) > 1e-9").count() == 0
+
     champions = spark.createDataFrame([], "task string, run_id string, value double, version int")
     comparison, decision = training.train_task(
         spark, f"{tmp_path}/out/splits", "hidden_gem", done.columns, champions, f"{tmp_path}/out", minimum=0.0,
