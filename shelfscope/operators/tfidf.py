@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ def fit_vocabulary(words: DataFrame, ngram_max: int, max_terms: int) -> DataFram
     top = (
         words.select(F.inline(let(ngrams(F.col("_words"), ngram_max), counted)))
         .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms).withColumn("idf", idf).collect()  # at most max_terms rows
+        .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms).withColumn("idf", idf).toArrow()  # at most max_terms rows
     )
-    return words.sparkSession.createDataFrame(
-        [(at, *r) for at, r in enumerate(top)], "at int, term string, df long, cf long, idf double")
+    places = pa.array(range(top.num_rows), pa.int32())
+    return words.sparkSession.createDataFrame(top.add_column(0, "at", places))
 
 
 def weigh(words: DataFrame, vocabulary: DataFrame, ngram_max: int) -> DataFrame:
