@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from catalog_queries.base import CFG, LABELLED, cleaned, engineered, games, items, labelled, query, stored_labels, table
 from catalog_queries.shaping import r6
+from shelfscope.functions.scalars import safe_column
 from shelfscope.operators import anomaly, clean, gate, labels, metrics, models, neighbours, quality, reports, smote, split
 from shelfscope.operators.features import engineer, feature_columns, leakage_guard
 from shelfscope.session import checkpointed
@@ -93,9 +93,9 @@ def long_f1(spark, sf):
 # --- gate and quality ------------------------------------------------------
 
 _GATE = """
-runs AS (SELECT source AS task, 'run-' || source AS run_id, avg(quality) AS pr_auc FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' GROUP BY 1),
-champ AS (SELECT source AS task, 'old-' || source AS run_id, avg(quality) AS value, CAST(count(*) AS INT) AS version
-  FROM documents JOIN labels USING (doc_id) WHERE lang = 'fr' GROUP BY 1),
+judged AS (SELECT concat_ws('-', COALESCE(lang, 'none'), COALESCE(source, 'none')) AS task, quality, toxic FROM documents JOIN labels USING (doc_id)),
+runs AS (SELECT task, 'run-' || task AS run_id, avg(quality) AS pr_auc FROM judged GROUP BY 1),
+champ AS (SELECT task, 'old-' || task AS run_id, avg(1 - toxic) AS value, CAST(count(*) AS INT) AS version FROM judged GROUP BY 1 HAVING sum(toxic) > 0),
 dec AS (SELECT r.task, r.run_id, pr_auc AS value, c.value AS old_value, c.version AS old_version,
     CASE WHEN pr_auc < 0.85 THEN 'under minimum' WHEN pr_auc <= c.value THEN 'not above champion' WHEN c.value IS NULL THEN 'first champion' ELSE 'better than champion' END AS reason
   FROM runs r LEFT JOIN champ c USING (task)),
@@ -103,12 +103,14 @@ dec2 AS (SELECT *, reason IN ('first champion', 'better than champion') AS promo
 
 
 def _gate_tables(spark, sf):
-    judged = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    runs = judged.where("lang = 'en'").groupBy(F.col("source").alias("task")).agg(F.avg("quality").alias("pr_auc"))
-    champions = judged.where("lang = 'fr'").groupBy(F.col("source").alias("task")).agg(
-        F.avg("quality").alias("value"), F.count("*").cast("int").alias("version"))
+    """One run per language and source, rated by quality; a champion where a label is toxic, rated by the others."""
+    task = F.concat_ws("-", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")))
+    judged = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(task.alias("task"), "quality", "toxic")
+    runs = judged.groupBy("task").agg(F.avg("quality").alias("pr_auc"))
+    champions = judged.groupBy("task").agg(
+        F.avg(1 - F.col("toxic")).alias("value"), F.count("*").cast("int").alias("version"), F.sum("toxic").alias("_toxic"))
     return (runs.withColumn("run_id", F.concat(F.lit("run-"), "task")),
-            champions.withColumn("run_id", F.concat(F.lit("old-"), "task")))
+            champions.where("_toxic > 0").drop("_toxic").withColumn("run_id", F.concat(F.lit("old-"), "task")))
 
 
 @query("gate_decisions", "M17", "WITH " + _GATE + """
@@ -272,6 +274,42 @@ def scored_products(spark, sf):
     return models.score_products(specs, columns, scaler, model).select("p_type", "p_brand", "probability")
 
 
+_RATED = LABELLED + """,
+judged AS (SELECT *, round(wilson_lb * 0.5 + positive_ratio * 0.5, 6) AS gem_score FROM labelled)"""
+
+
+@query("latent_gems_by_rating", "T2 J4 P11", "WITH " + _RATED + """
+SELECT appid, name, price, total_reviews_calc, gem_score + 0.0 AS gem_score FROM judged
+WHERE price <= 80 AND target_hidden_gem = 0 AND total_reviews_calc < 30 ORDER BY judged.gem_score DESC, appid LIMIT 20""")
+def latent_gems_by_rating(spark, sf):
+    """The report over scores that are computed from columns and joined by key, as a model's are."""
+    rows = labelled(spark, sf)
+    scores = rows.select("appid", F.round(F.col("wilson_lb") * 0.5 + F.col("positive_ratio") * 0.5, 6).alias("gem_score"))
+    scored = rows.select("appid", "name", "price", "genres", "target_hidden_gem", "total_reviews_calc").join(scores, "appid")
+    top = reports.latent_gems(scored, reports.catalog_facets(80, (), ()), 30, 20)
+    return top.select("appid", "name", "price", "total_reviews_calc", r6("gem_score").alias("gem_score"))
+
+
+@query("product_features", "M16", """
+WITH s AS (SELECT p_type, p_brand, round(avg(p_retailprice) - 900, 2) AS price FROM part GROUP BY 1, 2)
+SELECT p_type, p_brand, round(price, 6) + 0.0 AS price, CASE WHEN price = 0 THEN 1.0 ELSE 0.0 END + 0.0 AS is_free, round(ln(1 + price), 6) + 0.0 AS log_price,
+  CAST(2 AS DOUBLE) AS n_platforms, CAST(1 AS DOUBLE) AS n_genre, round(sin(2 * pi() * 11 / 12), 6) + 0.0 AS month_sin,
+  round(cos(2 * pi() * 11 / 12), 6) + 0.0 AS month_cos, CAST(1 AS DOUBLE) AS is_q4_release, CAST(2000 AS DOUBLE) AS release_year,
+  CAST(1 AS DOUBLE) AS windows, CAST(0 AS DOUBLE) AS mac, CAST(1 AS DOUBLE) AS linux, CAST(0 AS DOUBLE) AS n_tag,
+  CAST(p_type = (SELECT min(p_type) FROM part) AS DOUBLE) AS genre_first FROM s""")
+def product_features(spark, sf):
+    """What a model is given for planned products; types are genres as written, with blanks and capitals."""
+    parts = table(spark, sf, "part")
+    first = "genre_" + safe_column(parts.agg(F.min("p_type")).first()[0])
+    specs = parts.groupBy("p_type", "p_brand").agg(F.round(F.avg("p_retailprice") - 900, 2).alias("price")).select(
+        "p_type", "p_brand", "price", F.lit(11).alias("release_month"), F.lit(2000).alias("release_year"),
+        F.array(F.lit("windows"), F.lit("linux")).alias("platforms"), F.array("p_type").alias("genres"))
+    columns = ["price", "is_free", "log_price", "n_platforms", "n_genre", "month_sin", "month_cos", "is_q4_release",
+               "release_year", "windows", "mac", "linux", "n_tag", first]
+    made = models.product_features(specs, columns).drop("release_month").withColumnRenamed(first, "genre_first")
+    return made.withColumns({c: r6(c) for c in ("price", "log_price", "month_sin", "month_cos")})
+
+
 # --- anomaly flags and oversampling ----------------------------------------
 
 SCREEN = CFG.with_(anomaly_enabled=True, exclude_from_gem=True)
@@ -294,6 +332,35 @@ def suspicious_rows(spark, sf):
     return reports.suspicious(made, 20).select("appid", "name", "total_reviews_calc", "positive_ratio", "anomaly_score", "price")
 
 
+_FLAGGED = LABELLED + """,
+flagged AS (SELECT *, CASE WHEN recommendations * 100 > positive * 38 THEN 1 ELSE 0 END AS is_suspicious,
+    round(CAST(recommendations AS DOUBLE) / positive, 6) AS anomaly_score FROM labelled)"""
+
+
+def _flagged(spark, sf):
+    """The catalog with a flag that is computed from columns, in place of the forest's."""
+    flag = (F.col("recommendations") * 100 > F.col("positive") * 38).cast("int")
+    score = F.round(F.try_divide(F.col("recommendations").cast("double"), F.col("positive")), 6)
+    rows = cleaned(spark, sf).withColumns({"is_suspicious": flag, "anomaly_score": score})
+    return labels.make_labels(rows, SCREEN)
+
+
+@query("labels_without_flagged", "F1 A10", "WITH " + _FLAGGED + """
+SELECT count(*) AS rows, round(avg(target_hit), 6) + 0.0 AS hit_rate,
+  round(avg(CASE WHEN target_hidden_gem = 1 AND is_suspicious = 0 THEN 1 ELSE 0 END), 6) + 0.0 AS gem_rate,
+  count(*) FILTER (target_hidden_gem = 1 AND is_suspicious = 1) AS gems_excluded FROM flagged""")
+def labels_without_flagged(spark, sf):
+    return labels.label_summary(_flagged(spark, sf), SCREEN).withColumns({"hit_rate": r6("hit_rate"), "gem_rate": r6("gem_rate")})
+
+
+@query("flagged_rows", "T3", "WITH " + _FLAGGED + """
+SELECT appid, name, total_reviews_calc, round(positive_ratio, 6) + 0.0 AS positive_ratio, anomaly_score + 0.0 AS anomaly_score, price
+FROM flagged WHERE is_suspicious = 1 ORDER BY flagged.anomaly_score DESC, appid LIMIT 20""")
+def flagged_rows(spark, sf):
+    top = reports.suspicious(_flagged(spark, sf), 20)
+    return top.select("appid", "name", "total_reviews_calc", r6("positive_ratio").alias("positive_ratio"), r6("anomaly_score").alias("anomaly_score"), "price")
+
+
 def _vector_points(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))

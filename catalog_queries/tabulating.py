@@ -235,13 +235,17 @@ def exact_quantiles(spark, sf):
         {"price": r6("price"), "quantity": r6("quantity")})
 
 
-@query("content_fingerprint", "A19", "WITH " + GAMES + """,
-h AS (SELECT md5(concat_ws('|', CAST(appid AS VARCHAR), name, CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR), COALESCE(CAST(positive AS VARCHAR), '~'))) AS m FROM games)
+_PRINTED = ("appid price required_age windows mac linux is_free log_price n_platforms n_genre n_tag release_year release_month release_dow "
+            "month_sin month_cos is_q4_release developers_game_count publishers_game_count is_self_published").split()
+
+
+@query("content_fingerprint", "A19", "WITH " + FEATURES + """,
+v AS (SELECT unnest([appid]) AS id, [""" + ", ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in _PRINTED) + """] AS a FROM features),
+h AS (SELECT md5(array_to_string(list_transform(a, lambda x: COALESCE(length(x) || ':' || x, '~')), '|')) AS m FROM v)
 SELECT substr(sha256(concat(count(*), ':', sum(CAST(('0x' || substr(m, 1, 15)) AS HUGEINT)))), 1, 12) AS data_hash FROM h""")
 def content_fingerprint(spark, sf):
-    columns = {"appid": F.col("appid"), "name": F.col("name"),
-               "price": F.round(F.col("price") * 100).cast("long"), "positive": F.col("positive")}
-    return quality.fingerprint(games(spark, sf), columns)
+    """The feature table; values in millionths, so that both engines write them alike."""
+    return quality.fingerprint(engineered(spark, sf), {c: F.round(F.col(c) * 1_000_000).cast("long") for c in _PRINTED})
 
 
 @query("sample_names", "A20", "WITH " + GAMES + """

@@ -125,8 +125,17 @@ def first_or(items: Column | str, default: str) -> Column:
     return F.coalesce(F.get(col(items), F.lit(0)), F.lit(default))
 
 
+#: Characters of an item that a column name holds as underscores, and its greatest length.
+UNSAFE, NAME_CHARS = " -/", 30
+
+
 def safe_name(c: Column | str) -> Column:
-    return F.substring(F.translate(F.lower(col(c)), " -/", "___"), 1, 30)
+    return F.substring(F.translate(F.lower(col(c)), UNSAFE, "_" * len(UNSAFE)), 1, NAME_CHARS)
+
+
+def safe_column(item: str) -> str:
+    """The same for one item on the driver."""
+    return item.lower().translate(str.maketrans(UNSAFE, "_" * len(UNSAFE)))[:NAME_CHARS]
 
 
 # --- text ------------------------------------------------------------------

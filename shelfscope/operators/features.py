@@ -57,15 +57,11 @@ class Vocabulary:
 
     def columns(self, kind: str, items: Column) -> dict[str, Column]:
         """0/1 columns; when two items share a safe name, the less frequent one wins."""
-        hot = {f"{kind}_{safe_column(i)}": F.array_contains(items, i).cast("int")
+        hot = {f"{kind}_{X.safe_column(i)}": F.array_contains(items, i).cast("int")
                for i in self.items[kind]}
         return {**hot, f"n_{kind}": F.size(items)}
 
 
-def safe_column(item: str) -> str:
-    return item.lower().translate(str.maketrans(" -/", "___"))[:30]
-
-
 def multi_hot(df: DataFrame, source: str, kind: str, n: int) -> DataFrame:
     """Adds the multi-hot columns of one list-literal column."""
     parsed = df.withColumn("_items", X.parse_list(source))

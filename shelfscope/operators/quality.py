@@ -63,7 +63,9 @@ def fingerprint(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) ->
     Each row gives an md5; its leading 60 bits are summed with the row count and hashed.
     """
     parts = columns.values() if isinstance(columns, Mapping) else [F.col(c) for c in columns]
-    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in parts])
+    # each value with its length, so that no two rows give one text
+    values = [c.cast("string") for c in parts]
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in values])
     bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
     total = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(bits), F.lit(0)).cast("string"))
     return df.agg(F.substring(F.sha2(total, 256), 1, 12).alias("data_hash"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions import scalars as X
 from shelfscope.functions import text as TX
 from shelfscope.functions.vectors import unit
-from shelfscope.operators.features import safe_column
+from shelfscope.functions.scalars import safe_column
 
 
 def one(spark, value, expression, kind="string"):
