@@ -5,6 +5,10 @@ letters of the longer ones, hashed into `buckets`. The score is the logistic of
 per term, and the inner products of the vectors of all pairs of terms, so that two terms
 together can mean more than each alone.
 
+Terms take part if their presence depends on the label, or if a pair of them does: where the machine
+of the first kind leaves rows on the wrong side, all pairs of the terms of these rows are tested
+against its probabilities over all fitted rows, and it is fitted on with the pairs that account for them.
+
 The fit uses at most about `fit_rows` labelled rows (by hash of the id), of which one task
 makes several passes in mini-batches with AdaGrad; the model has a fixed size and is sent to
 all tasks, which score every row. Null or empty text: no terms, the score of the bias.
@@ -40,10 +44,12 @@ class FactorParameters:
     rate: float = 0.1
     decay: float = 1e-4
     fit_rows: int = 16_000
-    #: A term that fewer fitted rows have, or that depends less on the label, keeps weight zero: in long
-    #: texts the noise of thousands of such terms would drown the others.
+    #: A term that fewer fitted rows have, or that depends less on the label and stands in no pair that does,
+    #: keeps weight zero: in long texts the noise of thousands of such terms would drown the others.
     least_rows: int = 5
     least_chi2: float = 30.0
+    #: The chance that any of the tested pairs passes where none depends on the label.
+    pair_chance: float = 0.01
     seed: int = 7
 
 
@@ -67,18 +73,98 @@ def informative(terms: list[np.ndarray], labels: np.ndarray, p: FactorParameters
     return (any_ >= p.least_rows) & (n * (n * both - any_ * ones) ** 2 / spread >= p.least_chi2)
 
 
-def fit_machine(terms: list[np.ndarray], labels: np.ndarray, p: FactorParameters) -> dict:
-    """Bias, weights and vectors, from the term buckets of some rows."""
-    random = np.random.default_rng(p.seed)
-    weight = np.zeros(p.buckets)
-    vector = random.normal(0, 0.01, (p.buckets, p.factors))
-    known = informative(terms, labels, p)
-    terms = [t[known[t]] for t in terms]
-    vector[~known] = 0
-    share = (labels.sum() + 1.0) / (len(labels) + 2.0)
-    bias = math.log(share / (1 - share))
+def _excess(hits: np.ndarray, rows: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Binomial deviance of the hits among some rows, zero where they are not more than expected."""
+    rest = rows - hits
+    found = hits * np.log(np.maximum(hits, 1e-9) / expected) + rest * np.log(np.maximum(rest, 1e-9) / (rows - expected))
+    return np.where(hits > expected, 2 * found, 0.0)
+
+
+def meeting_pairs(terms: list[np.ndarray], labels: np.ndarray, chance: np.ndarray, p: FactorParameters) -> list[tuple[int, int, float]]:
+    """Pairs of buckets whose rows have a label more often than `chance` says, with their log-odds beyond it.
+
+    Sought in the rows that `chance` puts on the wrong side, tested over all rows. The strongest come first;
+    a later pair counts only the rows that no earlier one holds, so that echoes of a pair are not taken with it.
+    """
+    out = []
+    for label in (0, 1):
+        mine = labels == label
+        share = np.clip(chance if label else 1 - chance, 0.01, 0.99)
+        wrong = mine & (share < 0.5)
+        often = np.bincount(np.concatenate([np.empty(0, np.int64), *(terms[i] for i in np.flatnonzero(wrong))]), minlength=p.buckets) >= p.least_rows
+        names = np.flatnonzero(often)
+        if len(names) < 2:
+            continue
+        least = 2 * math.log(len(names) * (len(names) - 1) / 2 / p.pair_chance)
+        place = np.cumsum(often) - 1
+        rows = [place[t[often[t]]] for t in terms]
+        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        holders = np.split(owner[np.argsort(flat, kind="stable")], np.cumsum(np.bincount(flat, minlength=len(names)))[:-1])
+        found = []
+        for a, held in enumerate(holders):
+            some = held[wrong[held]]
+            # No pair passes with fewer wrong rows than would do if these were all its rows.
+            need = max(p.least_rows, least / (-2 * math.log(share[some].min())))
+            if len(some) < need:
+                continue
+            met = np.bincount(np.concatenate([rows[i] for i in some]), minlength=len(names))
+            met[: a + 1] = 0
+            others = np.flatnonzero(met >= need)
+            if not len(others):
+                continue
+            with_a, of = np.concatenate([rows[i] for i in held]), np.repeat(held, [len(rows[i]) for i in held])
+            n, hits, expected = (np.bincount(with_a, w, minlength=len(names))[others] for w in (None, mine[of], share[of]))
+            g = _excess(hits, n, expected)
+            found += [(-x, a, b) for x, b in zip(g, others.tolist(), strict=True) if x >= least]
+        left = np.ones(len(rows), bool)
+        for _, a, b in sorted(found):
+            both = np.intersect1d(holders[a], holders[b], assume_unique=True)
+            both = both[left[both]]
+            hits, expected = mine[both].sum(), share[both].sum()
+            if (wrong[both].sum() >= p.least_rows) and _excess(hits, len(both), expected) >= least:
+                odds = math.log((hits + 0.5) / (len(both) - hits + 0.5)) - math.log(expected / (len(both) - expected))
+                out.append((int(names[a]), int(names[b]), odds if label else -odds))
+                left[both[mine[both]]] = False
+    return out
+
+
+def _start(model: dict, pairs: list[tuple[int, int, float]], terms: list[np.ndarray], p: FactorParameters) -> None:
+    """Vectors whose products reach the log-odds of the pairs, and weights that take back what these
+    products give the terms on the average."""
+    pairs = pairs[:400]
+    names, at = np.unique([x[:2] for x in pairs], return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    goal = np.zeros((len(names), len(names)))
+    goal[a, b] = goal[b, a] = [x[2] for x in pairs]
+    # Products of terms that are no pair only have to stay below zero: more pairs than factors have room so.
+    paired, own = goal != 0, np.sign(goal)
+    vector = np.random.default_rng(p.seed).normal(0, 1, (len(names), p.factors))
+    speed, weigh = np.full_like(vector, 1e-6), np.where(paired, min(30.0, max(1.0, (~paired).sum() / paired.sum())), 1.0)
+    np.fill_diagonal(weigh, 0)
+    for k in range(1000):
+        product = vector @ vector.T
+        miss = np.where(paired, own * np.minimum(own * (product - goal), 0), np.maximum(product, 0))
+        g = 2 * (weigh * miss) @ vector
+        speed = 0.99 * speed + 0.01 * g * g
+        vector -= 0.05 * (1 - k / 1000) * g / np.sqrt(speed + 1e-9)
+    place = np.full(p.buckets, -1)
+    place[names] = np.arange(len(names))
+    met = np.zeros((len(names), len(names)))
+    for t in terms:
+        here = place[t]
+        here = here[here >= 0]
+        met[np.ix_(here, here)] += 1
+    each = vector @ vector.T * met / np.maximum(met.diagonal(), 1)[:, None]
+    np.fill_diagonal(each, 0)
+    model["vector"][names] = vector
+    model["weight"][names] -= 0.5 * each.sum(axis=1)
+
+
+def _descend(model: dict, terms: list[np.ndarray], labels: np.ndarray, random: np.random.Generator, p: FactorParameters) -> None:
+    """The passes over the rows, from where the model is."""
+    bias, weight, vector = model["bias"], model["weight"], model["vector"]
     seen_b, seen_w, seen_v = 1e-6, np.full(p.buckets, 1e-6), np.full((p.buckets, p.factors), 1e-6)
-    for _ in range(p.passes if 0 < labels.sum() < len(labels) else 0):
+    for _ in range(p.passes):
         order = random.permutation(len(terms))
         for k in range(0, len(order), p.batch):
             some = order[k : k + p.batch]
@@ -101,7 +187,30 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, p: FactorParameters
             g = slope.sum()
             seen_b += g * g
             bias -= p.rate * g / math.sqrt(seen_b)
-    return {"bias": bias, "weight": weight.astype(np.float32), "vector": vector.astype(np.float32)}
+    model["bias"] = bias
+
+
+def fit_machine(terms: list[np.ndarray], labels: np.ndarray, p: FactorParameters) -> dict:
+    """Bias, weights and vectors, from the term buckets of some rows."""
+    random = np.random.default_rng(p.seed)
+    share = (labels.sum() + 1.0) / (len(labels) + 2.0)
+    model = {"bias": math.log(share / (1 - share)), "weight": np.zeros(p.buckets), "vector": random.normal(0, 0.01, (p.buckets, p.factors))}
+    known = informative(terms, labels, p)
+    small = model["vector"].copy()
+    model["vector"][~known] = 0
+    if 0 < labels.sum() < len(labels):
+        alone = [t[known[t]] for t in terms]
+        _descend(model, alone, labels, random, p)
+        pairs = meeting_pairs(terms, labels, np.array([machine_score(model, t) for t in alone]), p)
+        if pairs:
+            more = np.zeros(p.buckets, bool)
+            more[[x for a, b, _ in pairs for x in (a, b)]] = True
+            model["vector"][more & ~known] = small[more & ~known]
+            known |= more
+            terms = [t[known[t]] for t in terms]
+            _start(model, pairs, terms, p)
+            _descend(model, terms, labels, random, p)
+    return {"bias": model["bias"], "weight": model["weight"].astype(np.float32), "vector": model["vector"].astype(np.float32)}
 
 
 def machine_score(model: dict, terms: np.ndarray) -> float:

@@ -73,6 +73,28 @@ def test_machine_learns_pairs(spark, documents, odd_rows):
     assert scored(documents([]), one, F.lit(True)).collect() == [] and len(term_buckets("", 8)) == 0
 
 
+def test_machine_finds_pairs_of_neutral_terms():
+    from shelfscope.llm.toxicity_fm import FactorParameters, fit_machine, informative, machine_score
+
+    p = FactorParameters()
+
+    def rows(seed, n=12_800):
+        rng = np.random.default_rng(seed)
+        alone, some = rng.random(n) < 0.11, rng.random((n, 6)) < 0.03
+        meets = (some[:, 0::2] & some[:, 1::2]).any(axis=1)
+        terms = [
+            np.unique(np.concatenate([1000 + rng.integers(0, 400, 40), 10 + np.flatnonzero(s), [300 + rng.integers(0, 4)] * int(x)]).astype(np.int64))
+            for s, x in zip(some, alone, strict=True)]
+        return terms, (alone | meets).astype(float), meets & ~alone
+
+    terms, labels, _ = rows(1)
+    assert not informative(terms, labels, p)[10:16].any()
+    model = fit_machine(terms, labels, p)
+    terms, labels, meets = rows(2)
+    called = np.array([machine_score(model, t) >= 0.5 for t in terms])
+    assert meets.sum() > 20 and called[meets].mean() > 0.9 and called[labels == 0].mean() < 0.001
+
+
 def brute_context_tree(train, texts, depth):
     """log10 probabilities by direct recursion over the counts."""
     counts = defaultdict(lambda: [0, 0])
