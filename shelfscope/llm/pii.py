@@ -91,6 +91,51 @@ def card(value: str, key: bytes) -> str | None:
     return _into(value, body + str((10 - luhn(body + "0")) % 10))
 
 
+_GROUP = re.compile(r"\d+")
+#: Digits in the groups of a card number as it is printed; one group of 13 to 19 is one too.
+_PRINTED = re.compile(r"(4 4 4 (?:4 [123]|[1234])|4 6 [45]|1[3-9])(?= )")
+
+
+def cards(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """The card numbers of a run of digits: the run itself, else groups of it as cards are printed, else its
+    longest part that is one; other numbers (expiry, security code, order) may stand beside them."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    if re.match(r"[\w-]", text[end : end + 1], re.ASCII):
+        groups.pop()  # the last digits belong to a word
+
+    def number(first: int, last: int) -> tuple[int, int, str] | None:
+        a, b = groups[first][0], groups[last - 1][1]
+        new = card(text[a:b], key) if b - a <= 40 else None
+        return new and (a, b, new)
+
+    if groups and (found := number(0, len(groups))):
+        yield found
+        return
+    k, some = 0, False
+    while k < len(groups):
+        sizes = "".join(f"{b - a} " for a, b in groups[k : k + 5])
+        shape = _PRINTED.match(sizes)
+        n = 1 + shape[1].count(" ") if shape else 0
+        # a fifth group may be the number's or stand beside it
+        found = next((x for m in ((n, n - 1) if n == 5 else (n,)) if m and (x := number(k, k + m))), None)
+        if found:
+            some = True
+            yield found
+            k = next((j for j in range(k, len(groups)) if groups[j][1] >= found[1])) + 1
+        else:
+            k += 1
+    first = 0
+    while not some and first < len(groups):
+        last, digits, ends = first, 0, []
+        while last < len(groups) and (digits := digits + groups[last][1] - groups[last][0]) <= 19:
+            last += 1
+            ends += [last] if digits >= 13 else []
+        hit = next(((x, e) for e in reversed(ends) if (x := number(first, e))), None)
+        if hit:
+            yield hit[0]
+        first = hit[1] if hit else max(last, first + 1)
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -104,6 +149,25 @@ def iban(value: str, key: bytes) -> str | None:
     return _into(value, f"{plain[:2]}{check:02d}{body}", str.isalnum)
 
 
+#: Characters of an IBAN by country, from the SWIFT registry.
+_IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+
+
+def ibans(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """The IBAN of a run of groups: up to the country's length, else the longest part that is one."""
+    ends = [end, *(k for k in range(end - 1, start, -1) if text[k] == " ")]
+    size = _IBAN_LENGTHS.get(text[start : start + 2])
+    ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != size)
+    # A shorter part of another length than the country's is none.
+    for e in ends if size is None else [e for e in ends if e == end or e == ends[0]]:
+        if (new := iban(text[start:e], key)) is not None:
+            yield start, e, new
+            return
+
+
 def address(value: str, key: bytes) -> str | None:
     parts = [int(x) for x in value.split(".")]
     if max(parts) > 255:
@@ -179,12 +243,14 @@ KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
     ("secret", "", r"(?<![A-Za-z0-9])((?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,})(?![A-Za-z0-9])", secret),
     ("iban", "", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     ("ip", ".", r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?![\d]|\.\d)", address),
-    ("date", "", r"(?<![\w./-])(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-]|\.\d)", date),
-    ("card", "", r"(?<![\w.])(\d(?:[ -]?\d){12,18})(?![\w-])", card),
+    ("date", "", r"(?<![\w./-])(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))", date),
+    ("card", "", r"(?<![\w.])(\d(?:[ -]?\d){12,}+)", card),
     ("national", "-", r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])", national),
     ("phone", "", r"(?<![\w+.-])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])", phone),
 ]
 _COMPILED = [(kind, hint, re.compile(pattern, re.ASCII), change) for kind, hint, pattern, change in KINDS]
+#: Kinds whose pattern may take more than the value: where in it the values are.
+_WITHIN = {"card": cards, "iban": ibans}
 _MARK = re.compile(r"[0-9@]|AKIA|password|passwd|token|secret|api_key")
 
 
@@ -197,11 +263,17 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
         if hint and hint not in text:
             continue
         new_ones = []
-        for m in pattern.finditer(text):
-            # the neighbours in the sorted list of earlier kinds must not overlap
-            k = bisect_left(found, (m.end(1),))
-            if not (k and found[k - 1][1] > m.start(1)) and (new := change(m[1], key)) is not None:
-                new_ones.append((m.start(1), m.end(1), kind, new))
+        at = 0
+        while m := pattern.search(text, at):
+            start, end = m.span(1)
+            values = _WITHIN[kind](text, start, end, key) if kind in _WITHIN else [(start, end, m[1])]
+            at = start + 1 if kind == "iban" else max(end, m.end())
+            for start, end, new in values:
+                # the neighbours in the sorted list of earlier kinds must not overlap
+                k = bisect_left(found, (end,))
+                if not (k and found[k - 1][1] > start) and (new := new if kind in _WITHIN else change(new, key)) is not None:
+                    new_ones.append((start, end, kind, new))
+                    at = max(at, end)
         if new_ones:
             found = sorted(found + new_ones)
     out, places, at, length = [], [], 0, 0

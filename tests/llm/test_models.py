@@ -236,6 +236,29 @@ def test_pseudonyms(documents, odd_rows):
     assert pii.pseudonyms(documents([]), b"k").collect() == []
 
 
+def test_pseudonyms_beside_other_groups():
+    from shelfscope.llm import pii
+
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    new_card, new_iban = pii.card(card, b"k"), pii.iban(iban, b"k")
+    around = ("{} 12/26", "{} 123", "{} 2027-01-31", "{} 12ab", "order 12 {}", "1234 5678 {}", "{} 1234 5678 9012", "is {}.", "{}-123")
+    for text in around:
+        got, places = pii.pseudonymise(text.format(card), b"k")
+        assert new_card in got and "card" in [p["kind"] for p in places], text
+    assert pii.pseudonymise(f"{card} 5500 0000 0000 0004", b"k")[0] == f"{new_card} {pii.card('5500 0000 0000 0004', b'k')}"
+    assert pii.pseudonymise("3782 822463 10005 1234", b"k")[0] == pii.card("3782 822463 10005", b"k") + " 1234"
+    for text in ("{}", "{} PAID", "{} PAID INVOICE 12", "{} AB", "AB12 CDEF GHIJ {} X"):
+        assert pii.pseudonymise(text.format(iban), b"k")[0] == text.format(new_iban)
+    two = f"{iban} DE89 3704 0044 0532 0130 00 OK"
+    assert pii.pseudonymise(two, b"k")[0] == f"{new_iban} {pii.iban('DE89 3704 0044 0532 0130 00', b'k')} OK"
+    for after in ("T12:00:00Z", "T12:00", "T120000.5+01:00", "t12:00:00z"):
+        assert pii.pseudonymise(f"2024-03-05{after}", b"k")[0] == pii.date("2024-03-05", b"k") + after
+    clean = "1234 5678 9012 3456 78, 2024-03-05Tx, BE68 5390 0754 7035 PAID"
+    assert pii.pseudonymise(clean, b"k") == (clean, [])
+    long = "12 " * 200_000
+    assert len(pii.pseudonymise(long, b"k")[0]) == len(long)
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
