@@ -2,7 +2,7 @@
 
 Kinds: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs (mod 97), national
 numbers of the form ddd-dd-dddd, phone numbers, calendar dates, and secrets (access keys,
-long hexadecimal tokens, values after ``password=``). A value is replaced by another of the
+long hexadecimal tokens, values after ``password=`` or ``password:``). A value is replaced by another of the
 same format: same length, classes and separators, with check digits recomputed and dates
 that exist. The permutation is a Feistel network over the numbers of the format's domain,
 walked until it falls inside; it is one-to-one, so equal values get equal pseudonyms in
@@ -235,11 +235,13 @@ def secret(value: str, key: bytes) -> str | None:
     return head + permuted_text(value[len(head) :], key, "secret")
 
 
-#: Kind, what the text must hold for it, pattern of the value (group 1), and its pseudonym. Earlier kinds come first.
-KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
+_NAMED = ("password", "passwd", "token", "secret", "api_key")
+
+#: Kind, what (or one of what) the text must hold for it, pattern of the value (group 1), and its pseudonym. Earlier kinds come first.
+KINDS: list[tuple[str, str | tuple[str, ...], str, Callable[[str, bytes], str | None]]] = [
     ("email", "@", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", mail),
     ("secret", "AKIA", r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
-    ("secret", "=", r"(?:password|passwd|token|secret|api_key)\s*[=:]\s*[\"']?([A-Za-z0-9]{8,})(?![A-Za-z0-9])", secret),
+    ("secret", _NAMED, rf"(?:{'|'.join(_NAMED)})\s*[=:]\s*[\"']?([A-Za-z0-9]{{8,}})(?![A-Za-z0-9])", secret),
     ("secret", "", r"(?<![A-Za-z0-9])((?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,})(?![A-Za-z0-9])", secret),
     ("iban", "", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     ("ip", ".", r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?![\d]|\.\d)", address),
@@ -251,7 +253,7 @@ KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
 _COMPILED = [(kind, hint, re.compile(pattern, re.ASCII), change) for kind, hint, pattern, change in KINDS]
 #: Kinds whose pattern may take more than the value: where in it the values are.
 _WITHIN = {"card": cards, "iban": ibans}
-_MARK = re.compile(r"[0-9@]|AKIA|password|passwd|token|secret|api_key")
+_MARK = re.compile(rf"[0-9@]|AKIA|{'|'.join(_NAMED)}")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
@@ -260,7 +262,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
         return text, []
     found: list[tuple[int, int, str, str]] = []
     for kind, hint, pattern, change in _COMPILED:
-        if hint and hint not in text:
+        if not any(h in text for h in ((hint,) if isinstance(hint, str) else hint)):
             continue
         new_ones = []
         at = 0

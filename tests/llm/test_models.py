@@ -259,6 +259,18 @@ def test_pseudonyms_beside_other_groups():
     assert len(pii.pseudonymise(long, b"k")[0]) == len(long)
 
 
+def test_pseudonyms_of_named_secrets():
+    from shelfscope.llm import pii
+
+    new = pii.secret("hunter2abcd", b"k")
+    for name in ("password", "passwd", "token", "secret", "api_key"):
+        for sign in ("=", " = ", ":", ": ", ': "'):
+            for rest in ("", " and 1=1"):
+                got, places = pii.pseudonymise(f"{name}{sign}hunter2abcd{rest}", b"k")
+                assert got == f"{name}{sign}{new}{rest}" and [p["kind"] for p in places] == ["secret"]
+    assert pii.pseudonymise("a secret garden: nothing", b"k") == ("a secret garden: nothing", [])
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
