@@ -227,10 +227,14 @@ def boosted_on_balanced(spark, sf):
     return metrics.classification_report(called, "target_hit", "called")
 
 
+#: The points and folds of the reference's search.
+GRID = {"depths": [8, 12, 16, 20, 24], "trees": [100, 200, 300, 400, 500], "folds": 5}
+
+
 @query("grid_search", "M7 M8")
 def grid_search(spark, sf):
     train, _, columns, _ = _task(spark, sf, "target_hit")
-    results = models.grid_search(train, "target_hit", "appid", columns, depths=[4, 8], trees=[5, 10], folds=3)
+    results = models.grid_search(train, "target_hit", "appid", columns, **GRID)
     return metrics.with_efficiency(results)
 
 

@@ -363,6 +363,21 @@ def test_grid_search(spark, separable):
     assert len(got) == 2 and all(0 <= r["mean_test_score"] <= 1 and r["mean_fit_time"] > 0 for r in got)
 
 
+def test_grid_search_query_covers_the_reference(spark, sf, monkeypatch):
+    from catalog_queries import registry
+
+    asked = {}
+
+    def record(df, label, key, columns, depths, trees, folds=5, seed=42):
+        asked.update(depths=list(depths), trees=list(trees), folds=folds)
+        rows = [(d, n, 0.5, 1.0) for d in depths for n in trees]
+        return df.sparkSession.createDataFrame(rows, "max_depth int, n_estimators int, mean_test_score double, mean_fit_time double")
+
+    monkeypatch.setattr(models, "grid_search", record)
+    assert registry()["grid_search"].run(spark, sf).count() == 25
+    assert asked == {"depths": [8, 12, 16, 20, 24], "trees": [100, 200, 300, 400, 500], "folds": 5}
+
+
 def test_draw_sample_is_the_head_of_the_draw_order(spark):
     df = spark.range(20_000)
     whole = [r["id"] for r in df.orderBy(skew.draw_order("id", 7)).limit(50).collect()]
