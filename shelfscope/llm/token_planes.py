@@ -101,8 +101,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.plain, self.find = pieces()
+        # Added tokens are cut out before the pieces. Those that take blanks or look at their neighbours are left to the tokenizer.
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        self.added = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
+        self.literal = all(not (t.lstrip or t.rstrip or t.single_word) for _, t in added.values())
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.code = Codes(self.tokenizer.model).__getitem__
 
     def whole(self, text: str) -> bytes:
@@ -110,6 +114,21 @@ class PieceEncoder:
 
     def parts(self, text: str) -> Iterator[bytes]:
         """The ids as little-endian 32-bit integers, in parts of bounded size; a text of other characters is one part."""
+        if self.cut is None or not self.cut.search(text):
+            yield from self._parts(text)
+        elif not self.literal:
+            yield self.whole(text)
+        else:
+            at = 0
+            for m in self.cut.finditer(text):
+                if at < m.start():
+                    yield from self._parts(text[at : m.start()])
+                yield self.added[m.group()]
+                at = m.end()
+            if at < len(text):
+                yield from self._parts(text[at:])
+
+    def _parts(self, text: str) -> Iterator[bytes]:
         if not self.plain.fullmatch(text):
             yield self.whole(text)
         elif len(text) <= TOGETHER:

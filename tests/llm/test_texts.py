@@ -198,6 +198,25 @@ def test_pieces_are_those_of_the_tokenizer():
         assert b"".join(e.parts(text)) == e.whole(text), repr(text)
 
 
+def test_added_tokens_are_those_of_the_plain_call(spark, documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    from shelfscope.llm.queries import vocabulary
+    from shelfscope.llm.token_planes import PieceEncoder, read_shard, write_token_files
+
+    fresh, e, rng = Tokenizer.from_file(vocabulary()), PieceEncoder(vocabulary()), random.Random(4)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", f" {end}\n\n{end}  漢字 <|endof{end}text|>", f"it's{end}'s", "<|endoftext|", f"x {end} " * 90_000]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "é", "漢", "'s", "12", end, "<|"]) for _ in range(20)) for _ in range(500)]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for t, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(b"".join(e.parts(t)), "<u4").tolist() == ids == np.frombuffer(e.whole(t), "<u4").tolist(), t[:80]
+    manifest = write_token_files(documents([(k, t, None, None) for k, t in enumerate(texts[:7])]), vocabulary(), 2, str(tmp_path / "added"))
+    got = {i: np.frombuffer(b"".join(p), "<u4").tolist() for r in manifest.collect() for i, p in read_shard(r.file)}
+    assert got == {k: [*ids, 2] for k, ids in enumerate(want[:7])}
+
+
 def brute_viterbi(scores, penalty):
     best = list(scores[0])
     for row in scores[1:]:
