@@ -200,3 +200,72 @@ def op6_voronoi_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     from shelfscope.llm.knn import voronoi_knn
 
     return voronoi_knn(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SPELLING = r"""
+WITH RECURSIVE bits(i, step, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+lowered AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs GROUP BY ALL),
+coded AS (
+  SELECT *, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes
+  FROM lowered),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, list_extract(t, (xor(c, b) & 255) + 1)))) AS h FROM coded, crc_table),
+damaged AS (
+  SELECT times, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM shorter x JOIN shorter y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM shorter x JOIN words y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM shorter x JOIN words y ON x.rest = y.word),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS (
+  SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+followed(word, reached) AS (
+  SELECT word, word FROM formed
+  UNION SELECT f.word, g.form FROM followed f JOIN formed g ON f.reached = g.word WHERE g.form IS NOT NULL)
+SELECT d.word, d.form, f.reached AS root, d.n, d.n_near, d.form_n
+FROM formed d JOIN followed f ON f.word = d.word JOIN formed e ON e.word = f.reached AND e.form IS NULL
+"""
+
+
+@_query(SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf, "documents"))
+
+
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query()
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.token_alignment import alignment_table
+
+    return alignment_table(_table(spark, sf, "documents"), vocabulary(), piece_vocabulary())
+
+
+@_query()
+def op13_piecewise_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    from shelfscope.llm.piecewise_hash import neighbour_fingerprints
+
+    return neighbour_fingerprints(_table(spark, sf, "documents"))
