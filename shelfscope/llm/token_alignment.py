@@ -62,6 +62,10 @@ class Letters:
         self.bytes = [b""] * (max(known.values()) + 1)
         for entry, i in known.items():
             self.bytes[i] = entry.encode() if i in added else bytes(back[c] for c in entry)
+        # With all bytes as entries and no marks on pieces, merging bytes can lose none of them; sizes then prove the spelling.
+        model = self.encoder.tokenizer.model
+        self.lossless = self.encoder.tokenizer.normalizer is None and all(c in known for c in back) and not (
+            model.continuing_subword_prefix or model.end_of_word_suffix)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.encoder.parts(" " + text)), "<u4").astype(np.int64)
@@ -73,6 +77,7 @@ class Pieces:
     def __init__(self, vocabulary: str):
         import sentencepiece
 
+        self.lossless = False
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [
@@ -109,7 +114,9 @@ def pieces(a: np.ndarray, b: np.ndarray, work: int) -> Iterator[tuple[np.ndarray
     for d in range(0, total, work):
         i, i_stop = crossing(a, b, d), crossing(a, b, min(d + work, total))
         j, j_stop = d - i, min(d + work, total) - i_stop
-        ends = np.unique(np.concatenate((a[i:i_stop], b[j:j_stop])))
+        ends = np.concatenate((a[i:i_stop], b[j:j_stop]))
+        ends.sort(kind="stable")  # two ascending runs: one merge
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         if d:  # an end of both tokens that the cut falls between belongs to the piece before
             ends = ends[ends > max(a[i - 1] if i else -1, b[j - 1] if j else -1)]
         of_a = i + np.searchsorted(a[i:i_stop], ends)
@@ -133,8 +140,8 @@ class Aligner:
         if not text:
             return None
         raw, both = (" " + text).encode(), (self.a.ids(text), self.b.ids(text))
-        for side, ids in zip((self.a, self.b), both, strict=True):
-            if b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw:
+        for side, sizes, ids in zip((self.a, self.b), self.sizes, both, strict=True):
+            if sizes[ids].sum() != len(raw) or not side.lossless and b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw:
                 return None
         return both
 
