@@ -16,7 +16,7 @@ table of their counts is broadcast under this bound.
 
 Null text, empty text, and texts that a tokenizer does not give back byte by byte have no
 tokens: zeros and an empty digest. Null or repeated ids: each row is a document. Texts of any
-length are encoded in parts; one holds its ids and ends (12 bytes a token) and one piece.
+length: one is held with its units, its ids and ends (16 bytes a token), and one piece of the merge.
 Links of equal count tie; all of them count as best. Other columns are not read, so their
 names cannot clash. An empty table gives no rows.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +41,9 @@ from shelfscope.llm.token_planes import PieceEncoder, byte_letters
 
 #: Ends that a piece of the merge holds.
 WORK = 1 << 16
-#: Characters that the piece tokenizer gets at once.
-TOGETHER = 1 << 16
+#: Units whose ids a worker remembers, twice: those in use and those used before; and the characters of the longest.
+REMEMBERED = 300_000
+LONGEST = 64
 PER_DOCUMENT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, "
                 "pairs array<long>, times array<long>")
 COUNTS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
@@ -77,23 +79,41 @@ class Pieces:
     def __init__(self, vocabulary: str):
         import sentencepiece
 
-        self.lossless = False
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [
             bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
-        # No piece goes on behind a blank, so a text can be cut before one and each part gets its blank back.
-        self.cuts = not any(re.search("[^▁]▁", name) for name in names)
+        # No piece goes on behind a blank, so what lies between blanks is encoded on its own, with the blanks before it.
+        self.apart = not any(re.search("[^▁]▁", name) for name in names)
+        self.unit = re.compile(r"[ ▁]*[^ ▁]+(?:[ ▁]+\Z)?|[ ▁]+")
+        self.code = Units(self).__getitem__
 
-    def parts(self, text: str) -> Iterator[str]:
-        at = 0
-        while self.cuts and len(text) - at > TOGETHER and (found := re.compile(r"(?<=[^ ▁]) ").search(text, at + TOGETHER)):
-            yield text[at : found.start()]
-            at = found.end()
-        yield text[at:]
+    def spelt(self, unit: str) -> bytes:
+        """Ids of a unit, which begins with a blank; none where they do not spell it."""
+        ids = self.model.encode(unit[1:])
+        return array("I", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == unit.encode() else b""
 
     def ids(self, text: str) -> np.ndarray:
-        return np.concatenate([np.array(self.model.encode(part), np.int64) for part in self.parts(text)])
+        units = self.unit.findall(" " + text) if self.apart else [" " + text]
+        return np.frombuffer(b"".join(map(self.code, units)), "<u4").astype(np.int64)
+
+
+class Units(dict):
+    """Ids of units as bytes. Holds the units in use, and those used before, up to REMEMBERED each, and no long ones."""
+
+    def __init__(self, pieces: Pieces):
+        self.spelt, self.older = pieces.spelt, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        code = self.older.get(unit)
+        if code is None:
+            code = self.spelt(unit)
+        if len(unit) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = code
+        return code
 
 
 def crossing(a: np.ndarray, b: np.ndarray, d: int) -> int:
@@ -140,9 +160,10 @@ class Aligner:
         if not text:
             return None
         raw, both = (" " + text).encode(), (self.a.ids(text), self.b.ids(text))
-        for side, sizes, ids in zip((self.a, self.b), self.sizes, both, strict=True):
-            if sizes[ids].sum() != len(raw) or not side.lossless and b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw:
-                return None
+        if any(sizes[ids].sum() != len(raw) for sizes, ids in zip(self.sizes, both, strict=True)):
+            return None
+        if not self.a.lossless and b"".join(map(self.a.bytes.__getitem__, both[0].tolist())) != raw:
+            return None
         return both
 
     def groups(self, a_ids: np.ndarray, b_ids: np.ndarray, work: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
