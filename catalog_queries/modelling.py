@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from catalog_queries.base import CFG, LABELLED, cleaned, engineered, games, items, labelled, query, stored_labels, table
 from catalog_queries.shaping import r6
 from shelfscope.functions.scalars import safe_column
-from shelfscope.operators import anomaly, clean, gate, labels, metrics, models, neighbours, quality, reports, smote, split
+from shelfscope.operators import (
+    anomaly, clean, gate, labels, metrics, model_tables, models, neighbours, quality, reports, smote, split)
 from shelfscope.operators.features import engineer, feature_columns, leakage_guard
 from shelfscope.session import checkpointed
 
@@ -247,15 +248,17 @@ def _forest(spark, sf):
 @query("feature_importances", "T8 M2")
 def feature_importances(spark, sf):
     model, columns, _ = _forest(spark, sf)
-    return models.importances(model, columns, spark)
+    return model_tables.table_importances(model_tables.model_table(model, spark), columns)
 
 
 @query("scored_catalog", "M15 J4")
 def scored_catalog(spark, sf):
+    """The fitted forest stored as a table, and all rows scored by the table."""
     train, test, columns, _ = _task(spark, sf, "target_hidden_gem")
     experiment = next(e for e in models.EXPERIMENTS if e.name == "forest_balanced")
     model = models.fit(experiment, train, "target_hidden_gem", columns, EFFORT, CFG.seed)
-    scored = models.scores(model, train.unionByName(test), columns, "gem_score")
+    table_ = model_tables.model_table(model, spark)
+    scored = model_tables.table_scores(train.unionByName(test), columns, table_, model_tables.kind_of(model), "gem_score")
     return labelled(spark, sf).select("appid", "name", "price", "genres", "target_hidden_gem", "total_reviews_calc").join(
         scored.select("appid", "gem_score"), "appid")
 
@@ -278,6 +281,65 @@ def scored_products(spark, sf):
     return models.score_products(specs, columns, scaler, model).select("p_type", "p_brand", "probability")
 
 
+# A model table with one tree for each pair of columns: both are split at their means, and a leaf holds its class rate.
+_PAIRED = ("price", "required_age", "recommendations")
+_CELLS = LABELLED + """,
+means AS (SELECT round(avg(price), 6) AS m0, round(avg(required_age), 6) AS m1, round(avg(recommendations), 6) AS m2 FROM labelled),
+side AS (SELECT appid, target_hidden_gem AS y, price <= m0 AS l0, required_age <= m1 AS l1, recommendations <= m2 AS l2 FROM labelled, means),
+long AS (SELECT 0 AS tree, appid, y, l0 AS a, l1 AS b FROM side UNION ALL SELECT 1, appid, y, l1, l2 FROM side
+  UNION ALL SELECT 2, appid, y, l2, l0 FROM side),
+cell AS (SELECT tree, a, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS p FROM long GROUP BY ALL)"""
+
+
+def _paired_trees(spark, sf):
+    """The rows, and the trees as a model table."""
+    rows = labelled(spark, sf).select("appid", F.col("target_hidden_gem").alias("y"), *[F.col(c).cast("double") for c in _PAIRED])
+    means = rows.agg(*[F.round(F.avg(c), 6).alias(c) for c in _PAIRED]).first()
+    low = {c: F.col(c) <= means[c] for c in _PAIRED}
+    nodes = []
+    for tree, (a, b) in enumerate(zip(_PAIRED, _PAIRED[1:] + _PAIRED[:1])):
+        cells = {(r["a"], r["b"]): (r["n"], r["p"]) for r in rows.groupBy(low[a].alias("a"), low[b].alias("b")).agg(
+            F.count("*").alias("n"), F.sum("y").alias("p")).collect()}  # four cells
+        count = lambda *keys: tuple(sum(cells.get(k, (0, 0))[i] for k in keys) for i in (0, 1))
+        impure = lambda n, p: 2 * p * (n - p) / n if n else 0.0
+        sides = [[(left, lower) for lower in (True, False)] for left in (True, False)]
+
+        def node(at, keys, column=None, left=None, right=None, parts=()):
+            n, p = count(*keys)
+            gain = (impure(n, p) - sum(impure(*count(*k)) for k in parts)) / n if column and n else None
+            split_ = (_PAIRED.index(column), means[column], left, right) if column else (None,) * 4
+            nodes.append((tree, 1.0, at, *split_, p / n if n else 0.0, gain, float(n)))
+
+        node(0, sides[0] + sides[1], a, 1, 4, sides)
+        for k, side in enumerate(sides):
+            node(1 + 3 * k, side, b, 2 + 3 * k, 3 + 3 * k, [[key] for key in side])
+            for j, key in enumerate(side):
+                node(2 + 3 * k + j, [key])
+    table_ = spark.createDataFrame(nodes, "tree int, weight double, node int, feature int, threshold double, left int, right int, "
+                                          "value double, gain double, rows double")
+    return rows, table_
+
+
+@query("scored_by_table", "M15 J4", "WITH " + _CELLS + """
+SELECT appid, round(avg(p / n), 6) + 0.0 AS gem_score FROM long JOIN cell USING (tree, a, b) GROUP BY appid""")
+def scored_by_table(spark, sf):
+    rows, trees = _paired_trees(spark, sf)
+    return model_tables.table_scores(rows, _PAIRED, trees, "forest").select("appid", r6("score").alias("gem_score"))
+
+
+@query("importances_of_table", "T8", "WITH " + _CELLS + """,
+node AS (SELECT tree, a, sum(n) AS n, sum(p) AS p, sum(2 * p * (n - p) / n) AS parts FROM cell GROUP BY tree, a),
+gains AS (
+  SELECT (tree + 1) % 3 AS f, tree, sum(2 * p * (n - p) / n - parts) AS g FROM node GROUP BY tree
+  UNION ALL SELECT tree, tree, 2 * sum(p) * (sum(n) - sum(p)) / sum(n) - sum(2 * p * (n - p) / n) FROM node GROUP BY tree),
+shares AS (SELECT f, g / sum(g) OVER (PARTITION BY tree) AS share FROM gains)
+SELECT list_extract(['price', 'required_age', 'recommendations'], CAST(f + 1 AS INT)) AS feature,
+  round(sum(share) / (SELECT sum(share) FROM shares), 6) + 0.0 AS importance FROM shares GROUP BY f""")
+def importances_of_table(spark, sf):
+    _, trees = _paired_trees(spark, sf)
+    return model_tables.table_importances(trees, _PAIRED).select("feature", r6("importance").alias("importance"))
+
+
 _RATED = LABELLED + """,
 judged AS (SELECT *, round(wilson_lb * 0.5 + positive_ratio * 0.5, 6) AS gem_score FROM labelled)"""
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -15,11 +18,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.functions import scalars as X
+from shelfscope.operators import model_tables
 from shelfscope.operators.metrics import binary_metrics
 from shelfscope.operators.skew import class_sizes
-from shelfscope.functions import scalars as X
 from shelfscope.operators.smote import smote
 from shelfscope.operators.split import Scaler, class_draw_rank
+from shelfscope.session import stored
 
 
 @dataclass(frozen=True)
@@ -143,6 +148,7 @@ def sweep(train: DataFrame, test: DataFrame, label: str, key: str, columns: Sequ
             facts.append((e.name, e.family, run_id, e.smote, seconds))
             rows = scores(models[e.name], test, columns).select(F.lit(e.name).alias("name"), label, "score")
             judged = rows if judged is None else judged.unionByName(rows)
+        judged = stored(judged, "judged")  # the metrics read the scores several times
         metrics = binary_metrics(judged, label, "score", ("name",))
     finally:
         train.unpersist()
@@ -155,31 +161,60 @@ def sweep(train: DataFrame, test: DataFrame, label: str, key: str, columns: Sequ
 
 # --- tuning ----------------------------------------------------------------
 
-def grid_search(df: DataFrame, label: str, key: str, columns: Sequence[str], depths: Sequence[int], trees: Sequence[int],
-                folds: int = 5, seed: int = 42) -> DataFrame:
-    """(max_depth, n_estimators, mean_test_score, mean_fit_time): recall of class 1 over
-    stratified folds, with timed fits."""
+def grid_votes(df: DataFrame, label: str, key: str, columns: Sequence[str], depths: Sequence[int], trees: Sequence[int],
+               folds: int = 5, seed: int = 42, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The judgement of every row by every point of the grid, each row by the fold that did not train on it.
+
+    One forest per fold is grown, of the most trees and the greatest depth. A point is this
+    forest with its first n trees cut at depth d, so a fold's rows walk it once for all points.
+    At most ``at_once`` folds are fitted at a time. Gives the stored votes (key, label, fold,
+    votes: one per depth and number of trees, in this order), and (fold, point, seconds): the
+    fold's fitting time in proportion to the nodes of the point's forest.
+    """
+    depths, trees = list(depths), list(trees)
     ranked = class_draw_rank(df.select(key, label, *columns), label, key, seed, "_rank")
-    data = assembled(ranked.withColumn("_fold", (F.col("_rank") % folds).cast("int")), columns, label).persist()
-    results = []
+    data = assembled(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), columns, label).persist()
+    spark = df.sparkSession
+
+    def one(fold: int) -> tuple[DataFrame, list[tuple]]:
+        started = time.monotonic()
+        model = RandomForestClassifier(numTrees=max(trees), maxDepth=max(depths), seed=seed + fold).fit(data.where(F.col("fold") != fold))
+        seconds = time.monotonic() - started
+        forest_ = model_tables.Trees(model_tables.model_table(model, spark).toArrow())  # as large as the fitted model on the driver
+        tree = np.repeat(np.arange(max(trees)), np.diff(forest_.roots, append=len(forest_.depth)))
+        shares = [float(((forest_.depth <= d) & (tree < n)).mean()) for d in depths for n in trees]
+        judged = model_tables.cut_votes(data.where(F.col("fold") == fold), columns, forest_, depths, trees, "votes")
+        return stored(judged.select(key, label, "fold", "votes"), "votes"), [(fold, k, seconds * s) for k, s in enumerate(shares)]
+
     try:
-        for depth in depths:
-            for count in trees:
-                forest_ = RandomForestClassifier(numTrees=count, maxDepth=depth, seed=seed)
-                recalls, seconds = [], []
-                for fold in range(folds):
-                    started = time.monotonic()
-                    model = forest_.fit(data.where(F.col("_fold") != fold))
-                    seconds.append(time.monotonic() - started)
-                    hits = model.transform(data.where(F.col("_fold") == fold)).agg(
-                        F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
-                        F.count_if(F.col("label") == 1).alias("p")).first()
-                    recalls.append(hits["tp"] / hits["p"] if hits["p"] else 0.0)
-                results.append((depth, count, sum(recalls) / folds, sum(seconds) / folds))
+        data.count()  # held before the fits share it
+        with ThreadPoolExecutor(max(1, min(at_once, folds))) as pool:
+            done = list(pool.map(one, range(folds)))
     finally:
         data.unpersist()
-    return df.sparkSession.createDataFrame(
-        results, "max_depth int, n_estimators int, mean_test_score double, mean_fit_time double")
+    votes = reduce(DataFrame.unionByName, (v for v, _ in done))
+    return votes, spark.createDataFrame([r for _, rows in done for r in rows], "fold int, point int, seconds double")
+
+
+def grid_scores(votes: DataFrame, seconds: DataFrame, label: str, depths: Sequence[int], trees: Sequence[int]) -> DataFrame:
+    """(max_depth, n_estimators, mean_test_score, mean_fit_time) of stored votes: recall of class 1, averaged over the folds.
+    A fold without class 1 has a recall of 0."""
+    positive, hit = F.col(label) == 1, F.col("vote")
+    per_fold = votes.select("fold", label, F.posexplode("votes").alias("point", "vote")).groupBy("fold", "point").agg(
+        F.count_if(positive & hit).alias("tp"), F.count_if(positive).alias("p"))
+    recall = F.coalesce(F.try_divide("tp", "p"), F.lit(0.0))
+    points = votes.sparkSession.createDataFrame(
+        [(k, d, n) for k, (d, n) in enumerate((d, n) for d in depths for n in trees)], "point int, max_depth int, n_estimators int")
+    return per_fold.join(F.broadcast(seconds), ["fold", "point"]).groupBy("point").agg(
+        F.avg(recall).alias("mean_test_score"), F.avg("seconds").alias("mean_fit_time")).join(
+        F.broadcast(points), "point").select("max_depth", "n_estimators", "mean_test_score", "mean_fit_time")
+
+
+def grid_search(df: DataFrame, label: str, key: str, columns: Sequence[str], depths: Sequence[int], trees: Sequence[int],
+                folds: int = 5, seed: int = 42) -> DataFrame:
+    """Recall of class 1 over stratified folds at every point of depths x trees, with fitting times; see ``grid_votes``."""
+    votes, seconds = grid_votes(df, label, key, columns, depths, trees, folds, seed)
+    return grid_scores(votes, seconds, label, depths, trees)
 
 
 def log_loss(scored: DataFrame, label: str, score: str = "score") -> float:
@@ -212,9 +247,8 @@ def perceptron_by_validation(train: DataFrame, valid: DataFrame, label: str, col
 
 
 def importances(model: Model, columns: Sequence[str], spark, n: int = 15) -> DataFrame:
-    """The n most important features; one value per column."""
-    rows = list(zip(columns, map(float, model.featureImportances.toArray())))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+    """The n most important features of a fitted tree model."""
+    return model_tables.table_importances(model_tables.model_table(model, spark), columns, n)
 
 
 # --- hypothetical products -------------------------------------------------
@@ -247,4 +281,7 @@ def product_features(specs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def score_products(specs: DataFrame, columns: Sequence[str], scaler: Scaler, model: Model) -> DataFrame:
-    return scores(model, scaler.transform(product_features(specs, columns)), columns, "probability")
+    """Planned products scored by a model with a table form."""
+    rows = scaler.transform(product_features(specs, columns))
+    table = model_tables.model_table(model, specs.sparkSession)
+    return model_tables.table_scores(rows, columns, table, model_tables.kind_of(model), "probability")

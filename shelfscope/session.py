@@ -54,11 +54,16 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, kind: str = "step") -> DataFrame:
     """The rows written as Parquet to a fresh folder in the shared folder, and read again.
 
     Cuts lineage, and unlike a checkpoint keeps statistics and column pruning.
     """
-    folder = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    folder = fresh_folder(df.sparkSession, kind)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

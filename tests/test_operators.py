@@ -357,10 +357,83 @@ def test_perceptron_by_validation_and_products(spark, separable):
     assert [row[c] for c in names] == [0.0, 1.0, 1.0, 0.0, 2.0, 1.0, 0.0, 1.0, 0.0]
 
 
-def test_grid_search(spark, separable):
+def test_grid_search(spark, separable, tmp_path):
+    """The points of one forest per fold; recall recomputed in SQL from the stored votes."""
+    import duckdb
+
     train, _, columns = separable
-    got = models.grid_search(train, "target_hit", "appid", columns, [2], [3, 5], folds=2).collect()
-    assert len(got) == 2 and all(0 <= r["mean_test_score"] <= 1 and r["mean_fit_time"] > 0 for r in got)
+    got = models.grid_search(train, "target_hit", "appid", columns, [1, 6], [3, 9], folds=2).collect()
+    assert {(r["max_depth"], r["n_estimators"]) for r in got} == {(1, 3), (1, 9), (6, 3), (6, 9)}
+    assert all(0 <= r["mean_test_score"] <= 1 and r["mean_fit_time"] > 0 for r in got)
+    votes, seconds = models.grid_votes(train, "target_hit", "appid", columns, [1, 6], [3, 9], folds=2)
+    assert votes.count() == train.count() and seconds.count() == 8
+    votes.coalesce(1).write.parquet(str(tmp_path / "votes"))
+    want = duckdb.sql(f"""
+        SELECT k, avg(r) FROM (SELECT fold, k, count(*) FILTER (target_hit = 1 AND votes[k + 1]) / count(*) FILTER (target_hit = 1) AS r
+          FROM read_parquet('{tmp_path}/votes/*.parquet'), range(4) t(k) GROUP BY fold, k) GROUP BY k ORDER BY k""").fetchall()
+    scores = {(r["max_depth"], r["n_estimators"]): r["mean_test_score"]
+              for r in models.grid_scores(votes, seconds, "target_hit", [1, 6], [3, 9]).collect()}
+    assert [scores[p] for p in ((1, 3), (1, 9), (6, 3), (6, 9))] == pytest.approx([v for _, v in want])
+    assert scores[6, 9] > 0.5
+
+
+def walk(nodes, row, depth=99):
+    """Value of a row in one tree, node by node."""
+    at = 0
+    while nodes[at]["feature"] is not None and depth:
+        at, depth = nodes[at]["left"] if row[nodes[at]["feature"]] <= nodes[at]["threshold"] else nodes[at]["right"], depth - 1
+    return nodes[at]["value"]
+
+
+def test_model_tables_score_like_their_models(spark, separable, tmp_path):
+    """Tables of fitted models against the models, against DuckDB on the same rows, and cut against a walk by hand."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from shelfscope.operators import model_tables as mt
+
+    train, test, columns = separable
+    effort = models.Effort(trees=7, rounds=4, forest_depth=5, boost_depth=3)
+    rows = test.select("appid", *columns).orderBy("appid").limit(200).cache()
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    for name in ("logistic_balanced", "forest_balanced", "boosted_weighted"):
+        model = models.fit(next(e for e in models.EXPERIMENTS if e.name == name), train, "target_hit", columns, effort, 1)
+        table, kind = mt.model_table(model, spark), mt.kind_of(model)
+        want = {r["appid"]: r["score"] for r in models.scores(model, rows, columns).collect()}
+        for nodes in (None, 40):  # in one block, and in several
+            got = {r["appid"]: r["score"] for r in mt.table_scores(rows, columns, table, kind, nodes=nodes).collect()}
+            assert got == pytest.approx(want, abs=1e-9), name
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        path, data = f"read_parquet('{tmp_path}/{name}/*.parquet')", f"read_parquet('{tmp_path}/rows/*.parquet')"
+        values = f"(SELECT *, [{', '.join(columns)}] AS x FROM {data})"
+        if kind == "linear":
+            sql = f"SELECT appid, 1 / (1 + exp(-sum(coefficient * CASE WHEN feature < 0 THEN 1 ELSE x[feature + 1] END))) FROM {values}, {path} GROUP BY appid"
+        else:
+            end = "sum(value) / count(*)" if kind == "forest" else "1 / (1 + exp(-2 * sum(weight * value)))"
+            sql = f"""WITH RECURSIVE m AS (FROM {path}), went(appid, x, tree, node) AS (
+                SELECT appid, x, tree, 0 FROM {values}, (SELECT DISTINCT tree FROM m)
+                UNION ALL SELECT appid, x, tree, CASE WHEN x[feature + 1] <= threshold THEN "left" ELSE "right" END
+                FROM went JOIN m USING (tree, node) WHERE feature IS NOT NULL)
+                SELECT appid, {end} FROM went JOIN m USING (tree, node) WHERE feature IS NULL GROUP BY appid"""
+        assert dict(duckdb.sql(sql).fetchall()) == pytest.approx(want, abs=1e-9), name
+        if kind == "forest":
+            importances = dict(zip(columns, model.featureImportances.toArray()))
+            assert {r["feature"]: r["importance"] for r in mt.table_importances(table, columns).collect()} == pytest.approx(importances)
+            trees = {}
+            for r in table.collect():
+                trees.setdefault(r["tree"], {})[r["node"]] = r
+            forest = mt.Trees(table.toArrow())
+            votes = mt.cut_votes(rows, columns, forest, [0, 2, 9], [1, 4, 7], "v").collect()
+            for r in votes:
+                x = [r[c] for c in columns]
+                shares = [sum(walk(trees[t], x, d) for t in range(n)) / n for d in (0, 2, 9) for n in (1, 4, 7)]
+                assert r["v"] == [s > 0.5 for s in shares]
+                assert shares[-1] == pytest.approx(want[r["appid"]])
+    gone = rows.withColumn(columns[0], F.lit(None).cast("double"))
+    assert mt.table_scores(gone, columns, table, kind).where("score is null or isnan(score)").count() == 0
+    assert mt.table_scores(rows.limit(0), columns, table, kind).count() == 0
+    with pytest.raises(ValueError):
+        mt.kind_of(object())
 
 
 def test_grid_search_query_covers_the_reference(spark, sf, monkeypatch):
