@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfscope.functions.scalars import let
-from shelfscope.functions.text import STOP_WORDS, counted, ngrams, tokens
-from shelfscope.session import stored
+from shelfscope.functions.text import STOP_WORDS, ngrams, tokens
+from shelfscope.session import spread, stored
+
+#: Counters of the sketch that finds the most used n-grams.
+BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,50 +45,127 @@ class TextIndex:
         return weigh(df.select(key, words.alias("_words")), self.vocabulary, self.ngram_max)
 
 
-def fit_vocabulary(words: DataFrame, ngram_max: int, max_terms: int) -> DataFrame:
+class Terms:
+    """Terms as arrays: finds the places of a text's n-grams among them, word by word along their prefixes."""
+
+    def __init__(self, terms: Sequence[str], ngram_max: int):
+        split = [t.split(" ") for t in terms]
+        self.words = pa.array(sorted({w for t in split for w in t}), pa.string())
+        self.n, self.size = len(split), max(1, len(self.words))
+        number = {w: k for k, w in enumerate(self.words.to_pylist())}
+        # of each length: the prefixes as (prefix before, word) keys in order, and the term that a prefix is, or -1
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        before = {(): 0}
+        for n in range(1, ngram_max + 1):
+            prefixes = {tuple(t[:n]) for t in split if len(t) >= n}
+            keys = sorted((before[p[:-1]] * self.size + number[p[-1]], p) for p in prefixes)
+            before = {p: k for k, (_, p) in enumerate(keys)}
+            at = np.full(len(keys), -1, np.int64)
+            for k, t in enumerate(split):
+                if len(t) == n:
+                    at[before[tuple(t)]] = k
+            self.levels.append((np.array([key for key, _ in keys], np.int64), at))
+
+    def counts(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and number of each term in each row of words, rows and places ascending."""
+        sizes = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        word = pc.index_in(words.flatten(), value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        row, found = np.repeat(np.arange(len(sizes)), sizes), []
+        start, prefix = np.flatnonzero(word >= 0), None
+        for n, (keys, at) in enumerate(self.levels, 1):
+            if prefix is not None:  # those that go on with a known word of the same row
+                ends = start + n - 1
+                on = ends < len(word)
+                on[on] = (row[start[on]] == row[ends[on]]) & (word[ends[on]] >= 0)
+                start, prefix = start[on], prefix[on]
+            key = (0 if prefix is None else prefix) * self.size + word[start + n - 1]
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+            start, prefix = start[known], place[known]
+            term = at[prefix]
+            found.append(row[start[term >= 0]] * self.n + term[term >= 0])
+        code, tf = np.unique(np.concatenate(found), return_counts=True)
+        return code // max(self.n, 1), code % max(self.n, 1), tf
+
+
+def _kth(counts: DataFrame, k: int) -> int:
+    """The k-th highest count, or 0 if there are fewer."""
+    return counts.orderBy(F.desc("n")).limit(k).agg(F.when(F.count("*") == k, F.min("n")).otherwise(0)).first()[0]
+
+
+def most_used(words: DataFrame, ngram_max: int, max_terms: int, buckets: int = BUCKETS) -> DataFrame:
+    """(term, n): the most used n-grams with their exact number of uses, the smaller term first on ties.
+
+    A sketch counts n-grams by hash into ``buckets`` counters, which add up across tasks; a
+    bucket's count bounds the count of each n-gram in it from above. Only n-grams of buckets
+    with at least ``bar`` uses are then counted exactly. All others have fewer uses than that,
+    so the result is exact once the last one in it has at least ``bar``; if not, its count is
+    the next bar, and that one is low enough. So no shuffle holds the rare n-grams: the first
+    has at most ``buckets`` rows a task, the second the n-grams of heavy buckets.
+    """
+    grams = words.select(F.explode(ngrams(F.col("_words"), ngram_max)).alias("term")).withColumn(
+        "_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    sketch = stored(grams.groupBy("_bucket").agg(F.count("*").alias("n")), "sketch")
+    bar = _kth(sketch, 2 * max_terms)
+    while True:
+        heavy = sketch.where(F.col("n") >= bar).select("_bucket")  # at most `buckets` numbers
+        counts = stored(grams.join(F.broadcast(heavy), "_bucket", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
+        last = _kth(counts, max_terms)
+        if last >= bar or bar == 0:
+            return counts.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
+        bar = last
+
+
+def fit_vocabulary(words: DataFrame, ngram_max: int, max_terms: int, buckets: int = BUCKETS) -> DataFrame:
     """The most used terms over the corpus, smaller term first on ties, with smoothed idf.
 
-    ``words`` holds each text's ``_words``. Terms are counted inside the row, so one row per
-    (text, term) reaches the partial count.
+    ``words`` holds each text's ``_words``; stored, since it is read several times. The
+    documents of a term are counted for the chosen terms only, in place.
     """
+    spark = words.sparkSession
     documents = words.count()
-    idf = F.log(F.lit(1.0 + documents) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    top = (
-        words.select(F.inline(let(ngrams(F.col("_words"), ngram_max), counted)))
-        .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms).withColumn("idf", idf).collect()  # at most max_terms rows
-    )
-    return words.sparkSession.createDataFrame(
-        [(at, *r) for at, r in enumerate(top)], "at int, term string, df long, cf long, idf double")
+    top = [(r["term"], r["n"]) for r in most_used(words, ngram_max, max_terms, buckets).collect()]  # at most max_terms rows
+    shared = spark.sparkContext.broadcast(Terms([t for t, _ in top], ngram_max))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        df = np.zeros(terms.n, np.int64)
+        for batch in batches:
+            df += np.bincount(terms.counts(batch["_words"])[1], minlength=terms.n)
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["at", "df"])
+
+    df = dict(words.select("_words").mapInArrow(count, "at int, df long").groupBy("at").agg(F.sum("df")).collect())
+    rows = [(at, t, df[at], cf, math.log((1.0 + documents) / (1.0 + df[at])) + 1.0) for at, (t, cf) in enumerate(top)]
+    return spark.createDataFrame(rows, "at int, term string, df long, cf long, idf double")
 
 
 def weigh(words: DataFrame, vocabulary: DataFrame, ngram_max: int) -> DataFrame:
     """``_words`` replaced by ``indices`` and ``weights``: tf x idf scaled to unit length, terms
     outside the vocabulary left out.
 
-    All of it happens inside the row, without a shuffle: the vocabulary stands in the plan
-    as an array of slots, and a term looks into the slot of its hash.
+    Rows stay where they are: the vocabulary, which its parameter bounds, is broadcast, n-grams
+    are looked up first, and only those found are counted.
     """
-    size = vocabulary.count()
-    slots = 1 << size.bit_length()
-    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
-    table: list[list] = [[] for _ in range(slots)]
-    for r in vocabulary.select("at", "term", "idf", slot(F.col("term")).alias("slot")).collect():  # at most max_terms rows
-        table[r["slot"]].append({"term": r["term"], "at": r["at"], "idf": r["idf"]})
-    known = F.from_json(F.lit(json.dumps(table)), "array<array<struct<term:string,at:int,idf:double>>>")
-
-    def weight(c):
-        entry = F.get(F.filter(F.get(known, slot(c["term"])), lambda e: e["term"] == c["term"]), F.lit(0))
-        return F.struct(entry["at"].alias("at"), (c["tf"] * entry["idf"]).alias("w"))
-
-    def scaled(h):
-        length = F.sqrt(F.aggregate(h, F.lit(0.0), lambda n, s: n + s["w"] * s["w"]))
-        return let(length, lambda n: F.struct(
-            F.transform(h, lambda s: s["at"]).alias("indices"), F.transform(h, lambda s: s["w"] / n).alias("weights")))
-
-    terms = let(ngrams(F.col("_words"), ngram_max), counted)
-    found = F.array_sort(F.filter(F.transform(terms, weight), lambda s: s["at"].isNotNull()))
-    return words.select(*[c for c in words.columns if c != "_words"], F.inline(F.transform(F.array(found), scaled)))
+    known = vocabulary.select("at", "term", "idf").orderBy("at").collect()  # at most max_terms rows
+    shared = words.sparkSession.sparkContext.broadcast(
+        (Terms([r["term"] for r in known], ngram_max), np.array([r["idf"] for r in known], float)))
+    others = [f for f in words.schema if f.name != "_words"]
+    names = [f.name for f in others]
+
+    def weigh_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in batches:
+            row, at, tf = terms.counts(batch["_words"])
+            weight = tf * idf[at]
+            length = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            stops = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(stops), pa.array(x)) for x in (at.astype(np.int32), weight / length[row])]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *lists], [*names, "indices", "weights"])
+
+    schema = T.StructType([*others, T.StructField("indices", T.ArrayType(T.IntegerType())),
+                           T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return words.select(*names, "_words").mapInArrow(weigh_batch, schema)
 
 
 def fit_text_index(docs: DataFrame, key: str, text: str, max_terms: int, ngram_max: int = 2,
@@ -94,10 +177,12 @@ def fit_text_index(docs: DataFrame, key: str, text: str, max_terms: int, ngram_m
     and for the weights; postings and queries only read the fitted vocabulary.
     """
     row = F.col("row_id") if "row_id" in docs.columns else F.col(key)
-    words = docs.select(F.col(key).alias("doc_id"), row.alias("row_id"), tokens(text, stop_words).alias("_words"))
+    texts = spread(docs.select(F.col(key).alias("doc_id"), row.alias("row_id"), F.col(text).alias("_text")))
+    words = texts.select("doc_id", "row_id", tokens("_text", stop_words).alias("_words"))
     if fit_on is None:
-        words = stored(words, "words")
-    source = words if fit_on is None else fit_on.select(tokens(text, stop_words).alias("_words"))
+        source = words = stored(words, "words")
+    else:
+        source = stored(spread(fit_on.select(F.col(text).alias("_text"))).select(tokens("_text", stop_words).alias("_words")), "words")
     vocabulary = fit_vocabulary(source.select("_words"), ngram_max, max_terms)
     return TextIndex(vocabulary, weigh(words, vocabulary, ngram_max), ngram_max, tuple(stop_words))
 

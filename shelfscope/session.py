@@ -67,3 +67,10 @@ def stored(df: DataFrame, kind: str = "step") -> DataFrame:
     folder = fresh_folder(df.sparkSession, kind)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, if they come in fewer splits than there are cores, such as a small
+    table or a file that cannot be split; otherwise as they are. For scans and stored tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

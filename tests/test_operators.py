@@ -377,6 +377,42 @@ def test_grid_search(spark, separable, tmp_path):
     assert scores[6, 9] > 0.5
 
 
+def test_most_used_terms_through_the_sketch(spark):
+    """The sketch gives the terms of a full count, also where its buckets are few and shared; n-grams of three words."""
+    import random
+    from collections import Counter
+
+    from shelfscope.functions.text import STOP_WORDS
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(6000)]
+    texts = [" ".join(words[k:k + 60]) for k in range(0, 6000, 60)] + ["", None, "w1", "w1 w1 w1 w1", "the of and"]
+    lists = [[w for w in (t or "").split() if w not in STOP_WORDS] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    uses, held = Counter(), Counter()
+    for ws in lists:
+        grams = [" ".join(ws[k:k + n]) for n in (1, 2, 3) for k in range(len(ws) - n + 1)]
+        uses.update(grams)
+        held.update(set(grams))
+    for terms, buckets in ((40, 1 << 20), (40, 64), (10**6, 1 << 20)):
+        got = tfidf.fit_vocabulary(docs.select(F.split(F.coalesce("text", F.lit("")), " ").alias("_words")).select(
+            F.filter("_words", lambda w: (w != "") & ~w.isin(*STOP_WORDS)).alias("_words")), 3, terms, buckets)
+        want = sorted(uses.items(), key=lambda x: (-x[1], x[0]))[:terms]
+        assert [(r["term"], r["cf"]) for r in got.orderBy("at").collect()] == want
+        assert all(r["df"] == held[r["term"]] for r in got.collect())
+    index = tfidf.fit_text_index(docs, "doc_id", "text", 40, 3)
+    idf = {r["term"]: r["idf"] for r in index.vocabulary.collect()}
+    for r in index.documents.collect():
+        ws = lists[r["doc_id"]]
+        tf = Counter(g for n in (1, 2, 3) for g in (" ".join(ws[k:k + n]) for k in range(len(ws) - n + 1)) if g in idf)
+        length = sum((n * idf[g]) ** 2 for g, n in tf.items()) ** 0.5
+        names = {k["at"]: k["term"] for k in index.vocabulary.collect()} if r["doc_id"] == 0 else names
+        assert {names[a]: w for a, w in zip(r["indices"], r["weights"])} == pytest.approx({g: n * idf[g] / length for g, n in tf.items()})
+    none = tfidf.fit_text_index(docs.limit(0), "doc_id", "text", 40)
+    assert none.vocabulary.count() == none.documents.count() == 0
+
+
 def walk(nodes, row, depth=99):
     """Value of a row in one tree, node by node."""
     at = 0

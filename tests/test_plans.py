@@ -50,11 +50,12 @@ def test_relevance_shuffles_counts_only(spark, sf):
     assert text.count("Exchange hashpartitioning") == 1 and "partial_count" in text and "doc_id" not in text
 
 
-# the searches and the encoder, where Python workers are meant to run
+# the searches, their term weights, the encoder and scoring by trees, where Python workers are meant to run
 PYTHON_QUERIES = {
     "keyword_search", "keyword_search_copies", "reranked_search", "facets_first_search", "plain_catalog_search", "precision_recall",
     "vector_search", "vector_search_blocked", "nearest_neighbours", "nearest_neighbours_by_cells", "oversampled",
-    "encoded_texts", "evaluation_run", "mean_precision", "precision_table"}
+    "encoded_texts", "evaluation_run", "mean_precision", "precision_table", "tfidf_postings", "tfidf_train_fitted",
+    "scored_by_table"}
 
 
 @pytest.mark.parametrize("name", [n for n, q in registry().items() if q.sql is not None and n not in PYTHON_QUERIES])
