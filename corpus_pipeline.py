@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.llm import queries
-from shelfscope.llm.common import held_out, stored
+from shelfscope.llm.common import held_out, ranked, stored
 from shelfscope.llm.decontaminate import decontaminated
 from shelfscope.llm.language import fit_and_identify
 from shelfscope.llm.mixing import mixed
@@ -27,11 +27,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).select(*docs.columns)
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """The documents with an id of their own, `_row`: the doc_id where one row has it. Rows that share a doc_id, or have none,
+    are numbered above all ids if their texts differ; of those that share the text too, the one with the least hash stays."""
+    docs = docs.withColumns({"_text": F.xxhash64("text"), "_all": F.xxhash64(*docs.columns)})
+    shared = stored(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = docs.select("doc_id", "_text", "_all").join(shared, same, "left_semi").groupBy("doc_id", "_text").agg(F.min("_all").alias("_all"))
+    most, least = docs.agg(F.max("doc_id"), F.min("doc_id")).first()
+    above = most is None or most < 1 << 62
+    number = F.lit(most or 0) + F.col("_n") if above else F.lit(least) - F.col("_n")
+    numbered = stored(ranked(texts, [], ["doc_id", "_text"], "_n").select(
+        F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), F.col("_all").alias("_least"), number.alias("_row")), "own-ids")
+    chosen = docs.join(numbered, same & (F.col("_text") == F.col("_of")) & (F.col("_all") == F.col("_least"))).dropDuplicates(["_row"])
+    alone = docs.join(shared, same, "left_anti").withColumn("_row", F.col("doc_id").cast("long"))
+    return alone.drop("_text", "_all").unionByName(chosen.drop("_text", "_all", "_id", "_of", "_least"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows that share an id, one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group stays, the one with the smallest id; rows that share an id are documents of their own."""
+    own = _own_ids(docs)
+    kept = near_duplicates(own, id_column="_row").where("kept").select(F.col("doc_id").alias("_row"))
+    return own.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
