@@ -1,8 +1,8 @@
 """Pseudonyms for personal data: validated values are permuted within their format under a key.
 
 Kinds: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs (mod 97), national
-numbers of the form ddd-dd-dddd, phone numbers, calendar dates, and secrets (access keys,
-long hexadecimal tokens, values after ``password=`` or ``password:``). A value is replaced by another of the
+numbers of the form ddd-dd-dddd, phone numbers, calendar dates, and secrets (access keys and
+tokens, long hexadecimal tokens, values after ``password=`` or ``password:`` in any case). A value is replaced by another of the
 same format: same length, classes and separators, with check digits recomputed and dates
 that exist. The permutation is a Feistel network over the numbers of the format's domain,
 walked until it falls inside; it is one-to-one, so equal values get equal pseudonyms in
@@ -10,7 +10,9 @@ all documents and different ones stay different. Digits alone decide, not separa
 As in any permutation a value may be its own pseudonym, by a chance of one in its domain.
 
 Texts without such values come back unchanged. Null text: null, no replacement. Repeated
-rows: the same result. Very long texts are read whole, in linear time. Empty table: no rows.
+rows: the same result. Very long texts and values are read whole, in linear time. An extra
+column `replaced` gives way to the result's; others are kept. Ties do not arise: of values
+that overlap, the earlier kind wins. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import datetime as dt
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +52,37 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+#: Digits and letters up to which a value is permuted as one number.
+TOGETHER = 128
+
+
+def _long_text(value: str, key: bytes, tweak: str, member: dict[str, str], shape: str) -> str:
+    """A Feistel network over the two halves of a long value: each half in turn is shifted, character by character
+    within its class, by a keyed stream that the other half gives. One-to-one, in linear time."""
+    at = np.array([k for k, c in enumerate(value) if c in member])
+    size = np.array([len(member[value[k]]) for k in at], np.int64)
+    digit = np.array([member[value[k]].index(value[k]) for k in at], np.int64)
+    half, about = len(at) // 2, blake2b((tweak + shape).encode(), key=key).digest()
+    for r in range(ROUNDS):
+        mine, other = (slice(0, half), slice(half, None)) if r % 2 else (slice(half, None), slice(0, half))
+        stream = shake_256(about + bytes([r]) + digit[other].astype(np.uint8).tobytes()).digest(4 * len(digit[mine]))
+        digit[mine] = (digit[mine] + np.frombuffer(stream, "<u4")) % size[mine]
+    out = list(value)
+    for k, d in zip(at.tolist(), digit.tolist(), strict=True):
+        out[k] = member[value[k]][d]
+    return "".join(out)
+
+
 def permuted_text(value: str, key: bytes, tweak: str, classes: tuple[str, ...] = _CLASSES) -> str:
     """Every digit and letter of the value permuted together, each within its class; other characters stay."""
     member = {c: cls for cls in classes for c in cls}
+    shape = "".join({10: "9", 26: "a", 16: "f"}[len(member[c])] if c in member else c for c in value)
+    if sum(c in member for c in value) > TOGETHER:
+        return _long_text(value, key, tweak, member, shape)
     x, size = 0, 1
     for c in value:
         if c in member:
             x, size = x * len(member[c]) + member[c].index(c), size * len(member[c])
-    shape = "".join({10: "9", 26: "a", 16: "f"}[len(member[c])] if c in member else c for c in value)
     y = permuted(x, size, key, tweak + shape)
     out = []
     for c in reversed(value):
@@ -183,12 +209,17 @@ def mail(value: str, key: bytes) -> str | None:
     return f"{permuted_text(f'{local}@{name}'.lower(), key, 'mail' + top.lower())}.{top}"
 
 
+# The calling codes of two digits; 1 and 7 stand alone, all others have three.
+_CALLING = frozenset("""20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66
+    81 82 84 86 90 91 92 93 94 95 98""".split())
+
+
 def phone(value: str, key: bytes) -> str | None:
+    """An international number keeps its calling code, however its digits are grouped."""
     d = _digits(value)
     if not 7 <= len(d) <= 15:
         return None
-    country = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
-    kept = country[1] if country else ""
+    kept = "" if value[0] != "+" else d[:1] if d[0] in "17" else d[:2] if d[:2] in _CALLING else d[:3]
     return _into(value, kept + permuted_text(d[len(kept) :], key, "phone"))
 
 
@@ -235,13 +266,16 @@ def secret(value: str, key: bytes) -> str | None:
     return head + permuted_text(value[len(head) :], key, "secret")
 
 
-_NAMED = ("password", "passwd", "token", "secret", "api_key")
+_NAMED = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey")
+#: Prefixes of access tokens, which stay.
+_TOKENS = ("ghp_", "gho_", "sk_live_", "sk_test_", "xoxb-")
 
 #: Kind, what (or one of what) the text must hold for it, pattern of the value (group 1), and its pseudonym. Earlier kinds come first.
 KINDS: list[tuple[str, str | tuple[str, ...], str, Callable[[str, bytes], str | None]]] = [
     ("email", "@", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", mail),
     ("secret", "AKIA", r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
-    ("secret", _NAMED, rf"(?:{'|'.join(_NAMED)})\s*[=:]\s*[\"']?([A-Za-z0-9]{{8,}})(?![A-Za-z0-9])", secret),
+    ("secret", _TOKENS, rf"(?<![A-Za-z0-9])(?:{'|'.join(_TOKENS)})([A-Za-z0-9]{{16,}})(?![A-Za-z0-9])", secret),
+    ("secret", _NAMED, rf"(?i:{'|'.join(_NAMED)})[\"']?\s*[=:]\s*[\"']?(?=[A-Za-z0-9_.!-]{{8}})([A-Za-z0-9](?:[A-Za-z0-9_.!-]*[A-Za-z0-9!])?)(?![A-Za-z0-9])", secret),
     ("secret", "", r"(?<![A-Za-z0-9])((?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,})(?![A-Za-z0-9])", secret),
     ("iban", "", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     ("ip", ".", r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?![\d]|\.\d)", address),
@@ -253,7 +287,7 @@ KINDS: list[tuple[str, str | tuple[str, ...], str, Callable[[str, bytes], str |
 _COMPILED = [(kind, hint, re.compile(pattern, re.ASCII), change) for kind, hint, pattern, change in KINDS]
 #: Kinds whose pattern may take more than the value: where in it the values are.
 _WITHIN = {"card": cards, "iban": ibans}
-_MARK = re.compile(rf"[0-9@]|AKIA|{'|'.join(_NAMED)}")
+_MARK = re.compile(rf"[0-9@]|AKIA|{'|'.join(_TOKENS)}|(?i:{'|'.join(_NAMED)})")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
@@ -261,8 +295,9 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     if not _MARK.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
+    folded = text.lower()
     for kind, hint, pattern, change in _COMPILED:
-        if not any(h in text for h in ((hint,) if isinstance(hint, str) else hint)):
+        if not any(h in (folded if hint is _NAMED else text) for h in ((hint,) if isinstance(hint, str) else hint)):
             continue
         new_ones = []
         at = 0
@@ -303,6 +338,7 @@ def pseudonyms(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFr
             yield pa.concat_arrays(parts) if parts else pa.array([], shape)
 
     udf = F.arrow_udf(change, "text string, replaced array<struct<kind: string, start: long, end: long>>")
-    kept = [c for c in docs.columns if c != text_column]
-    found = docs.select(*kept, udf(F.col(text_column)).alias("_found"))
-    return found.select(*kept, F.col("_found.text").alias(text_column), F.col("_found.replaced").alias("replaced"))
+    kept = [c for c in docs.columns if c not in (text_column, "replaced")]
+    one = "_" + max([*kept, "found"], key=len)  # longer than any other name
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], udf(F.col(text_column)).alias(one))
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{one}`.text").alias(text_column), F.col(f"`{one}`.replaced").alias("replaced"))
