@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from shelfscope.llm.common import Scratch, slices
 
 RUN = re.compile(r"[^\W\d_]+")
+#: Names whose products with all others are held at a time.
+START_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -131,33 +133,41 @@ def meeting_pairs(terms: list[np.ndarray], labels: np.ndarray, chance: np.ndarra
 def _start(model: dict, pairs: list[tuple[int, int, float]], terms: list[np.ndarray], p: FactorParameters) -> None:
     """Vectors whose products reach the log-odds of the pairs, and weights that take back what these
     products give the terms on the average."""
-    pairs = pairs[:400]
     names, at = np.unique([x[:2] for x in pairs], return_inverse=True)
     a, b = at.reshape(-1, 2).T
-    goal = np.zeros((len(names), len(names)))
-    goal[a, b] = goal[b, a] = [x[2] for x in pairs]
+    goal = np.array([x[2] for x in pairs])
+    # Both directions of each pair, in the order of the first name.
+    rows, cols, goals = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((goal, goal))
+    order = np.argsort(rows, kind="stable")
+    rows, cols, goals = rows[order], cols[order], goals[order]
+    n, own = len(names), np.sign(goals)
     # Products of terms that are no pair only have to stay below zero: more pairs than factors have room so.
-    paired, own = goal != 0, np.sign(goal)
-    vector = np.random.default_rng(p.seed).normal(0, 1, (len(names), p.factors))
-    speed, weigh = np.full_like(vector, 1e-6), np.where(paired, min(30.0, max(1.0, (~paired).sum() / paired.sum())), 1.0)
-    np.fill_diagonal(weigh, 0)
-    for k in range(1000):
-        product = vector @ vector.T
-        miss = np.where(paired, own * np.minimum(own * (product - goal), 0), np.maximum(product, 0))
-        g = 2 * (weigh * miss) @ vector
+    weigh = min(30.0, max(1.0, (n * n - len(rows)) / len(rows)))
+    vector = np.random.default_rng(p.seed).normal(0, 1, (n, p.factors))
+    speed, steps = np.full_like(vector, 1e-6), max(100, min(1000, 1000 * 800 * 800 // (n * n)))
+    for k in range(steps):
+        g = np.empty_like(vector)
+        for i in range(0, n, START_ROWS):  # some names against all at a time
+            part = vector[i : i + START_ROWS] @ vector.T
+            x, y = np.searchsorted(rows, (i, i + START_ROWS))
+            product = part[rows[x:y] - i, cols[x:y]]
+            np.maximum(part, 0, out=part)
+            part[np.arange(len(part)), np.arange(i, i + len(part))] = 0
+            part[rows[x:y] - i, cols[x:y]] = weigh * own[x:y] * np.minimum(own[x:y] * (product - goals[x:y]), 0)
+            g[i : i + START_ROWS] = 2 * part @ vector
         speed = 0.99 * speed + 0.01 * g * g
-        vector -= 0.05 * (1 - k / 1000) * g / np.sqrt(speed + 1e-9)
+        vector -= 0.05 * (1 - k / steps) * g / np.sqrt(speed + 1e-9)
     place = np.full(p.buckets, -1)
-    place[names] = np.arange(len(names))
-    met = np.zeros((len(names), len(names)))
+    place[names] = np.arange(n)
+    given, rows_of = np.zeros(n), np.zeros(n)
     for t in terms:
         here = place[t]
         here = here[here >= 0]
-        met[np.ix_(here, here)] += 1
-    each = vector @ vector.T * met / np.maximum(met.diagonal(), 1)[:, None]
-    np.fill_diagonal(each, 0)
+        mine = vector[here]
+        given[here] += mine @ mine.sum(axis=0) - (mine * mine).sum(axis=1)
+        rows_of[here] += 1
     model["vector"][names] = vector
-    model["weight"][names] -= 0.5 * each.sum(axis=1)
+    model["weight"][names] -= 0.5 * given / np.maximum(rows_of, 1)
 
 
 def _descend(model: dict, terms: list[np.ndarray], labels: np.ndarray, random: np.random.Generator, p: FactorParameters) -> None:

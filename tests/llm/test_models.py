@@ -259,11 +259,48 @@ def test_pseudonyms_beside_other_groups():
     assert len(pii.pseudonymise(long, b"k")[0]) == len(long)
 
 
+def test_long_values_are_permuted_in_linear_time(documents):
+    import time
+
+    from shelfscope.llm import pii
+
+    run = "0123456789abcdef" * 600_000  # 9.6 MB of hexadecimal
+    started = time.monotonic()
+    new, places = pii.pseudonymise(f"dump {run} end", b"k")
+    assert time.monotonic() - started < 20 and [p["kind"] for p in places] == ["secret"] and len(new) == len(run) + 9
+    got = new[5:-4]
+    assert set(got) <= set("0123456789abcdef") and sum(x == y for x, y in zip(got, run)) < len(run) / 8
+    # one character changes all of the pseudonym; equal values get equal ones; the classes of a mail name stay
+    other = pii.permuted_text("1" + run[1:2000], b"k", "hex", ("0123456789abcdef",))
+    assert sum(x == y for x, y in zip(other, pii.permuted_text(run[:2000], b"k", "hex", ("0123456789abcdef",)))) < 300
+    name = "ab1.C-" * 60
+    changed = pii.permuted_text(name, b"k", "t")
+    assert changed != name and all(x == y if not x.isalnum() else (x.isdigit(), x.isupper()) == (y.isdigit(), y.isupper()) for x, y in zip(name, changed))
+    # one-to-one: all values of a small domain of long values, most of whose places are fixed by their class
+    values = {pii._long_text(f"{k:04d}", b"k", "t", {c: "0123456789" for c in "0123456789"}, "9999") for k in range(10_000)}
+    assert len(values) == 10_000 == sum(len(v) == 4 and v.isdigit() for v in values)
+    rows = documents([(1, "mail a@b.org", "en", "a")]).selectExpr("*", "'x' AS replaced", "1 AS _found")
+    found = pii.pseudonyms(rows, b"k").first()
+    assert found["_found"] == 1 and found.replaced[0].kind == "email"
+
+
+def test_phones_are_linked_by_their_digits():
+    from shelfscope.llm import pii
+
+    forms = ("+44 2079460958", "+442079460958", "+44 20 7946 0958", "+44 (20) 7946-0958")
+    assert len({pii._digits(pii.phone(f, b"k")) for f in forms}) == 1 and pii.phone(forms[1], b"k").startswith("+44")
+    assert [pii.phone(f, b"k")[: len(c) + 1] for f, c in (("+1 988 555 2485", "1"), ("+352 26 12 34 56", "352"))] == ["+1", "+352"]
+
+
 def test_pseudonyms_of_named_secrets():
     from shelfscope.llm import pii
 
+    for text, value in (("Password: hunter-2_ab.cd!", "hunter-2_ab.cd!"), ("API_KEY=ABCD-1234.x", "ABCD-1234.x"), ("see ghp_" + "a1B2" * 9, "a1B2" * 9),
+                        ('"apiKey": "q1w2e3r4t5."', "q1w2e3r4t5")):
+        got, places = pii.pseudonymise(text, b"k")
+        assert [p["kind"] for p in places] == ["secret"] and got == text.replace(value, pii.secret(value, b"k")), text
     new = pii.secret("hunter2abcd", b"k")
-    for name in ("password", "passwd", "token", "secret", "api_key"):
+    for name in ("password", "passwd", "token", "secret", "api_key", "PASSWORD", "Token"):
         for sign in ("=", " = ", ":", ": ", ': "'):
             for rest in ("", " and 1=1"):
                 got, places = pii.pseudonymise(f"{name}{sign}hunter2abcd{rest}", b"k")
@@ -276,7 +313,7 @@ def test_queries_equal_their_sql(spark):
 
     from shelfscope.llm.queries import ORACLES, QUERIES
 
-    assert [n for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(QUERIES) == 10
+    assert [n for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(QUERIES) == 13
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
@@ -287,6 +324,26 @@ def test_queries_equal_their_sql(spark):
         assert Counter(map(tuple, df.select(cols).collect())) == Counter(want) and want, name
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark, documents):
+    import corpus_pipeline as cp
+
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, words(1), "en", "a"), (1, words(2), "en", "a"), (2, words(3), "en", "a"), (2, words(3), "de", "b"), (2, words(3), "de", "b"),
+            (3, words(1) + " more", "en", "a"), (None, words(4), "en", "a"), (None, words(4), "en", "a"), (None, words(5), "en", "a"),
+            (None, words(3), "en", "a"), (4, None, "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), ((1 << 63) - 1, words(6), "en", "a")]
+    seen = set()
+    for big in (False, True):
+        some = rows if big else rows[:-1]
+        for parts in (1, 5):
+            got = cp.near_dedup(spark, documents(some).repartition(parts), SF)
+            seen.add((big, tuple(sorted(map(repr, got.collect())))))
+            texts = Counter(r.text for r in got.collect())
+            assert set(texts.values()) == {1}
+            assert {words(2), words(4), words(5), None, ""} <= set(texts) and words(3) in texts and (words(1) in texts) + (words(1) + " more" in texts) == 1
+    assert len(seen) == 2  # repeated runs agree
+    assert cp.near_dedup(spark, documents([]), SF).count() == 0
+
+
 def test_pipeline_stages(spark, documents, odd_rows):
     import corpus_pipeline as cp
 
@@ -299,9 +356,27 @@ def test_pipeline_stages(spark, documents, odd_rows):
             gone = {r.doc_id for r in before.select("doc_id").subtract(docs.select("doc_id")).collect()}
             assert {1, 2, 3, 8} - gone <= {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
         if name == "near_dedup":
-            ids = [r.doc_id for r in docs.collect()]
-            assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+            # rows that share an id have different texts and are no near copies
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and sum(r.doc_id in (4, 9) for r in docs.collect()) == 4
         before = docs
     index = cp.STAGES[-1][1](spark, before, SF)
     assert index.count() == before.count() and [n for n, _ in cp.STAGES] == ["language", "near_dedup", "decontaminate", "mix", "token_files"]
     assert cp.run(spark, SF).count() > 100
+
+
+def test_all_meeting_pairs_get_a_start():
+    """Many pairs of either label: none is left without vectors, and products lean to their label."""
+    import numpy as np
+
+    from shelfscope.llm.toxicity_fm import FactorParameters, _start
+
+    p = FactorParameters(buckets=1 << 14, factors=32)
+    pairs = [(k, 5000 + k, -3.0) for k in range(500)] + [(1000 + k, 6000 + k, 3.0) for k in range(500)]
+    terms = [np.array([a, b]) for a, b, _ in pairs]
+    model = {"bias": 0.0, "weight": np.zeros(p.buckets), "vector": np.zeros((p.buckets, p.factors))}
+    _start(model, pairs, terms, p)
+    v = model["vector"]
+    products = np.array([v[a] @ v[b] for a, b, _ in pairs])
+    assert np.all(np.abs(v[[a for a, _, _ in pairs]]).sum(axis=1) > 0)
+    assert np.mean(products[:500] < -0.5) > 0.9 and np.mean(products[500:] > 0.5) > 0.9
