@@ -194,6 +194,14 @@ def only_marked(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     return near.select(*docs.columns).join(ids, "doc_id", "left_semi")
 
 
+def without(docs: DataFrame, ids: DataFrame, bits: int = NearDedup.filter_bits) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids. Rows that the bitmap does not mark stay where they are; the join decides on the others."""
+    seen = docs.select("*", _word(bits)).join(F.broadcast(_marked(ids, bits)), "_word", "left")
+    marked = F.coalesce(F.expr(f"_bits & {_BIT}"), F.lit(0)) != 0
+    doubtful = seen.where(marked).select(*docs.columns).join(ids, "doc_id", "left_anti")
+    return seen.where(~marked).select(*docs.columns).union(doubtful.select(*docs.columns))
+
+
 def _across(members: DataFrame, p: NearDedup) -> DataFrame:
     """Pairs a < b of one bucket and different components that look alike by their fine planes.
 
