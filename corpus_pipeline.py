@@ -13,7 +13,7 @@ from shelfscope.llm.common import held_out, ranked, stored
 from shelfscope.llm.decontaminate import decontaminated
 from shelfscope.llm.language import fit_and_identify
 from shelfscope.llm.mixing import mixed
-from shelfscope.llm.near_dedup import near_duplicates
+from shelfscope.llm.near_dedup import near_duplicates, without
 from shelfscope.llm.token_planes import token_table
 
 #: A text whose main language has a smaller share of its letters is rejected.
@@ -46,9 +46,9 @@ def _own_ids(docs: DataFrame) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; rows that share an id are documents of their own."""
-    own = _own_ids(docs)
-    kept = near_duplicates(own, id_column="_row").where("kept").select(F.col("doc_id").alias("_row"))
-    return own.join(kept, "_row", "left_semi").select(*docs.columns)
+    own = _own_ids(docs).withColumnsRenamed({"doc_id": "_doc_id", "_row": "doc_id"})
+    copies = near_duplicates(own).where("not kept").select("doc_id")
+    return without(own, copies).drop("doc_id").withColumnRenamed("_doc_id", "doc_id").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
