@@ -244,6 +244,24 @@ def cleaning_funnel(spark, sf):
     return clean.cleaning_funnel(raw_games(spark, sf), CFG, ["copy"]).withColumn("kept_share", r6("kept_share"))
 
 
+@query("tied_copies", "A1 P14", "WITH " + RAW + f""",
+tied AS (SELECT * REPLACE (positive - 15 * copy AS positive) FROM raw),
+firsts AS (SELECT *, {_PARSED_DATE} AS d, COALESCE(positive, 0) + COALESCE(negative, 0) AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY name NULLS FIRST, release_date NULLS FIRST, positive NULLS FIRST,
+    negative NULLS FIRST, price NULLS FIRST) AS rn FROM tied) WHERE rn = 1),
+kept AS (SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS r FROM firsts WHERE d <= TIMESTAMP '2001-01-01' AND r >= 20)
+SELECT n AS funnel_rows, n AS rows_in_few_parts, r AS reviews_in_few_parts, n AS rows_in_many_parts, r AS reviews_in_many_parts FROM kept""")
+def tied_copies(spark, sf):
+    """Copies that tie in the stated order but differ in their reviews: the funnel and the table agree, however they are dealt."""
+    rows = raw_games(spark, sf).withColumn("positive", F.col("positive") - F.lit(15) * F.col("copy"))
+    out = clean.cleaning_funnel(rows.repartition(7), CFG, ["name"]).select(F.col("rows_out").alias("funnel_rows"))
+    for parts, name in ((2, "few"), (13, "many")):
+        kept = clean.clean(rows.repartition(parts), CFG, ["name"])
+        out = out.join(F.broadcast(kept.agg(
+            F.count("*").alias(f"rows_in_{name}_parts"), F.sum("total_reviews_calc").alias(f"reviews_in_{name}_parts"))))
+    return out
+
+
 @query("cleaned_rows", "A1 P4 P5 P6 P7 P8", "WITH " + RAW + f"""
 SELECT appid, CAST(d AS DATE) AS release_date, r AS total_reviews_calc, LEAST(p, 100.0) AS price,
   GREATEST(LEAST(COALESCE(TRY_CAST(required_age AS DOUBLE), 0.0), 21.0), 0.0) AS required_age

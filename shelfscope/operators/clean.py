@@ -23,6 +23,17 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str | Column]) -> Dat
     return df.withColumn("_first", rank).where(F.col("_first") == 1).drop("_first")
 
 
+#: What cleaning decides on. Copies that tie in the stated order go by these, smallest first and missing ones before all.
+FACTS = ("release_date", "positive", "negative", "price")
+
+
+def total_order(df: DataFrame, order: Sequence[str | Column]) -> list[str | Column]:
+    """The stated order, then what cleaning decides on, then a hash of all other columns: it tells all but equal rows
+    apart, so the row that stays does not depend on partitioning. The funnel needs the first two parts only."""
+    rest = [x for c in sorted(df.columns) if c not in FACTS for x in (F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").isNull())]
+    return [*order, *FACTS, F.xxhash64(*rest)]
+
+
 def release_date(df: DataFrame) -> Column:
     """The release date as a timestamp, parsed if the table still holds text."""
     if dict(df.dtypes)["release_date"] == "string":
@@ -36,7 +47,8 @@ def mature(date: Column | str, as_of: dt.date, min_days: int) -> Column:
 
 
 def clean(df: DataFrame, cfg: CatalogConfig, order: Sequence[str]) -> DataFrame:
-    rows = first_per_key(df, "appid", order)
+    """The first copy of each product by ``total_order``, if it is dated, mature and reviewed, with numbers coerced."""
+    rows = first_per_key(df, "appid", total_order(df, order))
     rows = rows.withColumns({
         "release_date": release_date(df),
         "total_reviews_calc": X.total_reviews("positive", "negative"),
@@ -55,14 +67,14 @@ def clean(df: DataFrame, cfg: CatalogConfig, order: Sequence[str]) -> DataFrame:
 
 
 def cleaning_funnel(df: DataFrame, cfg: CatalogConfig, order: Sequence[str]) -> DataFrame:
-    """One row: what each cleaning step removes. One aggregate over five narrow columns."""
+    """One row: what each cleaning step removes, with the same first copies as ``clean``. One aggregate over narrow columns."""
     facts = F.struct(
         release_date(df).alias("date"),
         X.total_reviews("positive", "negative").alias("reviews"),
         X.to_number("price").alias("price"),
     )
     firsts = df.groupBy("appid").agg(
-        F.count("*").alias("copies"), F.min_by(facts, F.struct(*order)).alias("f"))
+        F.count("*").alias("copies"), F.min_by(facts, F.struct(*order, *[F.col(c).alias(f"_{c}") for c in FACTS])).alias("f"))
     dated = F.col("f.date").isNotNull()
     old = dated & mature("f.date", cfg.as_of, cfg.min_days_since_release)
     kept = old & (F.col("f.reviews") >= cfg.min_total_reviews)

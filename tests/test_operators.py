@@ -77,6 +77,18 @@ def test_cleaning_keeps_first_copy_and_counts_steps(spark):
                       "too_few_reviews_removed": 1, "prices_clipped": 1, "rows_out": 2, "kept_share": 0.25}
 
 
+def test_tied_copies_give_one_result(spark):
+    """Copies that tie in the stated order: the same row stays under every partitioning, and the funnel counts that row."""
+    copies = [(1, "a", "2015-01-01", p, age, pos, None, own) for p in ("5", None, "200") for age in ("0", "18")
+              for pos in (3, 40, None) for own in ("0 - 1", None)]
+    seen = set()
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(copies, RAW).repartition(parts)
+        seen.add(tuple(map(repr, clean.clean(df, CatalogConfig().with_(min_total_reviews=0), ["name"]).collect())))
+        seen.add(clean.cleaning_funnel(df, CatalogConfig(), ["name"]).first()["rows_out"])
+    assert len(seen) == 2 and 0 in seen  # the copy without reviews comes first
+
+
 def test_labels_drop_unreadable_owners_and_exclude_flagged(spark):
     df = spark.createDataFrame(
         [(1, 100, 100, "0 - 20000", 0), (2, 100, 100, "0 - 20000", 1), (3, None, 60, "100,000 - 200,000", 0), (4, 9, 10, "x", 0)],
