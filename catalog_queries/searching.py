@@ -9,7 +9,7 @@ from catalog_queries.base import CFG, GAMES, RAW, games, items, query, raw_games
 from catalog_queries.shaping import _folder, r6
 from shelfscope.functions.text import STOP_WORDS
 from shelfscope.functions.vectors import unit
-from shelfscope.operators import retrieval_eval, search, tfidf
+from shelfscope.operators import inverted_index, retrieval_eval, search, tfidf
 from shelfscope.session import stored
 from shelfscope.sources.tables import read_text_index, write_text_index
 
@@ -89,6 +89,15 @@ def keyword_search(spark, sf):
     return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
 
 
+@query("keyword_search_indexed", "F9 J6 S7 T4", "WITH " + _DOC_INDEX + "," + _BENCH + "," + _SCORES + "," + _ML_TOP.format(k=10)
+       + "\nSELECT query_id, doc_id, round(relevance, 6) + 0.0 AS relevance, rank FROM ml")
+def keyword_search_indexed(spark, sf):
+    """The same search through the stored inverted index."""
+    index = inverted_index.write_inverted_index(_index(spark, sf), _folder(spark, sf, "inverted"))
+    hits = inverted_index.indexed_top(index, _queries(spark, sf), 10)
+    return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
+
+
 @query("keyword_search_copies", "F9 J6 F13", "WITH " + RAW + """,
 copies AS (SELECT appid, short_description, row_number() OVER () AS row_id FROM raw WHERE length(short_description) >= 20)""" + ","
        + terms_sql("dc", "copies", "row_id", "short_description") + "," + vocabulary_sql("voc", "dc", "copies", CFG.search_terms)

@@ -389,6 +389,35 @@ def test_grid_search(spark, separable, tmp_path):
     assert scores[6, 9] > 0.5
 
 
+def test_inverted_index_gives_the_scan_s_answer(spark, tmp_path):
+    """Equal hits under any block size, few blocks scored where documents have topics, and only the queried buckets read."""
+    import random
+
+    from shelfscope.operators import inverted_index as inv
+
+    rng = random.Random(2)
+    topic = lambda t: " ".join(f"t{t}x{int(rng.paretovariate(0.8)) % 40}" for _ in range(30))
+    texts = [topic(k % 30) + " common" * (k % 3) for k in range(1500)] + ["t1x1 t1x1", "t1x1 t1x1", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [(k, f"t{k}x1 t{k}x{1 + k % 3} t{k}x{2 + k % 5}") for k in range(20)] + [(20, "t1x1 t2x1 common"), (21, "unheard of"), (22, None)]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    index = tfidf.fit_text_index(docs, "doc_id", "text", 5000, 2)
+    fields = ["query_id", "doc_id", "row_id", "relevance", "rank"]
+    want = sorted(map(tuple, search.search(queries, "ml", 7, index=index).select(fields).collect()))
+    for block, first in ((16, 2), (1000, 8)):
+        stored_ = inv.write_inverted_index(index, str(tmp_path / f"b{block}"), 16, block)
+        assert sorted(map(tuple, inv.indexed_top(stored_, queries, 7, first=first).select(fields).collect())) == want
+    stored_ = inv.read_inverted_index(spark, str(tmp_path / "b16"), buckets=16)
+    assert inv.scored_share(stored_, queries, 7, first=2) < 0.5
+    one = inv._Batch(stored_, queries.where("query_id = 3"), "query")
+    plan = one.bounds()._jdf.queryExecution().executedPlan().toString()
+    read = one.postings.select("bucket").distinct().count()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [bucket" in plan
+    assert read < 16 and "docs" not in plan.split("ReadSchema")[1].split("\n")[0]
+    none = inv.write_inverted_index(tfidf.fit_text_index(docs.limit(0), "doc_id", "text", 50), str(tmp_path / "none"))
+    assert inv.indexed_top(none, queries, 3).count() == 0
+
+
 def test_most_used_terms_through_the_sketch(spark):
     """The sketch gives the terms of a full count, also where its buckets are few and shared; n-grams of three words."""
     import random
