@@ -11,7 +11,7 @@ from shelfscope.functions.text import STOP_WORDS
 from shelfscope.functions.vectors import unit
 from shelfscope.operators import inverted_index, retrieval_eval, search, tfidf
 from shelfscope.session import stored
-from shelfscope.sources.tables import read_text_index, write_text_index
+from shelfscope.sources.tables import read_text_index, write_table, write_text_index
 
 K = 20
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -156,10 +156,10 @@ def vector_search_blocked(spark, sf):
 SELECT vec_id, round(list_dot_product(v, v), 6) + 0.0 AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS first
 FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (label + 2)) AS u, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
 def unit_vectors(spark, sf):
-    """Vectors of any length scaled back to one."""
+    """Vectors of any length scaled back to one, stored, and read back."""
     raw = table(spark, sf, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 2)).alias("v"))
-    made = raw.select("vec_id", unit("v").alias("u"))
+    made = write_table(raw.select("vec_id", unit("v").alias("u")), _folder(spark, sf, "unit_vectors"))
     square = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
     return made.select("vec_id", r6(square).alias("length"), r6(F.get("u", F.lit(0))).alias("first"))
 

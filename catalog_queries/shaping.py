@@ -135,6 +135,15 @@ def columns_by_name(spark, sf):
     return df.select("appid", *targets, sum([F.col(c) for c in genre], F.lit(0)).alias("genre_hits"))
 
 
+@query("columns_by_part", "P2", "WITH " + FEATURES + """
+SELECT appid, price, round(log_price, 6) + 0.0 AS log_price, n_platforms FROM features""")
+def columns_by_part(spark, sf):
+    """The first three of the columns whose names hold a part: their order is the table's."""
+    rows = engineered(spark, sf)
+    named = features.columns_like(rows, parts=("price", "platforms"), first=3)
+    return rows.select("appid", *named).withColumn("log_price", r6("log_price"))
+
+
 @query("float_features", "P3", "WITH " + FEATURES + """
 SELECT appid, CAST(price AS FLOAT) AS price, CAST(n_platforms AS FLOAT) AS n_platforms,
   CAST(developers_game_count AS FLOAT) AS developers_game_count FROM features""")
@@ -201,11 +210,7 @@ SELECT 'all' AS view, appid FROM v UNION ALL SELECT 'genre', appid FROM v
 UNION ALL SELECT 'free', appid FROM v WHERE is_free = 1 UNION ALL SELECT 'paid', appid FROM v WHERE is_free = 0
 UNION ALL SELECT 'new', appid FROM v WHERE y = (SELECT max(y) FROM v)""")
 def named_views(spark, sf):
-    rows, out = _view_table(spark, sf), None
-    for name in reports.VIEWS:
-        part = reports.view(rows, name).select(F.lit(name).alias("view"), "appid")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reports.in_views(_view_table(spark, sf)).select("view", "appid")
 
 
 @query("catalog_facets", "P11", "WITH " + GAMES + """

@@ -200,12 +200,13 @@ def log_price_histogram(spark, sf):
 
 
 @query("price_density", "A14", "WITH " + CLEAN + """,
-s AS (SELECT stddev_samp(price) * pow(count(*), -0.2) AS w, min(price) AS lo, max(price) AS hi FROM cleaned),
-v AS (SELECT price AS x, count(*) AS c FROM cleaned GROUP BY 1),
+s AS (SELECT stddev_samp(price) * pow(count(*), -0.2) AS w, min(price) AS lo, max(price) AS hi, (max(price) - min(price)) / 1592 AS cell FROM cleaned),
+v AS (SELECT (price - lo) / cell AS place, least(floor((price - lo) / cell), 1591) AS l FROM cleaned, s),
+c AS (SELECT k, sum(f) AS f FROM (SELECT l AS k, 1 - (place - l) AS f FROM v UNION ALL SELECT l + 1, place - l FROM v) GROUP BY k),
 g AS (SELECT CAST(unnest(range(200)) AS INT) AS point)
 SELECT point, round(any_value(lo + point * ((hi - lo) / 199)), 6) + 0.0 AS x,
-  round(sum(exp(-0.5 * pow((lo + point * ((hi - lo) / 199) - v.x) / w, 2)) * c) * any_value((hi - lo) / 30 / (w * sqrt(2 * pi()))), 4) + 0.0 AS y
-FROM g, s, v GROUP BY point""")
+  round(sum(exp(-0.5 * pow((point * 8 - k) * cell / w, 2)) * f) * any_value((hi - lo) / 30 / (w * sqrt(2 * pi()))), 4) + 0.0 AS y
+FROM g, s, c GROUP BY point""")
 def price_density(spark, sf):
     made = reports.density(cleaned(spark, sf), "price", 30, 200)
     return made.select("point", r6("x").alias("x"), (F.round("y", 4) + F.lit(0.0)).alias("y"))
@@ -239,13 +240,23 @@ _PRINTED = ("appid price required_age windows mac linux is_free log_price n_plat
             "month_sin month_cos is_q4_release developers_game_count publishers_game_count is_self_published").split()
 
 
-@query("content_fingerprint", "A19", "WITH " + FEATURES + """,
-v AS (SELECT unnest([appid]) AS id, [""" + ", ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in _PRINTED) + """] AS a FROM features),
+@query("content_fingerprint", "A19 F4", "WITH " + FEATURES + f""",
+g AS (SELECT appid, 'genre' AS kind, unnest({items('genres')}) AS item FROM features
+  UNION ALL SELECT appid, 'tag', unnest({items('tags')}) FROM features),
+voc AS (SELECT kind, item FROM (SELECT kind, item, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, item) AS r FROM g GROUP BY 1, 2)
+  WHERE r <= CASE kind WHEN 'genre' THEN 15 ELSE 30 END),
+hot AS (SELECT appid, string_agg(name, ',' ORDER BY name) AS hot FROM (SELECT DISTINCT appid,
+    concat(kind, '_', replace(replace(replace(lower(item), ' ', '_'), '-', '_'), '/', '_')) AS name FROM g JOIN voc USING (kind, item)) GROUP BY appid),
+v AS (SELECT list_append([""" + ", ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in _PRINTED) + """], COALESCE(hot, '')) AS a
+  FROM features LEFT JOIN hot USING (appid)),
 h AS (SELECT md5(array_to_string(list_transform(a, lambda x: COALESCE(length(x) || ':' || x, '~')), '|')) AS m FROM v)
 SELECT substr(sha256(concat(count(*), ':', sum(CAST(('0x' || substr(m, 1, 15)) AS HUGEINT)))), 1, 12) AS data_hash FROM h""")
 def content_fingerprint(spark, sf):
-    """The feature table; values in millionths, so that both engines write them alike."""
-    return quality.fingerprint(engineered(spark, sf), {c: F.round(F.col(c) * 1_000_000).cast("long") for c in _PRINTED})
+    """The whole feature table: values in millionths, so that both engines write them alike, and the names of the set multi-hots."""
+    rows = engineered(spark, sf)
+    hot = sorted(features.columns_like(rows, prefix="genre_") + features.columns_like(rows, prefix="tag_"))
+    names = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in hot])), ",")
+    return quality.fingerprint(rows, {c: F.round(F.col(c) * 1_000_000).cast("long") for c in _PRINTED} | {"hot": names})
 
 
 @query("sample_names", "A20", "WITH " + GAMES + """

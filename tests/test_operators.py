@@ -77,6 +77,24 @@ def test_cleaning_keeps_first_copy_and_counts_steps(spark):
                       "too_few_reviews_removed": 1, "prices_clipped": 1, "rows_out": 2, "kept_share": 0.25}
 
 
+def test_density_of_distinct_values(spark):
+    """Sharing rows between cells stays within the stated error of the kernel over all rows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from shelfscope.operators import reports
+
+    rows = spark.range(5000).select((F.log1p(F.col("id")) + F.col("id") / 1000).alias("v"))
+    v = np.array([r["v"] for r in rows.collect()])
+    got = sorted(map(tuple, reports.density(rows, "v", 30, 50).collect()))
+    width = v.std(ddof=1) * len(v) ** -0.2
+    height = (v.max() - v.min()) / 30 / (width * np.sqrt(2 * np.pi))
+    cell = (v.max() - v.min()) / (49 * reports.FINE)
+    for _, x, y in got:
+        assert abs(y - (np.exp(-0.5 * ((x - v) / width) ** 2) * height).sum()) <= len(v) * height * (cell / width) ** 2 / 8
+    assert len(got) == 50 and reports.density(rows.limit(1), "v", 30).count() == 0
+
+
 def test_tied_copies_give_one_result(spark):
     """Copies that tie in the stated order: the same row stays under every partitioning, and the funnel counts that row."""
     copies = [(1, "a", "2015-01-01", p, age, pos, None, own) for p in ("5", None, "200") for age in ("0", "18")
