@@ -54,7 +54,7 @@ class Letters:
     """A: ids of a space and the text by a byte-level vocabulary, and the bytes of every id."""
 
     def __init__(self, vocabulary: str):
-        self.encoder = PieceEncoder(vocabulary)
+        self.encoder = PieceEncoder(vocabulary, REMEMBERED)
         # Strings of special tokens in a text are plain text.
         self.encoder.tokenizer.encode_special_tokens = True
         self.encoder.cut = None

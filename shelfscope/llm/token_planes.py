@@ -44,7 +44,7 @@ BLOCK = 1 << 16
 #: Texts with more characters are encoded in parts.
 TOGETHER = 1 << 20
 #: Pieces whose ids a worker remembers, twice: those in use and those used before.
-REMEMBERED = 360_000
+REMEMBERED = 200_000
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -76,17 +76,17 @@ def byte_letters() -> dict[int, int]:
 
 
 class Codes(dict):
-    """Ids of pieces as bytes. Holds the pieces in use, and those used before, up to REMEMBERED each."""
+    """Ids of pieces as bytes. Holds the pieces in use, and those used before, up to `remembered` each."""
 
-    def __init__(self, model):
-        self.tokenize, self.letters, self.older = model.tokenize, byte_letters(), {}
+    def __init__(self, model, remembered: int):
+        self.tokenize, self.letters, self.older, self.remembered = model.tokenize, byte_letters(), {}, remembered
 
     def __missing__(self, piece: str) -> bytes:
         code = self.older.get(piece)
         if code is None:
             raw = piece.encode().decode("latin-1").translate(self.letters)
             code = array("I", [t.id for t in self.tokenize(raw)]).tobytes()
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.older = dict(self)
             self.clear()
         self[piece] = code
@@ -96,7 +96,7 @@ class Codes(dict):
 class PieceEncoder:
     """Byte-pair ids of texts; the pieces before byte pairing are independent, so their ids are remembered."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,7 +107,7 @@ class PieceEncoder:
         self.added = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
         self.literal = all(not (t.lstrip or t.rstrip or t.single_word) for _, t in added.values())
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.code = Codes(self.tokenizer.model).__getitem__
+        self.code = Codes(self.tokenizer.model, remembered).__getitem__
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
