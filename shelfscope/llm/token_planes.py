@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfscope.llm.common import fresh_folder, stored
+from shelfscope.llm.common import fresh_folder, rows_per_batch, stored
 
 MAGIC = b"PLN1"
 BLOCK = 1 << 16
 #: Texts with more characters are encoded in parts.
 TOGETHER = 1 << 20
 #: Pieces whose ids a worker remembers, twice: those in use and those used before.
-REMEMBERED = 200_000
+REMEMBERED = 360_000
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -279,7 +279,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
     order = [F.col("_id").asc_nulls_last(), F.col("_text")]
     placed = rows.repartitionByRange(F.col("_id").asc_nulls_last()).sortWithinPartitions(*order)
-    return stored(placed.mapInArrow(write, MANIFEST), "manifest")
+    with rows_per_batch(docs.sparkSession, 1000):
+        return stored(placed.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
