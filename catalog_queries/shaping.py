@@ -48,6 +48,15 @@ def csv_scan(spark, sf):
         F.md5("short_description").alias("text_hash"))
 
 
+@query("csv_split_scan", "S1 S2", "WITH " + RAW + """
+SELECT appid, name, md5(short_description) AS text_hash, tags, genres, price, positive, negative,
+  estimated_owners, windows, mac, linux, release_date FROM raw""")
+def csv_split_scan(spark, sf):
+    """The same texts with line breaks, read by many tasks from byte ranges of the files."""
+    rows = raw_csv.read_search_csv(spark, _as_csv(spark, sf), split_files=True)
+    return rows.withColumn("text_hash", F.md5("short_description")).drop("short_description")
+
+
 @query("csv_search_scan", "S2", "WITH " + RAW + """
 SELECT appid, name, md5(short_description) AS text_hash, tags, genres, price, positive, negative,
   estimated_owners, windows, mac, linux, release_date FROM raw""")

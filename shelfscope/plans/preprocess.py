@@ -71,7 +71,8 @@ def prepare(raw: DataFrame, cfg: CatalogConfig, out: str, order: Sequence[str],
     return Prepared(catalog, table, splits, everything, meta, columns)
 
 
-def prepare_csv(spark: SparkSession, path: str, cfg: CatalogConfig, out: str, multi_line: bool = True) -> Prepared:
-    """The same from a raw CSV; the first of several copies is the smallest by name and date. Where no text holds a line
-    break, ``multi_line=False`` lets many tasks read one large file."""
-    return prepare(read_raw_csv(spark, path, multi_line=multi_line), cfg, out, ["name", "release_date"])
+def prepare_csv(spark: SparkSession, path: str, cfg: CatalogConfig, out: str, multi_line: bool = True,
+                split_files: bool = False) -> Prepared:
+    """The same from a raw CSV; the first of several copies is the smallest by name and date. Many tasks read one large
+    file with ``multi_line=False``, where no text holds a line break, or with ``split_files``, where some do."""
+    return prepare(read_raw_csv(spark, path, multi_line=multi_line, split_files=split_files), cfg, out, ["name", "release_date"])

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfscope.sources.split_csv import csv_records
+
 # Long text and URL columns that no stage uses.
 HEAVY_COLUMNS = (
     "detailed_description", "about_the_game", "reviews", "header_image", "website",
@@ -39,20 +42,25 @@ def csv_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in header])
 
 
-def read_raw_csv(spark: SparkSession, path: str, drop: Sequence[str] = HEAVY_COLUMNS, multi_line: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, drop: Sequence[str] = HEAVY_COLUMNS, multi_line: bool = True,
+                 split_files: bool = False) -> DataFrame:
     """Only the header line is read for names; the wanted columns alone are parsed.
 
     Texts may hold line breaks, so a file is one task by default. Where they do not,
-    ``multi_line=False`` lets Spark split large files.
+    ``multi_line=False`` lets Spark split large files. Where they do, ``split_files`` lets many
+    tasks read one file for a second scan of it, with the same rows (see ``csv_records``).
     """
     header = spark.read.options(**_CSV_OPTIONS).csv(path).columns
     wanted = [c for c in header if c not in set(drop)]
+    if multi_line and split_files:
+        row = F.from_csv("text", csv_schema(header).toDDL(), {"quote": '"', "escape": '"', "multiLine": "true"})
+        return csv_records(spark, path).select(row.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in wanted])
     reader = spark.read.schema(csv_schema(header)).options(**_CSV_OPTIONS, multiLine=str(multi_line).lower())
     return reader.csv(path).select(*wanted)
 
 
-def read_search_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return read_raw_csv(spark, path, multi_line=multi_line).select(*SEARCH_COLUMNS)
+def read_search_csv(spark: SparkSession, path: str, multi_line: bool = True, split_files: bool = False) -> DataFrame:
+    return read_raw_csv(spark, path, multi_line=multi_line, split_files=split_files).select(*SEARCH_COLUMNS)
 
 
 def write_raw_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
