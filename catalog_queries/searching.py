@@ -9,7 +9,7 @@ from catalog_queries.base import CFG, GAMES, RAW, games, items, query, raw_games
 from catalog_queries.shaping import _folder, r6
 from shelfscope.functions.text import STOP_WORDS
 from shelfscope.functions.vectors import unit
-from shelfscope.operators import inverted_index, retrieval_eval, search, tfidf
+from shelfscope.operators import inverted_index, retrieval_eval, search, tfidf, vector_index
 from shelfscope.session import stored
 from shelfscope.sources.tables import read_text_index, write_table, write_text_index
 
@@ -152,6 +152,24 @@ def vector_search_blocked(spark, sf):
     return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
 
 
+@query("vector_search_indexed", "F9 J7 S7 T4 W4", "WITH " + _LABEL_QUERIES + "," + _DL_TOP.format(k=10)
+       + "\nSELECT query_id, doc_id, round(relevance, 6) + 0.0 AS relevance, rank FROM dl")
+def vector_search_indexed(spark, sf):
+    """The same search through the stored index, with the codes' error as the bound."""
+    index = vector_index.write_vector_index(_doc_vectors(spark, sf), _folder(spark, sf, "vector_index"))
+    hits = vector_index.exact_vector_top(index, _label_queries(spark, sf), 10)
+    return hits.select("query_id", "doc_id", r6("relevance").alias("relevance"), "rank")
+
+
+@query("vector_index_recall", "F9 J7 S7")
+def vector_index_recall(spark, sf):
+    """How many of the ten nearest the approximate search finds, for each vector whose id is divisible by 20."""
+    docs = _doc_vectors(spark, sf)
+    index = vector_index.write_vector_index(docs, _folder(spark, sf, "vector_index"))
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return vector_index.recall(vector_index.indexed_vector_top(index, queries, 10), search.vector_top(docs, queries, 10))
+
+
 @query("unit_vectors", "F12 S7", """
 SELECT vec_id, round(list_dot_product(v, v), 6) + 0.0 AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS first
 FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (label + 2)) AS u, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
