@@ -37,6 +37,10 @@ from pyspark.sql.window import Window
 from shelfscope.llm.common import Scratch, stored
 
 
+#: Below it, every product and partial sum of two vectors fits 63 bits (Cauchy and Schwarz).
+MOST_NORM = 9.2e18
+
+
 @dataclass(frozen=True)
 class KnnParameters:
     k: int = 20
@@ -59,7 +63,10 @@ def integer_vectors(table: DataFrame, id_column: str, vector_column: str, p: Knn
                 x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(x).all():
                     continue
-                v = np.floor(p.scale * x).astype(np.int64)
+                whole = np.floor(p.scale * x)
+                if not whole @ whole < MOST_NORM:
+                    raise ValueError(f"vector {vec_id} is too long: its products do not fit 63 bits")
+                v = whole.astype(np.int64)
                 ids.append(vec_id)
                 out.append(v.tobytes())
                 norms.append(int(v @ v))

@@ -201,6 +201,11 @@ def test_neighbours_against_brute_force(spark):
     few = voronoi_knn(table.where("vec_id in (20, 5)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r.rank) for r in few if r.query_id == 20]
     assert voronoi_knn(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    long = spark.createDataFrame([(20, [1e8, 0.0]), (5, [-2e7, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="do not fit 63 bits"):
+        voronoi_knn(long, F.col("vec_id") % 20 == 0).collect()
+    fits = voronoi_knn(long.withColumn("embedding", F.transform("embedding", lambda x: x / 10)), F.col("vec_id") % 20 == 0).collect()
+    assert [r["score"] for r in fits] == [int(64e7) * int(-64 * 2e6)]
 
 
 def test_pseudonyms(documents, odd_rows):
