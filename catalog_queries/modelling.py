@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog_queries.base import CFG, LABELLED, cleaned, engineered, games, items, labelled, query, stored_labels, table
 from catalog_queries.shaping import r6
+from shelfscope.config import CatalogConfig
 from shelfscope.functions.scalars import safe_column
 from shelfscope.operators import (
     anomaly, clean, gate, labels, metrics, model_tables, models, neighbours, quality, reports, smote, split)
 from shelfscope.operators.features import engineer, feature_columns, leakage_guard
-from shelfscope.session import checkpointed
+from shelfscope.session import checkpointed, stored
 
 # --- metrics ---------------------------------------------------------------
 
@@ -381,21 +385,74 @@ def product_features(spark, sf):
 SCREEN = CFG.with_(anomaly_enabled=True, exclude_from_gem=True)
 
 
-@query("screened_catalog", "F3 F2")
+
+def _unit(text: str, first: int) -> str:
+    """DuckDB: a number from 0 to 1 from 12 hexadecimal digits of an md5."""
+    return f"(CAST('0x' || substr(md5({text}), {first}, 12) AS BIGINT) / 281474976710656.0)"
+
+
+def _path(n: str) -> str:
+    """DuckDB: the mean depth of an unsuccessful search among n keys."""
+    return f"(CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + {np.euler_gamma!r}) - 2 * ({n} - 1) / CAST({n} AS DOUBLE) WHEN {n} = 2 THEN 1.0 ELSE 0.0 END)"
+
+
+def screened_sql(cfg: CatalogConfig) -> str:
+    """DuckDB: the forest grown level by level from the same draws, and ``screened`` (appid, anomaly_score, is_suspicious)."""
+    levels = max(1, math.ceil(math.log2(cfg.anomaly_sample)))
+    text = f"'{cfg.seed}|' || tree || '|' || node"
+    steps = [f"""
+reach AS (SELECT *, total_reviews_calc / GREATEST((CAST(split_part(estimated_owners, ' - ', 1) AS DOUBLE)
+    + CAST(split_part(estimated_owners, ' - ', 2) AS DOUBLE)) / 2, {cfg.owners_mid_floor}) AS r FROM cleaned),
+sig AS (SELECT appid, [round(ln(1 + total_reviews_calc), 9), round(LEAST(r, (SELECT quantile_cont(r, {cfg.reviews_per_owner_quantile}) FROM reach)), 9),
+    round(positive / total_reviews_calc, 9), round(LEAST(recommendations / total_reviews_calc, {cfg.recommendations_per_review_max}), 9), round(ln(1 + price), 9)] AS f FROM reach),
+pool AS (SELECT * FROM sig ORDER BY md5(concat(appid, '|{cfg.seed}')) LIMIT {cfg.anomaly_trees * cfg.anomaly_sample}),
+size AS (SELECT LEAST({cfg.anomaly_sample}, count(*)) AS size, GREATEST(1, ceil(log2(GREATEST(2, LEAST({cfg.anomaly_sample}, count(*)))))) AS deep FROM pool),
+at0 AS MATERIALIZED (SELECT tree, f, 1 AS node FROM pool, range({cfg.anomaly_trees}) t(tree)
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY md5(concat_ws('|', appid, tree, {cfg.seed})), appid) <= (SELECT size FROM size))"""]
+    for d in range(levels + 1):
+        sides = ", ".join(f"min(f[{i}])" for i in range(1, 6)), ", ".join(f"max(f[{i}])" for i in range(1, 6))
+        steps.append(f"""
+seen{d} AS (SELECT tree, node, count(*) AS n, [{sides[0]}] AS lo, [{sides[1]}] AS hi FROM at{d} GROUP BY tree, node),
+open{d} AS (SELECT *, CASE WHEN {d} >= (SELECT deep FROM size) THEN [] ELSE list_filter([1, 2, 3, 4, 5], lambda i: hi[i] > lo[i]) END AS wide FROM seen{d}),
+split{d} AS (SELECT *, wide[1 + CAST(floor({_unit(text, 1)} * len(wide)) AS INT)] AS feature FROM open{d}),
+node{d} AS MATERIALIZED (SELECT tree, node, feature, lo[feature] + {_unit(text, 13)} * (hi[feature] - lo[feature]) AS threshold,
+    CASE WHEN feature IS NULL THEN {d} + {_path("n")} END AS depth FROM split{d}),
+at{d + 1} AS MATERIALIZED (SELECT tree, f, 2 * node + CASE WHEN f[feature] <= threshold THEN 0 ELSE 1 END AS node FROM at{d} JOIN node{d} USING (tree, node) WHERE feature IS NOT NULL)""")
+        source = f"(SELECT appid, f, tree, 1 AS node FROM sig, range({cfg.anomaly_trees}) t(tree))" if d == 0 else f"go{d}"
+        steps.append(f"""
+met{d} AS MATERIALIZED (SELECT w.appid, w.f, w.tree, w.node, m.feature, m.threshold, m.depth FROM {source} w LEFT JOIN node{d} m USING (tree, node)),
+go{d + 1} AS (SELECT appid, f, tree, 2 * node + CASE WHEN f[feature] <= threshold THEN 0 ELSE 1 END AS node FROM met{d} WHERE feature IS NOT NULL)""")
+    met = " UNION ALL ".join(f"SELECT appid, depth FROM met{d} WHERE feature IS NULL" for d in range(levels + 1))
+    return ",".join(steps) + f""",
+score AS (SELECT appid, round(pow(2.0, -sum(COALESCE(depth, 0)) / {cfg.anomaly_trees} / (SELECT {_path("size")} FROM size)), 9) AS anomaly_score FROM ({met}) GROUP BY appid),
+screened AS (SELECT *, CASE WHEN anomaly_score > (SELECT quantile_cont(anomaly_score, {1 - cfg.contamination!r}) FROM score) THEN 1 ELSE 0 END AS is_suspicious FROM score)"""
+
+
+_SCREENED = LABELLED + "," + screened_sql(SCREEN)
+
+
+@query("screened_catalog", "F3 F2", "WITH " + _SCREENED + "\nSELECT appid, is_suspicious, round(anomaly_score, 6) + 0.0 AS anomaly_score FROM screened")
 def screened_catalog(spark, sf):
-    made = anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN)
-    return made.select("appid", "is_suspicious", "anomaly_score")
+    made = anomaly.screen(stored(cleaned(spark, sf)), SCREEN)
+    return made.select("appid", "is_suspicious", r6("anomaly_score").alias("anomaly_score"))
 
 
-@query("labels_without_suspicious", "F1 F3")
+@query("labels_without_suspicious", "F1 F3", "WITH " + _SCREENED + """
+SELECT count(*) AS rows, round(avg(target_hit), 6) + 0.0 AS hit_rate,
+  round(avg(CASE WHEN target_hidden_gem = 1 AND is_suspicious = 0 THEN 1 ELSE 0 END), 6) + 0.0 AS gem_rate,
+  count(*) FILTER (target_hidden_gem = 1 AND is_suspicious = 1) AS gems_excluded FROM labelled JOIN screened USING (appid)""")
 def labels_without_suspicious(spark, sf):
-    return labels.label_summary(labels.make_labels(anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN), SCREEN), SCREEN)
+    made = labels.label_summary(labels.make_labels(anomaly.screen(stored(cleaned(spark, sf)), SCREEN), SCREEN), SCREEN)
+    return made.withColumns({"hit_rate": r6("hit_rate"), "gem_rate": r6("gem_rate")})
 
 
-@query("suspicious_rows", "T3 F3")
+@query("suspicious_rows", "T3 F3", "WITH " + _SCREENED + """
+SELECT appid, name, total_reviews_calc, round(positive_ratio, 6) + 0.0 AS positive_ratio, round(anomaly_score, 6) + 0.0 AS anomaly_score, price
+FROM labelled JOIN screened USING (appid) WHERE is_suspicious = 1 ORDER BY screened.anomaly_score DESC, appid LIMIT 20""")
 def suspicious_rows(spark, sf):
-    made = labels.make_labels(anomaly.screen(checkpointed(cleaned(spark, sf)), SCREEN), SCREEN)
-    return reports.suspicious(made, 20).select("appid", "name", "total_reviews_calc", "positive_ratio", "anomaly_score", "price")
+    made = labels.make_labels(anomaly.screen(stored(cleaned(spark, sf)), SCREEN), SCREEN)
+    return reports.suspicious(made, 20).select(
+        "appid", "name", "total_reviews_calc", r6("positive_ratio").alias("positive_ratio"), r6("anomaly_score").alias("anomaly_score"), "price")
 
 
 _FLAGGED = LABELLED + """,

@@ -145,6 +145,23 @@ def test_screen_flags_the_share_and_finds_a_planted_outlier(spark, sf):
     assert all(again[r["appid"]] == r["anomaly_score"] for r in rows)
 
 
+def test_trees_take_the_rows_that_their_md5_names(spark):
+    import hashlib
+
+    cfg = CFG.with_(anomaly_trees=30, anomaly_sample=16)
+    columns = [F.round(F.sin(F.col("id") * (i + 1)) * 10, 6).alias(c) for i, c in enumerate(anomaly.SIGNALS)]
+    signals = spark.range(2000).select(F.col("id").alias("appid"), *columns)
+    forest = anomaly.IsolationForest.fit(signals, cfg)
+    assert len(forest.trees) == 30 and (forest.sample_size, forest.limit) == (16, 4)
+    rows = {r["appid"]: [r[c] for c in anomaly.SIGNALS] for r in signals.collect()}
+    order = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    pool = sorted(rows, key=lambda k: order(k, cfg.seed))[:30 * 16]
+    for tree, made in enumerate(forest.trees):
+        own = sorted(pool, key=lambda k: order(k, tree, cfg.seed))[:16]
+        for node, feature, threshold, depth in anomaly._grow(np.array([rows[k] for k in own]), cfg.seed, tree, 4):
+            assert (made["feature"][node], made["threshold"][node], made["depth"][node]) == (feature, threshold, depth)
+
+
 def test_screen_can_be_switched_off(spark, sf):
     row = anomaly.screen(cleaned(spark, sf), CFG).first()
     assert (row["is_suspicious"], row["anomaly_score"]) == (0, 0.0)

@@ -55,7 +55,8 @@ PYTHON_QUERIES = {
     "keyword_search", "keyword_search_copies", "reranked_search", "facets_first_search", "plain_catalog_search", "precision_recall",
     "vector_search", "vector_search_blocked", "nearest_neighbours", "nearest_neighbours_by_cells", "oversampled",
     "encoded_texts", "evaluation_run", "mean_precision", "precision_table", "tfidf_postings", "tfidf_train_fitted",
-    "scored_by_table", "keyword_search_indexed", "vector_search_indexed", "csv_split_scan"}
+    "scored_by_table", "keyword_search_indexed", "vector_search_indexed", "csv_split_scan",
+    "screened_catalog", "labels_without_suspicious", "suspicious_rows"}
 
 
 @pytest.mark.parametrize("name", [n for n, q in registry().items() if q.sql is not None and n not in PYTHON_QUERIES])
