@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog_queries.base import (
     CFG, CLEAN, FEATURES, GAMES, LABELLED, RAW, cleaned, engineered, games, items, labelled, query, raw_games, stored_labels, table)
-from catalog_queries.shaping import r6
+from catalog_queries.shaping import _folder, r6
 from shelfscope.functions import scalars as X
 from shelfscope.operators import anomaly, features, labels, quality, reports, skew, split
 from shelfscope.operators.metrics import best_run
@@ -240,7 +240,7 @@ _PRINTED = ("appid price required_age windows mac linux is_free log_price n_plat
             "month_sin month_cos is_q4_release developers_game_count publishers_game_count is_self_published").split()
 
 
-@query("content_fingerprint", "A19 F4", "WITH " + FEATURES + f""",
+_FINGERPRINT_SQL = "WITH " + FEATURES + f""",
 g AS (SELECT appid, 'genre' AS kind, unnest({items('genres')}) AS item FROM features
   UNION ALL SELECT appid, 'tag', unnest({items('tags')}) FROM features),
 voc AS (SELECT kind, item FROM (SELECT kind, item, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, item) AS r FROM g GROUP BY 1, 2)
@@ -250,13 +250,30 @@ hot AS (SELECT appid, string_agg(name, ',' ORDER BY name) AS hot FROM (SELECT DI
 v AS (SELECT list_append([""" + ", ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in _PRINTED) + """], COALESCE(hot, '')) AS a
   FROM features LEFT JOIN hot USING (appid)),
 h AS (SELECT md5(array_to_string(list_transform(a, lambda x: COALESCE(length(x) || ':' || x, '~')), '|')) AS m FROM v)
-SELECT substr(sha256(concat(count(*), ':', sum(CAST(('0x' || substr(m, 1, 15)) AS HUGEINT)))), 1, 12) AS data_hash FROM h""")
-def content_fingerprint(spark, sf):
-    """The whole feature table: values in millionths, so that both engines write them alike, and the names of the set multi-hots."""
-    rows = engineered(spark, sf)
+SELECT substr(sha256(concat(count(*), ':', sum(CAST(('0x' || substr(m, 1, 15)) AS HUGEINT)))), 1, 12) AS data_hash FROM h"""
+
+
+def _printed(rows):
+    """Values in millionths, so that both engines write them alike, and the names of the set multi-hots."""
     hot = sorted(features.columns_like(rows, prefix="genre_") + features.columns_like(rows, prefix="tag_"))
     names = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in hot])), ",")
-    return quality.fingerprint(rows, {c: F.round(F.col(c) * 1_000_000).cast("long") for c in _PRINTED} | {"hot": names})
+    return {c: F.round(F.col(c) * 1_000_000).cast("long") for c in _PRINTED} | {"hot": names}
+
+
+@query("content_fingerprint", "A19 F4", _FINGERPRINT_SQL)
+def content_fingerprint(spark, sf):
+    """The whole feature table."""
+    rows = engineered(spark, sf)
+    return quality.fingerprint(rows, _printed(rows))
+
+
+@query("stored_fingerprint", "A19 F4", _FINGERPRINT_SQL)
+def stored_fingerprint(spark, sf):
+    """The same from stored parts by year, written in two steps, the second of which reads the later years alone."""
+    rows, path = engineered(spark, sf), _folder(spark, sf, "fingerprints")
+    for years in (F.col("release_year") < 1999, F.coalesce(F.col("release_year") >= 1999, F.lit(True))):
+        quality.fingerprint_parts(rows.where(years), _printed(rows), "release_year").write.mode("append").parquet(path)
+    return quality.merged_fingerprint(spark.read.parquet(path))
 
 
 @query("sample_names", "A20", "WITH " + GAMES + """

@@ -57,15 +57,34 @@ def run_metadata(labels: DataFrame, funnel: DataFrame, features: int, leaked: Se
         "leaked array<string>, cleaning map<string,double>, config map<string,string>, data_hash string"))
 
 
+def _row_bits(columns: Mapping[str, Column] | Sequence[str]) -> Column:
+    """The leading 60 bits of a row's md5."""
+    parts = columns.values() if isinstance(columns, Mapping) else [F.col(c) for c in columns]
+    # each value with its length, so that no two rows give one text
+    values = [c.cast("string") for c in parts]
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in values])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def _digest(rows: Column, total: Column) -> Column:
+    text = F.concat_ws(":", F.coalesce(rows, F.lit(0)).cast("string"), F.coalesce(total, F.lit(0)).cast("string"))
+    return F.substring(F.sha2(text, 256), 1, 12).alias("data_hash")
+
+
 def fingerprint(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
     """12 hex digits that depend on the rows but not on their order.
 
     Each row gives an md5; its leading 60 bits are summed with the row count and hashed.
     """
-    parts = columns.values() if isinstance(columns, Mapping) else [F.col(c) for c in columns]
-    # each value with its length, so that no two rows give one text
-    values = [c.cast("string") for c in parts]
-    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in values])
-    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
-    total = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(bits), F.lit(0)).cast("string"))
-    return df.agg(F.substring(F.sha2(total, 256), 1, 12).alias("data_hash"))
+    return df.agg(_digest(F.count("*"), F.sum(_row_bits(columns))))
+
+
+def fingerprint_parts(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], *by: str) -> DataFrame:
+    """(by, rows, total): what each part of the table adds to its fingerprint. Stored, it spares reading old data again:
+    rows that are appended later bring rows of their own, even for a part that is there already."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(_row_bits(columns)).cast("decimal(38,0)").alias("total"))
+
+
+def merged_fingerprint(parts: DataFrame) -> DataFrame:
+    """The fingerprint of all rows, from stored parts."""
+    return parts.agg(_digest(F.sum("rows"), F.sum("total")))
