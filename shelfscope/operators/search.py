@@ -18,7 +18,7 @@ from shelfscope.functions import scalars as X
 from shelfscope.functions.vectors import unit
 from shelfscope.operators.clean import mature, release_date
 from shelfscope.operators.skew import within
-from shelfscope.operators.tfidf import TextIndex
+from shelfscope.operators.tfidf import TextIndex, unfolded
 
 METHODS = ("ml", "dl")
 #: Query terms, or query vectors, that one task holds; larger batches of queries are cut into blocks.
@@ -66,10 +66,17 @@ class _Batch:
         if share and not maxima:
             self.top, self.most = queries["_top"].to_numpy(), queries["_most"].to_numpy()
 
+    #: The list column of the documents whose items are unfolded.
+    items = "vector"
+
     def pairs(self, batch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Positions of document and query, and relevance, of the pairs to judge."""
         raise NotImplementedError
 
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in parts of bounded size."""
+        return unfolded(batches, self.items)
+
     def add(self, batch) -> None:
         self.kinds = [batch.schema.field(c).type for c in ("doc_id", "row_id")]
         docs, rows = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "row_id"))
@@ -116,6 +123,8 @@ class _Batch:
 class _TermBatch(_Batch):
     """Queries and documents as sorted places in the vocabulary with weights."""
 
+    items = "indices"
+
     def __init__(self, queries: pa.Table, *args, **kwargs):
         super().__init__(queries, *args, **kwargs)
         at, sizes = _lists(queries["indices"])
@@ -178,9 +187,8 @@ def _passed(docs: DataFrame, queries: DataFrame, kind: type[_Batch], blocks: int
             if not shared.value.num_rows:
                 return
             task = make(shared.value)
-            for batch in batches:
-                if batch.num_rows:
-                    task.add(batch)
+            for batch in task.parts(batches):
+                task.add(batch)
             if task.found:
                 yield from task.rows().combine_chunks().to_batches()
 
@@ -196,7 +204,7 @@ def _passed(docs: DataFrame, queries: DataFrame, kind: type[_Batch], blocks: int
     def meet(q: pa.Table, d: pa.Table) -> pa.Table:
         if q.num_rows and d.num_rows:
             task = make(q)
-            for batch in d.to_batches(max_chunksize=10_000):
+            for batch in task.parts(d.to_batches(max_chunksize=10_000)):
                 task.add(batch)
             if task.found:
                 return task.rows()

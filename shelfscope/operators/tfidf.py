@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from shelfscope.functions.text import STOP_WORDS, ngrams, tokens
 from shelfscope.session import spread, stored
 
+#: Words, or terms, that a task unfolds at a time.
+ITEMS = 1 << 18
 #: Counters of the sketch that finds the most used n-grams.
 BUCKETS = 1 << 20
 
@@ -45,6 +47,18 @@ class TextIndex:
         return weigh(df.select(key, words.alias("_words")), self.vocabulary, self.ngram_max)
 
 
+def unfolded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose lists hold about ``ITEMS`` items together, and one row at least."""
+    for batch in batches:
+        upto = np.cumsum(batch[column].value_lengths().fill_null(0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + ITEMS, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class Terms:
     """Terms as arrays: finds the places of a text's n-grams among them, word by word along their prefixes."""
 
@@ -130,7 +144,7 @@ def fit_vocabulary(words: DataFrame, ngram_max: int, max_terms: int, buckets: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         df = np.zeros(terms.n, np.int64)
-        for batch in batches:
+        for batch in unfolded(batches, "_words"):
             df += np.bincount(terms.counts(batch["_words"])[1], minlength=terms.n)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(df[used])], ["at", "df"])
@@ -155,7 +169,7 @@ def weigh(words: DataFrame, vocabulary: DataFrame, ngram_max: int) -> DataFrame:
 
     def weigh_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf = shared.value
-        for batch in batches:
+        for batch in unfolded(batches, "_words"):
             row, at, tf = terms.counts(batch["_words"])
             weight = tf * idf[at]
             length = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))

@@ -183,6 +183,10 @@ def read_vector_index(spark: SparkSession, path: str, types: dict[str, str] | No
 class _CodeBatch(_VectorBatch):
     """Queries and the codes of the lists that they read; the relevance is that of the decoded vector."""
 
+    def parts(self, batches):
+        """Codes are short: batches stay whole."""
+        return (b for b in batches if b.num_rows)
+
     def __init__(self, queries: pa.Table, *args, held, probes: int, **kwargs):
         super().__init__(queries, *args, **kwargs)
         quantiser = held.value
