@@ -19,6 +19,7 @@ from shelfscope.functions.vectors import unit
 from shelfscope.operators.clean import mature, release_date
 from shelfscope.operators.skew import within
 from shelfscope.operators.tfidf import TextIndex, unfolded
+from shelfscope.session import stored
 
 METHODS = ("ml", "dl")
 #: Query terms, or query vectors, that one task holds; larger batches of queries are cut into blocks.
@@ -194,7 +195,8 @@ def _passed(docs: DataFrame, queries: DataFrame, kind: type[_Batch], blocks: int
 
         return docs.mapInArrow(scan, schema)
     splits = max(1, math.ceil(docs.count() / point_block))
-    left = queries.withColumns({
+    # stored, since queries drawn from the documents' own table would share columns with them, which a cogroup mixes up
+    left = stored(queries, "queries").withColumns({
         "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
         "_split": F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))})
     right = docs.withColumns({
