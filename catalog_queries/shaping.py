@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -258,6 +259,10 @@ def cleaning_funnel(spark, sf):
     return clean.cleaning_funnel(raw_games(spark, sf), CFG, ["copy"]).withColumn("kept_share", r6("kept_share"))
 
 
+#: Parts of the catalog that are dealt over 2, 7 or 13 tasks; a larger catalog takes as many more, so that no task's share grows.
+DEALT_PARTS = 50_000
+
+
 @query("tied_copies", "A1 P14", "WITH " + RAW + f""",
 tied AS (SELECT * REPLACE (positive - 15 * copy AS positive) FROM raw),
 firsts AS (SELECT *, {_PARSED_DATE} AS d, COALESCE(positive, 0) + COALESCE(negative, 0) AS r
@@ -268,9 +273,10 @@ SELECT n AS funnel_rows, n AS rows_in_few_parts, r AS reviews_in_few_parts, n AS
 def tied_copies(spark, sf):
     """Copies that tie in the stated order but differ in their reviews: the funnel and the table agree, however they are dealt."""
     rows = raw_games(spark, sf).withColumn("positive", F.col("positive") - F.lit(15) * F.col("copy"))
-    out = clean.cleaning_funnel(rows.repartition(7), CFG, ["name"]).select(F.col("rows_out").alias("funnel_rows"))
+    deals = math.ceil(max(1, table(spark, sf, "part").count()) / DEALT_PARTS)
+    out = clean.cleaning_funnel(rows.repartition(7 * deals), CFG, ["name"]).select(F.col("rows_out").alias("funnel_rows"))
     for parts, name in ((2, "few"), (13, "many")):
-        kept = clean.clean(rows.repartition(parts), CFG, ["name"])
+        kept = clean.clean(rows.repartition(parts * deals), CFG, ["name"])
         out = out.join(F.broadcast(kept.agg(
             F.count("*").alias(f"rows_in_{name}_parts"), F.sum("total_reviews_calc").alias(f"reviews_in_{name}_parts"))))
     return out
