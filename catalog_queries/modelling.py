@@ -297,7 +297,8 @@ cell AS (SELECT tree, a, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE
 
 def _paired_trees(spark, sf):
     """The rows, and the trees as a model table."""
-    rows = labelled(spark, sf).select("appid", F.col("target_hidden_gem").alias("y"), *[F.col(c).cast("double") for c in _PAIRED])
+    # stored, since the means, the cells of each tree and the scores read them
+    rows = stored(labelled(spark, sf).select("appid", F.col("target_hidden_gem").alias("y"), *[F.col(c).cast("double") for c in _PAIRED]))
     means = rows.agg(*[F.round(F.avg(c), 6).alias(c) for c in _PAIRED]).first()
     low = {c: F.col(c) <= means[c] for c in _PAIRED}
     nodes = []
