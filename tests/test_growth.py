@@ -79,3 +79,12 @@ def test_scores_by_table_read_stored_rows(spark, sf):
     rows, _ = modelling._paired_trees(spark, sf)
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "FileScan parquet" in text
+
+
+def test_repeated_products_keep_the_whole_order(spark, sf, tmp_path):
+    """Only a table without repeated keys may be cut by the stated order alone."""
+    for t in ("part", "lineitem", "documents"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        (df.unionByName(df.withColumn("text", F.lit("other"))) if t == "documents" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    text = labelled(spark, str(tmp_path)).select("appid", "wilson_lb")._jdf.queryExecution().executedPlan().toString()
+    assert "p_retailprice" in text and games(spark, str(tmp_path)).count() > games(spark, sf).count()
