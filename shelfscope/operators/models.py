@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -69,6 +70,20 @@ def positive_weights(df: DataFrame, label: str) -> dict[float, float]:
     return {0.0: 1.0, 1.0: counts.get(0.0, 0) / max(counts.get(1.0, 0), 1)}
 
 
+#: Rows that a task of a fit has at least, by estimator (others: ``FEW_ROWS``), and at most.
+LEAST_ROWS = {"forest": 2_000, "perceptron": 1_000}
+FEW_ROWS, GRID_ROWS, MOST_ROWS = 20_000, 5_000, 2_000_000
+
+
+def dealt(df: DataFrame, least: int) -> DataFrame:
+    """The rows dealt evenly over the tasks of a fit: ``least`` rows or more to each, and no more tasks than cores.
+
+    A fit runs thousands of short jobs. Each of their tasks has a fixed cost, and each task of a tree's level hands on
+    the statistics of all open nodes, however few its rows are."""
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, n // least), math.ceil(n / MOST_ROWS)))
+
+
 def assembled(df: DataFrame, columns: Sequence[str], label: str | None = None) -> DataFrame:
     out = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(df)
     return out if label is None else out.withColumn("label", F.col(label).cast("double"))
@@ -118,8 +133,12 @@ def choose(experiments: Sequence[Experiment], ml_only: bool = False) -> list[Exp
 
 def fit(experiment: Experiment, train: DataFrame, label: str, columns: Sequence[str], effort: Effort, seed: int) -> Model:
     weights = experiment.weights(train, label) if experiment.weights else {}
-    ready = assembled(weighted(train, label, weights), columns, label)
-    return experiment.estimator(seed, effort, len(columns)).fit(ready)
+    ready = dealt(assembled(weighted(train, label, weights), columns, label).select("features", "label", "weight"),
+                  LEAST_ROWS.get(experiment.estimator.__name__, FEW_ROWS)).persist()
+    try:
+        return experiment.estimator(seed, effort, len(columns)).fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def scores(model: Model, df: DataFrame, columns: Sequence[str], out: str = "score") -> DataFrame:
@@ -173,7 +192,7 @@ def grid_votes(df: DataFrame, label: str, key: str, columns: Sequence[str], dept
     """
     depths, trees = list(depths), list(trees)
     ranked = class_draw_rank(df.select(key, label, *columns), label, key, seed, "_rank")
-    data = assembled(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), columns, label).persist()
+    data = dealt(assembled(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), columns, label), GRID_ROWS).persist()
     spark = df.sparkSession
 
     def one(fold: int) -> tuple[DataFrame, list[tuple]]:
@@ -227,7 +246,7 @@ def perceptron_by_validation(train: DataFrame, valid: DataFrame, label: str, col
                              step: int = 10, hidden: Sequence[int] = (256, 64), seed: int = 42) -> tuple[Model, list[float]]:
     """A perceptron trained in short runs, each going on from the last weights; the model
     with the least validation loss is kept."""
-    ready = assembled(train, columns, label).select("features", "label").persist()
+    ready = dealt(assembled(train, columns, label).select("features", "label"), LEAST_ROWS["perceptron"]).persist()
     valid = valid.select(label, *columns).persist()
     best, losses, weights = None, [], None
     try:
