@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfscope.llm.common import fresh_folder
+from shelfscope.llm.common import fresh_folder, rows_per_batch
 
 LETTERS = string.ascii_letters + string.digits + "+/"
 SYMBOLS = [a + b for a in LETTERS for b in LETTERS]
@@ -186,7 +186,8 @@ def neighbour_fingerprints(docs: DataFrame, p: Piecewise = Piecewise(), id_colum
     placed = rows.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").select("_id", "_text")
     folder = fresh_folder(spark, "fingerprints")
     edges = f"{RESULT}, part int, head string, tail string"
-    placed.mapInArrow(run, edges).write.option("compression", "zstd").parquet(folder)
+    with rows_per_batch(spark, 1000):
+        placed.mapInArrow(run, edges).write.option("compression", "zstd").parquet(folder)
     found = spark.read.schema(edges).parquet(folder)
     # One row a task of the pass above: the number of the next task that had rows, the first one behind the last.
     parts = found.where("part is not null").select("part")
