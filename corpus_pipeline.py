@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.llm import queries
-from shelfscope.llm.common import held_out, ranked, stored
+from shelfscope.llm.common import held_out, ranked, rows_per_batch, stored
 from shelfscope.llm.decontaminate import decontaminated
 from shelfscope.llm.language import fit_and_identify
 from shelfscope.llm.mixing import mixed
@@ -80,6 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    with rows_per_batch(spark, 1000):  # a stage is planned where it is stored
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

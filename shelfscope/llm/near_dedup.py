@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import Scratch, slices, stored
+from shelfscope.llm.common import Scratch, rows_per_batch, slices, stored
 from shelfscope.llm.components import connected_components
 from shelfscope.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -50,6 +50,9 @@ class NearDedup:
     #: Members of a bucket that one task compares with as many others.
     block: int = 1024
     seed: int = 11
+    #: Texts, and pairs with both their sets, that stand in one Arrow batch at most.
+    batch: int = 1000
+    pair_batch: int = 128
     #: Size of the bitmap of ids whose texts are read again; a power of two.
     filter_bits: int = 1 << 24
 
@@ -245,13 +248,14 @@ def _links(pairs: DataFrame, docs: DataFrame, p: NearDedup, keep: Scratch) -> Da
     pairs = keep.stored(pairs)
     ids = keep.stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets = keep.stored(shingle_sets(only_marked(docs, ids, p.filter_bits), p))
-    return keep.stored(_verified(pairs, sets, p).distinct())
+    with rows_per_batch(docs.sparkSession, p.pair_batch):
+        return keep.stored(_verified(pairs, sets, p).distinct())
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    with Scratch(docs.sparkSession, "near-dedup") as keep:
+    with Scratch(docs.sparkSession, "near-dedup") as keep, rows_per_batch(docs.sparkSession, p.batch):
         return stored(_near_duplicates(docs, p, keep), "near-duplicates")
 
 

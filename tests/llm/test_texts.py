@@ -74,6 +74,20 @@ def test_near_duplicates_odd_rows(documents, odd_rows):
     assert near_duplicates(documents([])).collect() == []
 
 
+def test_near_duplicates_meet_in_small_batches(spark, documents, monkeypatch):
+    """Texts, and pairs with both their sets, come to a task in batches of a bounded number of rows."""
+    from shelfscope.llm import near_dedup as nd
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+    for step in ("signatures", "_verified"):
+        monkeypatch.setattr(nd, step, lambda *a, run=getattr(nd, step), step=step: seen.update({step: int(spark.conf.get(name))}) or run(*a))
+    same = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    got = nd.near_duplicates(documents([(k, f"{same} {k}", None, None) for k in range(1, 8)])).collect()
+    assert {r.component_id for r in got} == {1}
+    assert seen["signatures"] <= 1000 and seen["_verified"] <= 128 and spark.conf.get(name) == before
+
+
 def test_shingle_hashes_tell_sets_apart():
     from shelfscope.llm import hashing
 
