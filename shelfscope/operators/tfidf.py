@@ -7,13 +7,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.functions.text import STOP_WORDS, ngrams, tokens
+from shelfscope.functions.text import STOP_WORDS, tokens
 from shelfscope.session import spread, stored
 
 #: Words, or terms, that a task unfolds at a time.
@@ -102,6 +103,29 @@ class Terms:
         return code // max(self.n, 1), code % max(self.n, 1), tf
 
 
+def grams(words: pa.ListArray, ngram_max: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length: where the n-grams of the rows start among all words, their 64-bit hashes, and numbers of them.
+
+    Equal n-grams have equal hashes in every batch; within one, different n-grams have different numbers."""
+    sizes = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    word = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    row, start = np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(word >= 0)
+    hashes, code = known[word[start]], word[start]
+    yield start, hashes, code
+    for n in range(2, ngram_max + 1):
+        ends = start + n - 1
+        on = ends < len(word)
+        on[on] = (row[start[on]] == row[ends[on]]) & (word[ends[on]] >= 0)
+        start, ends = start[on], ends[on]
+        hashes = (hashes[on] ^ (hashes[on] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + known[word[ends]]
+        if n > 2:  # numbers of the part before, so that the product stays small
+            code = np.unique(code, return_inverse=True)[1]
+        code = code[on] * np.int64(len(known)) + word[ends]
+        yield start, hashes, code
+
+
 def _kth(counts: DataFrame, k: int) -> int:
     """The k-th highest count, or 0 if there are fewer."""
     return counts.orderBy(F.desc("n")).limit(k).agg(F.when(F.count("*") == k, F.min("n")).otherwise(0)).first()[0]
@@ -115,15 +139,39 @@ def most_used(words: DataFrame, ngram_max: int, max_terms: int, buckets: int = B
     with at least ``bar`` uses are then counted exactly. All others have fewer uses than that,
     so the result is exact once the last one in it has at least ``bar``; if not, its count is
     the next bar, and that one is low enough. So no shuffle holds the rare n-grams: the first
-    has at most ``buckets`` rows a task, the second the n-grams of heavy buckets.
+    has at most ``buckets`` rows a task, the second the n-grams of heavy buckets. Tasks count
+    n-grams as numbers of their words; only those of heavy buckets become text, once a part.
     """
-    grams = words.select(F.explode(ngrams(F.col("_words"), ngram_max)).alias("term")).withColumn(
-        "_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    sketch = stored(grams.groupBy("_bucket").agg(F.count("*").alias("n")), "sketch")
+    def bucket(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.int64)
+        for batch in unfolded(batches, "_words"):
+            for _, hashes, _ in grams(batch["_words"], ngram_max):
+                n += np.bincount(bucket(hashes), minlength=buckets)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["_bucket", "n"])
+
+    words = words.select("_words")
+    sketch = stored(words.mapInArrow(add, "_bucket int, n long").groupBy("_bucket").agg(F.sum("n").alias("n")), "sketch")
     bar = _kth(sketch, 2 * max_terms)
     while True:
-        heavy = sketch.where(F.col("n") >= bar).select("_bucket")  # at most `buckets` numbers
-        counts = stored(grams.join(F.broadcast(heavy), "_bucket", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
+        heavy = np.zeros(buckets, bool)
+        heavy[sketch.where(F.col("n") >= bar).select("_bucket").toArrow()["_bucket"].to_numpy()] = True  # at most `buckets` numbers
+        shared = words.sparkSession.sparkContext.broadcast(heavy)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in unfolded(batches, "_words"):
+                flat = batch["_words"].flatten()
+                for n, (start, hashes, code) in enumerate(grams(batch["_words"], ngram_max), 1):
+                    kept = shared.value[bucket(hashes)]
+                    _, first, uses = np.unique(code[kept], return_index=True, return_counts=True)
+                    at = start[kept][first]
+                    term = pc.binary_join_element_wise(*[flat.take(pa.array(at + k)) for k in range(n)], " ")
+                    yield pa.RecordBatch.from_arrays([term, pa.array(uses.astype(np.int64))], ["term", "n"])
+
+        counts = stored(words.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts")
         last = _kth(counts, max_terms)
         if last >= bar or bar == 0:
             return counts.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
