@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -72,7 +73,9 @@ def positive_weights(df: DataFrame, label: str) -> dict[float, float]:
 
 #: Rows that a task of a fit has at least, by estimator (others: ``FEW_ROWS``), and at most.
 LEAST_ROWS = {"forest": 2_000, "perceptron": 1_000}
-FEW_ROWS, GRID_ROWS, MOST_ROWS = 20_000, 5_000, 2_000_000
+FEW_ROWS, GRID_ROWS, MOST_ROWS = 20_000, 20_000, 2_000_000
+#: Trees that a fit of the grid grows at once.
+GRID_TREES = 50
 
 
 def dealt(df: DataFrame, least: int) -> DataFrame:
@@ -181,34 +184,50 @@ def sweep(train: DataFrame, test: DataFrame, label: str, key: str, columns: Sequ
 # --- tuning ----------------------------------------------------------------
 
 def grid_votes(df: DataFrame, label: str, key: str, columns: Sequence[str], depths: Sequence[int], trees: Sequence[int],
-               folds: int = 5, seed: int = 42, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+               folds: int = 5, seed: int = 42, at_once: int = 12) -> tuple[DataFrame, DataFrame]:
     """The judgement of every row by every point of the grid, each row by the fold that did not train on it.
 
     One forest per fold is grown, of the most trees and the greatest depth. A point is this
     forest with its first n trees cut at depth d, so a fold's rows walk it once for all points.
-    At most ``at_once`` folds are fitted at a time. Gives the stored votes (key, label, fold,
-    votes: one per depth and number of trees, in this order), and (fold, point, seconds): the
-    fold's fitting time in proportion to the nodes of the point's forest.
+    Trees of a forest are independent, so it is grown in parts of ``GRID_TREES`` with seeds of
+    their own; at most ``at_once`` parts are fitted at a time. The statistics of all open nodes
+    move once per task of a fit, so many fits of few tasks cost less than one fit of many tasks.
+    The rows are held over all cores and each fit takes its own from there, so that fits of one
+    task do not all wait for the executor that holds the rows.
+    Gives the stored votes (key, label, fold, votes: one per depth and number of trees, in this
+    order), and (fold, point, seconds): the fitting time of the fold's parts in proportion to
+    the nodes of the point's forest.
     """
     depths, trees = list(depths), list(trees)
     ranked = class_draw_rank(df.select(key, label, *columns), label, key, seed, "_rank")
-    data = dealt(assembled(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), columns, label), GRID_ROWS).persist()
+    data = dealt(assembled(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), columns, label), 1).persist()
     spark = df.sparkSession
+    firsts = range(0, max(trees), GRID_TREES)
 
-    def one(fold: int) -> tuple[DataFrame, list[tuple]]:
-        started = time.monotonic()
-        model = RandomForestClassifier(numTrees=max(trees), maxDepth=max(depths), seed=seed + fold).fit(data.where(F.col("fold") != fold))
+    def grown(fold: int, part: int) -> tuple[pa.Table, float]:
+        started, first = time.monotonic(), firsts[part]
+        rows = dealt(data.where(F.col("fold") != fold), GRID_ROWS).sortWithinPartitions(key)
+        model = RandomForestClassifier(numTrees=min(GRID_TREES, max(trees) - first), maxDepth=max(depths), seed=seed + fold + folds * part).fit(rows)
         seconds = time.monotonic() - started
-        forest_ = model_tables.Trees(model_tables.model_table(model, spark).toArrow())  # as large as the fitted model on the driver
+        nodes = model_tables.model_table(model, spark).withColumn("tree", F.col("tree") + F.lit(first))
+        return nodes.toArrow(), seconds  # as large as the fitted model on the driver
+
+    def judged(fold: int, parts: Sequence) -> tuple[DataFrame, list[tuple]]:
+        done = [p.result() for p in parts]
+        forest_, seconds = model_tables.Trees(pa.concat_tables([nodes for nodes, _ in done])), sum(s for _, s in done)
         tree = np.repeat(np.arange(max(trees)), np.diff(forest_.roots, append=len(forest_.depth)))
         shares = [float(((forest_.depth <= d) & (tree < n)).mean()) for d in depths for n in trees]
-        judged = model_tables.cut_votes(data.where(F.col("fold") == fold), columns, forest_, depths, trees, "votes")
-        return stored(judged.select(key, label, "fold", "votes"), "votes"), [(fold, k, seconds * s) for k, s in enumerate(shares)]
+        rows = model_tables.cut_votes(data.where(F.col("fold") == fold), columns, forest_, depths, trees, "votes")
+        return stored(rows.select(key, label, "fold", "votes"), "votes"), [(fold, k, seconds * s) for k, s in enumerate(shares)]
 
     try:
         data.count()  # held before the fits share it
-        with ThreadPoolExecutor(max(1, min(at_once, folds))) as pool:
-            done = list(pool.map(one, range(folds)))
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            fits = [[pool.submit(grown, fold, part) for part in range(len(firsts))] for fold in range(folds)]
+            done = []
+            for fold in range(folds):  # a fold's nodes are let go once its rows are judged
+                done.append(judged(fold, fits[fold]))
+                fits[fold] = None
     finally:
         data.unpersist()
     votes = reduce(DataFrame.unionByName, (v for v, _ in done))
