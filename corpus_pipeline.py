@@ -18,13 +18,17 @@ from shelfscope.llm.token_planes import token_table
 
 #: A text whose main language has a smaller share of its letters is rejected.
 LEAST_SHARE = 0.3
+#: Texts in an Arrow batch of the language stage, and pieces that a worker of the token files remembers: the JVM of an executor is
+#: full by the earlier stages, so its Python workers have little left. The rows do not depend on either.
+BATCH, REMEMBERED = 1000, 30_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts without a main language, go."""
-    found = fit_and_identify(docs, ~held_out(F.col("doc_id"), 4, 2), into="_language_found")
+    """Texts without a letter, and texts without a main language, go. Stored here, since batches are bounded while the stage runs."""
     kept = (F.col("_language_found.lang_pred") != "und") & (F.col("_language_found.score") >= LEAST_SHARE)
-    return found.where(kept).select(*docs.columns)
+    with rows_per_batch(spark, BATCH):
+        found = fit_and_identify(docs, ~held_out(F.col("doc_id"), 4, 2), into="_language_found")
+        return stored(found.where(kept).select(*docs.columns), "stage-language")
 
 
 def _own_ids(docs: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mixture; the index read back from them."""
-    return token_table(spark, docs, queries.vocabulary(), queries.END_ID)
+    return token_table(spark, docs, queries.vocabulary(), queries.END_ID, remembered=REMEMBERED)
 
 
 STAGES = [
@@ -79,8 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with rows_per_batch(spark, 1000):  # a stage is planned where it is stored
-        for name, stage in STAGES[:-1]:
-            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs = language(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    for name, stage in STAGES[1:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -140,9 +140,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(vocabulary: str) -> PieceEncoder:
+def encoder_of(vocabulary: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """The encoder of this worker; the tasks that a worker runs one after the other share its pieces."""
-    return PieceEncoder(vocabulary)
+    return PieceEncoder(vocabulary, remembered)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -256,8 +256,10 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, list[bytes]]]:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_column: str = "doc_id",
-                      text_column: str = "text", kind: str = "byte", level: int = 3, block: int = BLOCK) -> DataFrame:
-    """Writes the shards and returns the stored manifest, one row per shard in the order of the ids."""
+                      text_column: str = "text", kind: str = "byte", level: int = 3, block: int = BLOCK,
+                      remembered: int = REMEMBERED) -> DataFrame:
+    """Writes the shards and returns the stored manifest, one row per shard in the order of the ids.
+    `remembered`: pieces whose ids a worker holds, twice; fewer take less memory and more time."""
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +267,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         for batch in batches:
             for doc_id, text in zip(batch["_id"].to_pylist(), batch["_text"], strict=True):
                 if writer is None:
-                    encoder = encoder_of(vocabulary)
+                    encoder = encoder_of(vocabulary, remembered)
                     uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.planes"
                     writer = ShardWriter(uri, kind, level, block)
                 writer.add(doc_id, (p for source in (encoder.parts(text.as_py()), [end]) for p in source))

@@ -370,6 +370,34 @@ def test_pipeline_stages(spark, documents, odd_rows):
     assert cp.run(spark, SF).count() > 100
 
 
+def test_pipeline_stages_bound_their_memory(spark, documents, odd_rows, monkeypatch, tmp_path):
+    """Whole texts come in small batches while the language stage runs; workers of the token files remember few pieces."""
+    import corpus_pipeline as cp
+    from shelfscope.llm.queries import vocabulary
+    from shelfscope.llm.token_planes import PieceEncoder, read_token_files, write_token_files
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for step in ("fit_and_identify", "stored"):
+        monkeypatch.setattr(cp, step, lambda *a, run=getattr(cp, step), **b: seen.append(int(spark.conf.get(name))) or run(*a, **b))
+    docs = documents(odd_rows)
+    cp.language(spark, docs, SF)
+    assert len(seen) == 2 and max(seen) <= 1000 and spark.conf.get(name) == before
+    asked = []
+    monkeypatch.setattr(cp, "token_table", lambda *a, **b: asked.append(b["remembered"]))
+    cp.token_files(spark, docs, SF)
+    assert asked[0] <= 30_000
+
+    e = PieceEncoder(vocabulary(), 10)
+    for k in range(300):
+        text = f"w{k} x{k % 7} y{k * k}"
+        assert b"".join(e.parts(text)) == e.whole(text)
+        assert len(e.code.__self__) <= 10 and len(e.code.__self__.older) <= 10
+    few, many = (sorted(map(tuple, read_token_files(write_token_files(docs, vocabulary(), 2, str(tmp_path / str(n)), remembered=n)).collect()), key=repr)
+                 for n in (10, 360_000))
+    assert few == many and few
+
+
 def test_all_meeting_pairs_get_a_start():
     """Many pairs of either label: none is left without vectors, and products lean to their label."""
     import numpy as np
