@@ -59,25 +59,28 @@ TOGETHER = 128
 def _long_text(value: str, key: bytes, tweak: str, member: dict[str, str], shape: str) -> str:
     """A Feistel network over the two halves of a long value: each half in turn is shifted, character by character
     within its class, by a keyed stream that the other half gives. One-to-one, in linear time."""
-    at = np.array([k for k, c in enumerate(value) if c in member])
-    size = np.array([len(member[value[k]]) for k in at], np.int64)
-    digit = np.array([member[value[k]].index(value[k]) for k in at], np.int64)
+    codes, top = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), max(map(ord, member)) + 1
+    sizes, places, letters = np.zeros(top, np.int64), np.zeros(top, np.int64), np.zeros((top, max(map(len, member.values()))), "<u4")
+    for c, cls in member.items():
+        sizes[ord(c)], places[ord(c)], letters[ord(c), : len(cls)] = len(cls), cls.index(c), [*map(ord, cls)]
+    at = np.flatnonzero(codes < top)
+    at = at[sizes[codes[at]] > 0]
+    size, digit = sizes[codes[at]], places[codes[at]]
     half, about = len(at) // 2, blake2b((tweak + shape).encode(), key=key).digest()
     for r in range(ROUNDS):
         mine, other = (slice(0, half), slice(half, None)) if r % 2 else (slice(half, None), slice(0, half))
         stream = shake_256(about + bytes([r]) + digit[other].astype(np.uint8).tobytes()).digest(4 * len(digit[mine]))
         digit[mine] = (digit[mine] + np.frombuffer(stream, "<u4")) % size[mine]
-    out = list(value)
-    for k, d in zip(at.tolist(), digit.tolist(), strict=True):
-        out[k] = member[value[k]][d]
-    return "".join(out)
+    out = codes.copy()
+    out[at] = letters[codes[at], digit]
+    return out.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def permuted_text(value: str, key: bytes, tweak: str, classes: tuple[str, ...] = _CLASSES) -> str:
     """Every digit and letter of the value permuted together, each within its class; other characters stay."""
     member = {c: cls for cls in classes for c in cls}
-    shape = "".join({10: "9", 26: "a", 16: "f"}[len(member[c])] if c in member else c for c in value)
-    if sum(c in member for c in value) > TOGETHER:
+    shape = value.translate({ord(c): {10: "9", 26: "a", 16: "f"}[len(cls)] for c, cls in member.items()})
+    if sum(map(member.__contains__, value)) > TOGETHER:
         return _long_text(value, key, tweak, member, shape)
     x, size = 0, 1
     for c in value:
